@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import bpe, minhash, mixing, quality, tokenfile, toxicity
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2,
+    "op7_quality_classifier": quality.op7,
+    "op4_mixing_target_weights": mixing.op4,
+    "op5_token_id_output": tokenfile.op5,
+    "op8_byte_level_bpe": bpe.op8,
+    "op6_toxicity": toxicity.op6,
 }
 
 ORACLE_SQL: dict[str, str] = {}
