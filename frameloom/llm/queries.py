@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, quality, tokenfile, toxicity
+from . import bpe, jpeg, minhash, mixing, quality, rules, tokenfile, toxicity, urls, warc
 
 QUERIES = {
+    "op1_warc": warc.op1,
     "op2_minhash_near_dedup": minhash.op2,
     "op7_quality_classifier": quality.op7,
+    "op3_quality_rules": rules.op3,
     "op4_mixing_target_weights": mixing.op4,
     "op5_token_id_output": tokenfile.op5,
     "op8_byte_level_bpe": bpe.op8,
     "op6_toxicity": toxicity.op6,
+    "op9_url_filters": urls.op9,
+    "op10_progressive_jpeg": jpeg.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": rules.OP3_SQL}
