@@ -137,6 +137,17 @@ def sizes(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), unit.alias("unit"), "source", word_count().alias("size"))
 
 
+def mixed(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` as often as the mix takes them, all columns unchanged; documents without words go."""
+    unit = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", "source"))
+    taken = mix(store.materialize(sizes(documents), "sizes")).filter("taken > 0")
+    taken = taken.select(F.col("unit").alias("_unit"), F.col("source").alias("_source"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("int").alias("_copies")).distinct()
+    rows = documents.select("*", unit.alias("_of_unit"), word_count().alias("_of_size"))
+    same = (F.col("_of_unit") == F.col("_unit")) & (F.col("_of_size") == F.col("_size")) & F.col("source").eqNullSafe(F.col("_source"))
+    copies = rows.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return copies.select(*(rows[c] for c in documents.columns))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = store.materialize(sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "sizes")
     return mix(sized).select("doc_id", "source", "size", "source_size", "target", "taken")

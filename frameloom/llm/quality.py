@@ -198,3 +198,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
     return judge(scored, labels).select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "kept")
+
+
+def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that the classifier keeps, all columns unchanged."""
+    names = [c if c in ("doc_id", "lang", "text") else f"_{i}_{c}" for i, c in enumerate(documents.columns)]
+    renamed = documents.toDF(*names)
+    return judge(score(renamed, labels, names), labels).filter("kept").select(*names).toDF(*documents.columns)
