@@ -11,7 +11,9 @@ linked when 100 * intersection >= 85 * union of the full sets. The steps:
 4. Skip: each list's most central node (the one whose lists are longest in sum) is linked to the others if their full sets
    say so. That is linear in the posts, and joins nearly all of a group of copies around its original.
    What these links have joined is skipped from then on: only nodes of a list outside its largest component are still
-   compared, in blocks, with the list's nodes of other components; pairs with ``MATCHES`` equal coordinates are confirmed.
+   compared, in blocks, with the list's nodes of other components. Pairs with ``MATCHES`` equal coordinates are joined to
+   groups, and each group's full sets are compared in blocks. A block returns edges that join what it found alike, fewer than
+   it has nodes, so a large group of copies never becomes all its pairs.
 
 A pair at similarity 0.85 has 54.4 equal coordinates on average with a deviation of 2.9, so one in some 4,000 such pairs
 falls below ``MATCHES``; at 0.9 one in 10**7.
@@ -33,7 +35,8 @@ WORDS = 5
 COORDINATES = 64
 MATCHES = 44
 NUMERATOR, DENOMINATOR = 85, 100
-FEW, MANY = 256, 2048  # nodes in the two blocks that are compared at once
+FEW, MANY = 256, 2048  # nodes in the two blocks of a list that are compared at once
+FEW_SHINGLES, MANY_SHINGLES = 1 << 17, 1 << 20  # those of a group
 
 _rng = np.random.default_rng(20260724)
 _FLIP = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)[:, None]
@@ -93,20 +96,76 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "shingles"])
 
 
-def _compare(key: tuple, table: pa.Table) -> pa.Table:
-    """Of one list's block pair, the pairs in different components with at least MATCHES equal coordinates and sizes that allow a link."""
+def _forest(few: np.ndarray, many: np.ndarray, near) -> tuple[list, list]:
+    """Edges that join all of one block's rows that ``near`` finds near to each other, none of them superfluous: their number is below
+    that of the rows. ``near(i)`` says which of ``many`` are near to row i."""
+    label = np.arange(len(few) + len(many))
+    a, b = [], []
+    for i in few:
+        found = many[near(i)]
+        found = found[label[found] != label[i]]
+        if len(found):
+            old, one = np.unique(label[found], return_index=True)
+            a += [i] * len(one)
+            b += found[one].tolist()
+            label[np.isin(label, old)] = label[i]
+    return a, b
+
+
+def _edges(table: pa.Table, near_of) -> pa.Table:
     side = table.column("few").to_numpy()
-    node, root, size = (table.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
-    sign = table.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+    node = table.column("node").to_numpy()
     few, many = np.flatnonzero(side), np.flatnonzero(~side)
-    pairs = []
-    for i in few:
-        same = np.count_nonzero(sign[many] == sign[i], axis=1)
-        ok = (same >= MATCHES) & (root[many] != root[i])
-        ok &= DENOMINATOR * np.minimum(size[many], size[i]) >= NUMERATOR * np.maximum(size[many], size[i])
-        pairs.append(np.stack([np.full(ok.sum(), node[i]), node[many[ok]]]))
-    a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+    # a node that stands on both sides is one row of the forest's many, found again by its number
+    a, b = _forest(few, many, near_of(few, many))
+    return pa.table({"a": pa.array(np.maximum(node[a], node[b]) if a else [], pa.int64()), "b": pa.array(np.minimum(node[a], node[b]) if a else [], pa.int64())})
+
+
+def _alike(table: pa.Table):
+    """Rows in different components whose sizes allow a link."""
+    root, size = (table.column(c).to_numpy() for c in ("root", "n_shingles"))
+
+    def alike(i: int, many: np.ndarray) -> np.ndarray:
+        return (root[many] != root[i]) & (DENOMINATOR * np.minimum(size[many], size[i]) >= NUMERATOR * np.maximum(size[many], size[i]))
+
+    return alike
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Of one list's block pair, edges that join the nodes with at least MATCHES equal coordinates."""
+    sign = table.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+    alike = _alike(table)
+
+    def near_of(few: np.ndarray, many: np.ndarray):
+        block = np.ascontiguousarray(sign[many])
+        return lambda i: (np.count_nonzero(block == sign[i], axis=1) >= MATCHES) & alike(i, many)
+
+    return _edges(table, near_of)
+
+
+def _verify(table: pa.Table) -> pa.Table:
+    """Of one group's block pair, edges that join the nodes whose full sets are similar enough."""
+    sets = table.column("shingles").combine_chunks()
+    stop = sets.offsets.to_numpy().astype(np.int64)
+    values = sets.values.to_numpy()
+    alike = _alike(table)
+
+    def near_of(few: np.ndarray, many: np.ndarray):
+        known, number = np.unique(np.concatenate([values[stop[i] : stop[i + 1]] for i in many]), return_inverse=True)
+        size = stop[many + 1] - stop[many]
+        begin = np.cumsum(size) - size
+
+        def near(i: int) -> np.ndarray:
+            own = values[stop[i] : stop[i + 1]]
+            held = np.zeros(len(known), np.int64)
+            at = np.searchsorted(known, own).clip(0, len(known) - 1)
+            held[at[known[at] == own]] = 1
+            both = np.add.reduceat(held[number], begin)
+            return alike(i, many) & (DENOMINATOR * both >= NUMERATOR * (size + len(own) - both))
+
+        return near
+
+    return _edges(table, near_of)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -132,17 +191,32 @@ def prefix_lists(nodes: DataFrame) -> DataFrame:
     return held.select("node", "central", F.explode(prefix).alias("post")).select(F.col("post.key").alias("key"), "node", "central")
 
 
-def _blocks(lists: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of lists that still hold several components, (key, i, j, few, node, root, n_shingles, sign): nodes outside the list's
-    largest component (few) against all of the list, in blocks."""
+def _blocks(held: DataFrame, key: str, few: F.Column, fews: F.Column, manies: F.Column) -> DataFrame:
+    """``held`` twice over, for comparing the rows that are ``few`` with all rows of their key: the first in ``fews`` blocks i, each met
+    with ``manies`` blocks j of all rows."""
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    held = held.withColumn("fews", fews.cast("int")).withColumn("manies", manies.cast("int"))
+    left = held.filter(few).withColumn("few", F.lit(True)).withColumn("i", block(F.col("fews"))).withColumn("j", F.explode(F.expr("sequence(0, manies - 1)")))
+    right = held.withColumn("few", F.lit(False)).withColumn("j", block(F.col("manies"))).withColumn("i", F.explode(F.expr("sequence(0, fews - 1)")))
+    return left.unionByName(right).select(key, "i", "j", "few", "node", "root")
+
+
+def _unjoined(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Blocks of lists that still hold several components: nodes outside the list's largest one against all of the list."""
     rooted = lists.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
-    largest = largest.select("key", F.col("top.root").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / FEW).cast("int").alias("fews"), F.ceil(F.col("n") / MANY).cast("int").alias("manies"))
     held = rooted.join(largest, "key")
-    few = held.filter("root <> main").select("key", "node", "root", F.lit(True).alias("few"), F.expr(f"cast(pmod(xxhash64(node), fews) as int)").alias("i"), F.explode(F.expr("sequence(0, manies - 1)")).alias("j"))
-    many = held.select("key", "node", "root", F.lit(False).alias("few"), F.expr("cast(pmod(xxhash64(node), manies) as int)").alias("j"), F.explode(F.expr("sequence(0, fews - 1)")).alias("i"))
-    return few.unionByName(many).join(nodes, "node")
+    return _blocks(held, "key", F.col("root") != F.col("top.root"), F.ceil((F.col("n") - F.col("top.n")) / FEW), F.ceil(F.col("n") / MANY))
+
+
+def _ungrouped(groups: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Blocks of groups of nodes that may be linked, each block of a bounded number of shingles."""
+    held = groups.select("node", F.col("root").alias("key")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = held.join(nodes.select("node", "n_shingles"), "node")
+    sums = held.groupBy("key").agg(F.sum("n_shingles").alias("n"))
+    held = held.join(sums, "key")
+    return _blocks(held, "key", F.lit(True), F.ceil(F.col("n") / FEW_SHINGLES), F.ceil(F.col("n") / MANY_SHINGLES))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -167,11 +241,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sets = store.materialize(texts.join(used, "doc_id").mapInArrow(_sets, "node long, shingles array<long>"), "sets").dropDuplicates(["node"])
     links = store.materialize(_confirm(stars, sets), "links")
     roots = components(links)
-    shape = "key long, i int, j int, few boolean, node long, root long, n_shingles long, sign array<int>"
-    names = [x.split()[0] for x in shape.split(", ")]
-    left = _blocks(lists, roots, nodes).select(*names).groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long").distinct()
-    more = store.materialize(_confirm(left, sets), "links")
-    if not more.isEmpty():
+    left = _unjoined(lists, roots).join(nodes, "node").groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long")
+    left = store.materialize(left, "alike")
+    if not left.isEmpty():
+        blocks = _ungrouped(components(left), roots, nodes).join(nodes.select("node", "n_shingles"), "node").join(sets, "node")
+        more = blocks.groupBy("key", "i", "j").applyInArrow(_verify, "a long, b long")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     found = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("root", "class_id")).drop("root")
     out = signs.select("doc_id", "n_shingles", "h1", "h2").join(found, ["h1", "h2", "n_shingles"], "left")
@@ -180,6 +254,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` without those whose document another stands for. Rows without doc_id stay, as do repeated rows of a
+    document that is kept."""
+    gone = near_duplicates(documents).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
