@@ -48,12 +48,15 @@ def align_words(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     return row[-1][1:]
 
 
-@F.pandas_udf("struct<s:int,d:int,n:int>")
-def align_long(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    """The same for texts of any length, in Arrow batches."""
+def _align_series(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([align_words(list(r), list(h)) for r, h in zip(ref, hyp)], columns=["s", "d", "n"])
 
 
+def align_long(ref: str, hyp: str) -> Column:
+    """struct(s, d, n) for texts of any length, in Arrow batches."""
+    return F.pandas_udf(_align_series, "struct<s:int,d:int,n:int>")(ref, hyp)
+
+
 def word_distance(cost: Column, ref: Column, hyp: Column) -> Column:
     """Edits over the longer text's words; 0 for two empty texts."""
     longest = F.greatest(F.size(ref), F.size(hyp))
