@@ -164,6 +164,27 @@ class Correction:
     start: float = 0.5
 
 
+@dataclass(frozen=True)
+class Placement:
+    """Speech in a labelled mixture; times in seconds."""
+
+    rate: int = 16_000
+    seconds: float = 10.0
+    fewest: int = 1
+    most: int = 4
+    shortest: float = 0.5
+    longest: float = 2.0
+    least_gap: float = 0.3
+    most_gap: float = 2.0
+    peak: float = 0.98
+
+    def __post_init__(self):
+        if self.rate <= 0 or self.seconds <= 0 or self.peak <= 0:
+            raise ValueError("rate, length and peak must be positive")
+        if not 1 <= self.fewest <= self.most or not 0 < self.shortest <= self.longest or not 0 <= self.least_gap <= self.most_gap:
+            raise ValueError("a range is the wrong way round")
+
+
 FROZEN = {
     "statistical_activity": StatisticalActivity(memory=0.98, machine=Hysteresis(0.80, 0.79)),
     "energy_activity": EnergyActivity(machine=Hysteresis(12.0, 6.0)),

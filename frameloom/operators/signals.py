@@ -183,3 +183,39 @@ def with_windowed_sum(df: DataFrame, at: Framing) -> DataFrame:
     w = 0.5 - 0.5 * F.cos(2 * np.pi * F.col("offset") / at.length)
     parts = frame_members(df, at, at.length - at.hop).withColumns({"n": F.col("frame") * at.hop + F.col("offset") - (at.length - at.hop), "_w": w})
     return parts.groupBy("stream", "n").agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value")).filter("n >= 0")
+
+
+def interpolate(points: DataFrame, at: DataFrame) -> DataFrame:
+    """``at(stream, x)`` with y, linear between the neighbours in ``points(stream, x, y)``; before the first and after the last it stays at these.
+
+    Both neighbours come from windows over the union, so there is no range join."""
+    p = F.struct("x", "y")
+    both = points.select("stream", "x", p.alias("p"), F.lit(0).alias("q")).unionByName(at.select("stream", "x", F.lit(None).cast(points.select(p).schema[0].dataType).alias("p"), F.lit(1).alias("q")))
+    w = Window.partitionBy("stream").orderBy("x", "q")
+    both = both.withColumns({"a": F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first("p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    blend = F.col("a.y") + (F.col("b.y") - F.col("a.y")) * (F.col("x") - F.col("a.x")) / (F.col("b.x") - F.col("a.x"))
+    y = F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | (F.col("a.x") == F.col("x")), F.col("a.y")).otherwise(blend)
+    return both.filter("q = 1").select("stream", "x", y.alias("y"))
+
+
+def magnitude_gain(enhanced: Column, original: Column, floor: float) -> Column:
+    ratio = F.when(F.abs(original) > 1e-12, F.abs(enhanced) / F.abs(original)).otherwise(1.0)
+    return F.greatest(F.lit(floor), F.least(F.lit(1.0), ratio))
+
+
+def calibrated(raw: Column, coefficients: list[float]) -> Column:
+    """A polynomial, highest power first."""
+    out = F.lit(0.0)
+    for c in coefficients:
+        out = out * raw + c
+    return out
+
+
+def zip_positions(left: DataFrame, right: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:
+    """Rows of one place in both tables' order within ``by``; different lengths raise."""
+    w = Window.partitionBy(by).orderBy(order)
+    place = F.row_number().over(w)
+    a, b = left.withColumn("_k", place), right.select(by, order, *columns).withColumn("_k", place).drop(order).withColumn("_b", F.lit(1))
+    joined = a.withColumn("_a", F.lit(1)).join(b, [by, "_k"], "full_outer")
+    whole = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("both sides must have one length")).cast("int")).otherwise(F.col("_k"))
+    return joined.withColumn("place", whole).drop("_k", "_a", "_b")

@@ -480,6 +480,34 @@ def si_sdr(spark, sf_dir):
     return signals.si_sdr(pairs(spark, sf_dir))
 
 
+@query(f"""WITH {SIGNAL}, p AS (SELECT stream, n::DOUBLE AS x, value AS y FROM signal WHERE n % 4 = 0), a AS (SELECT stream, n + 0.5::DOUBLE AS x FROM signal),
+f AS (SELECT a.stream, a.x, (SELECT max({{'x': p.x, 'y': p.y}}) FROM p WHERE p.stream = a.stream AND p.x <= a.x) AS u, (SELECT min({{'x': p.x, 'y': p.y}}) FROM p WHERE p.stream = a.stream AND p.x > a.x) AS v FROM a)
+SELECT stream, x, round(CASE WHEN v IS NULL THEN u.y ELSE u.y + (v.y - u.y) * (x - u.x) / (v.x - u.x) END, 6) AS y FROM f""")
+def interpolated_activity(spark, sf_dir):
+    df = signal(spark, sf_dir)
+    points = df.filter("n % 4 = 0").select("stream", F.col("n").cast("double").alias("x"), F.col("value").alias("y"))
+    out = signals.interpolate(points, df.select("stream", (F.col("n") + 0.5).alias("x")))
+    return out.select("stream", "x", F.round("y", 6).alias("y"))
+
+
+@query(f"WITH {SIGNAL} SELECT stream, n, round(greatest(0.2, least(1.0, CASE WHEN abs(value) > 1e-12 THEN abs(value - n % 7 / 3.0::DOUBLE) / abs(value) ELSE 1.0 END)), 6) AS gain, round((-0.08::DOUBLE * (value / 100) + 1.2::DOUBLE) * (value / 100) + 0.05::DOUBLE, 6) AS calibrated FROM signal")
+def magnitude_and_calibration(spark, sf_dir):
+    df, v = signal(spark, sf_dir), F.col("value")
+    return df.select("stream", "n", F.round(signals.magnitude_gain(v - F.col("n") % 7 / 3.0, v, 0.2), 6).alias("gain"), F.round(signals.calibrated(v / 100, [-0.08, 1.2, 0.05]), 6).alias("calibrated"))
+
+
+@query("WITH a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations), b AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations) SELECT a.conv_id, turn, a.place::INT AS place, role AS other FROM a JOIN b ON a.conv_id = b.conv_id AND a.place = b.place")
+def positional_zip(spark, sf_dir):
+    df = table(spark, sf_dir, "conversations")
+    other = df.select("conv_id", (-F.col("turn")).alias("turn"), F.col("role").alias("other"))
+    return signals.zip_positions(df.select("conv_id", "turn"), other, "conv_id", "turn", ["other"])
+
+
+@query("SELECT o_orderkey, printf('%02d:%04.1f', floor(greatest((o_orderkey * 37 - 900) / 10.0::DOUBLE, 0) / 60)::INT, greatest((o_orderkey * 37 - 900) / 10.0::DOUBLE, 0) - floor(greatest((o_orderkey * 37 - 900) / 10.0::DOUBLE, 0) / 60) * 60) AS at FROM orders")
+def timestamps(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.timestamp_text((F.col("o_orderkey") * 37 - 900) / 10.0).alias("at"))
+
+
 # Kernels: no SQL says them; tests hold them against invariants ----------------------------------------------------------
 
 
@@ -502,7 +530,7 @@ def overlap_add_sql(spark, sf_dir):
 
 def _enhanced(method: str):
     def run(spark, sf_dir):
-        df = signals.enhance(vectors(spark, sf_dir), method, SHORT)
+        df = signals.enhance(vectors(spark, sf_dir), method, SHORT, activity=StatisticalActivity(frame=SMALL, fft=16, band=(0.0, 8000.0)))
         return df.select("stream", F.transform("samples", lambda x: F.round(x, 9)).alias("samples"))
 
     run.__name__ = f"enhance_{method}"
@@ -578,6 +606,19 @@ def resample_streams(spark, sf_dir):
     return signals.per_stream(vectors(spark, sf_dir), lambda x: {"y": kernels.resample(x, 16000, 48000)}, {"y": "array<double>"})
 
 
+@query()
+def labelled_mixtures(spark, sf_dir):
+    from ..functions.settings import Placement
+
+    c = Placement(rate=100, seconds=4.0, shortest=0.2, longest=0.6, least_gap=0.1, most_gap=0.5)
+
+    def mix(r, e):
+        out = kernels.labelled_mixture([r], [e - r], 5.0, c, np.random.default_rng(20260724))
+        return {"noisy": out["noisy"], "starts": [a for a, _ in out["intervals"]], "stops": [b for _, b in out["intervals"]]}
+
+    return signals.per_stream(pairs(spark, sf_dir), mix, {"noisy": "array<double>", "starts": "array<long>", "stops": "array<long>"}, ["reference", "estimate"])
+
+
 @query()
 def residual_noise_tracks(spark, sf_dir):
     return signals.per_stream(pairs(spark, sf_dir), lambda r, e: {"noisy": kernels.activity_mixture(r, e - r, 5.0)}, {"noisy": "array<double>"}, ["reference", "estimate"])
