@@ -490,10 +490,10 @@ def interpolated_activity(spark, sf_dir):
     return out.select("stream", "x", F.round("y", 6).alias("y"))
 
 
-@query(f"WITH {SIGNAL} SELECT stream, n, round(greatest(0.2, least(1.0, CASE WHEN abs(value) > 1e-12 THEN abs(value - n % 7 / 3.0::DOUBLE) / abs(value) ELSE 1.0 END)), 6) AS gain, round((-0.08::DOUBLE * (value / 100) + 1.2::DOUBLE) * (value / 100) + 0.05::DOUBLE, 6) AS calibrated FROM signal")
+@query(f"WITH {SIGNAL} SELECT stream, n, round(greatest(0.2, least(1.0, CASE WHEN abs(value) > 1e-12 THEN abs(value - n % 7 / 3.0::DOUBLE) / abs(value) ELSE 1.0 END)), 6) AS gain, round((-0.08::DOUBLE * (value / 97) + 1.2::DOUBLE) * (value / 97) + 0.05::DOUBLE, 6) AS calibrated FROM signal")
 def magnitude_and_calibration(spark, sf_dir):
     df, v = signal(spark, sf_dir), F.col("value")
-    return df.select("stream", "n", F.round(signals.magnitude_gain(v - F.col("n") % 7 / 3.0, v, 0.2), 6).alias("gain"), F.round(signals.calibrated(v / 100, [-0.08, 1.2, 0.05]), 6).alias("calibrated"))
+    return df.select("stream", "n", F.round(signals.magnitude_gain(v - F.col("n") % 7 / 3.0, v, 0.2), 6).alias("gain"), F.round(signals.calibrated(v / 97, [-0.08, 1.2, 0.05]), 6).alias("calibrated"))
 
 
 @query("WITH a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations), b AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations) SELECT a.conv_id, turn, a.place::INT AS place, role AS other FROM a JOIN b ON a.conv_id = b.conv_id AND a.place = b.place")
