@@ -24,7 +24,7 @@ from .kernels import _BYTE, LOWER, HashTable, span_hashes, text_chunks, word_has
 
 TOXIC_ROWS, CLEAN_ROWS = 3000, 5000
 RATIO = 24.0
-LIKELY, SURE = 0.9, 0.98
+LIKELY, SURE = 0.95, 0.99
 WINDOW = 32
 WINDOWS = 6  # with lexicon words, of one document, for fitting
 STEPS, RATE, DECAY = 150, 0.15, 1e-4
