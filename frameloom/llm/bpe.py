@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import store
 from .kernels import ragged
 from .pieces import Encoder, as_characters, byte_characters
 
@@ -109,6 +110,7 @@ def encode(documents: DataFrame, path: str, pattern: str, offsets: bool = False)
                     columns[name] = pa.ListArray.from_arrays(pa.array(stop.astype(np.int32)), pa.array(values.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(columns)
 
+    store.small_batches(documents.sparkSession)
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape)
 

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import store
+
 UNIT = 576
 BLOCK = 63  # payload bytes
 # Markers of the format
@@ -468,6 +470,7 @@ def to_media(documents: DataFrame) -> DataFrame:
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "media": pa.array([store_bytes(padded(t)) for t in texts], pa.binary())})
 
+    store.small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 

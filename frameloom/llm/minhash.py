@@ -227,6 +227,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     one doc_id differ in their texts, each has its own class. A null doc_id is linked with nothing: its component is null
     and it isn't kept. Columns other than doc_id and text are neither read nor returned.
     """
+    store.small_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs = store.materialize(texts.mapInArrow(_sign, "doc_id long, n_shingles long, h1 long, h2 long, sign array<int>"), "signs")
     keyed = signs.filter("doc_id is not null and n_shingles > 0")

@@ -159,6 +159,7 @@ _scorers: dict = {}
 def score(documents: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (default doc_id and lang) with n_bytes and perplexity (null without text), written to the shared folder."""
     spark = documents.sparkSession
+    store.small_batches(spark)
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
     sample = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
     trusted = documents.select("doc_id", "text").filter(F.octet_length("text") <= TRUSTED_BYTES).join(F.broadcast(sample), "doc_id", "left_semi")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,12 +52,8 @@ def open_fs(uri: str):
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """Actions within send ``rows`` rows at a time to Python: a batch of texts is held by the JVM and by the worker."""
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH, before)
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """From now on the session sends at most ``rows`` rows at a time to Python: a batch of texts is held by the JVM and by the worker
+    at once, and plans read this setting when they run."""
+    if int(spark.conf.get(BATCH)) > rows:
+        spark.conf.set(BATCH, str(rows))

@@ -95,8 +95,8 @@ def write(documents: DataFrame, out: str, path: str, encoding: str = "dictionary
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = rows.mapInArrow(run, "file string, documents long, ids long")
-    with store.small_batches(spark):
-        manifest.write.mode("overwrite").parquet(f"{out}/_manifest")
+    store.small_batches(spark)
+    manifest.write.mode("overwrite").parquet(f"{out}/_manifest")
     return read_manifest(spark, out)
 
 

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import store
 from .kernels import _BYTE, LOWER, HashTable, span_hashes, text_chunks, word_hashes, word_spans
 
 TOXIC_ROWS, CLEAN_ROWS = 3000, 5000
@@ -169,8 +170,6 @@ def train(documents: DataFrame, labels: DataFrame) -> dict:
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = by.filter("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(by.filter("toxic = 0").orderBy(*order).limit(CLEAN_ROWS))
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    from . import store
-
     rows = store.materialize(rows.repartition(2 * spark.sparkContext.defaultParallelism), "sample")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     empty = {"lexicon": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -9.0, "trans": np.zeros((2, 2))}
@@ -311,6 +310,7 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa
 
 def tag(documents: DataFrame, model: dict) -> DataFrame:
     """doc_id, score (0 to 1; about 0 without lexicon words, 0 for null and empty texts) and spans for each row of ``documents(doc_id, text)``."""
+    store.small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,6 +323,7 @@ def tag(documents: DataFrame, model: dict) -> DataFrame:
 
 def clean(documents: DataFrame, model: dict) -> DataFrame:
     """The rows of ``documents`` whose text scores below 0.5, all columns unchanged."""
+    store.small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 
