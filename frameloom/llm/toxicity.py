@@ -9,7 +9,8 @@ Learning, from a bounded sample of labelled rows (``TOXIC_ROWS`` and ``CLEAN_ROW
 
 Scoring runs over whole texts. Words without lexicon features all have the same potentials, so a run of them is one power of a
 2 x 2 matrix, and forward-backward steps only from one lexicon word to the next; the marginals are those of the full chain.
-A document's score is the chance that one of its lexicon words is toxic, taken as independent given the marginals.
+A document's evidence is the chance that one of its lexicon words is toxic, taken as independent given the marginals; its score is a
+logistic function of the evidence, fitted to the sample's labels, as chance finds make weak evidence in clean documents too.
 """
 
 from __future__ import annotations
@@ -163,6 +164,23 @@ def _posteriors(e: np.ndarray, live: np.ndarray, trans: np.ndarray) -> tuple[np.
     return (both[:, :, 1] / both.sum(2)).T, pairs
 
 
+def calibrate(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
+    """(slope, offset) on the evidence's log odds, by Newton's method with a small ridge; the slope is positive."""
+    x = np.stack([log_odds(evidence), np.ones(len(evidence))], 1)
+    theta = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        g = x.T @ (toxic - p) - ridge * (theta - [1.0, 0.0])
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
+        theta = theta + np.clip(np.linalg.solve(h, g), -1, 1)
+    return (float(theta[0]), float(theta[1])) if theta[0] > 0.05 else (1.0, 0.0)
+
+
+def log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p) - np.log1p(-p)
+
+
 def train(documents: DataFrame, labels: DataFrame) -> dict:
     """The model of ``documents(doc_id, text)`` as ``labels(doc_id, toxic)`` marks them; without toxic rows, one that finds none."""
     spark = documents.sparkSession
@@ -172,7 +190,7 @@ def train(documents: DataFrame, labels: DataFrame) -> dict:
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
     rows = store.materialize(rows.repartition(2 * spark.sparkContext.defaultParallelism), "sample")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    empty = {"lexicon": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -9.0, "trans": np.zeros((2, 2))}
+    empty = {"lexicon": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -9.0, "trans": np.zeros((2, 2)), "curve": None}
     if not n.get(1) or not n.get(0):
         return empty
     counts = rows.mapInArrow(_document_features, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
@@ -188,7 +206,18 @@ def train(documents: DataFrame, labels: DataFrame) -> dict:
     windows = rows.mapInArrow(_windows(lexicon, sure), "size int, places array<int>, numbers array<int>, labelled array<int>").toArrow()
     windows = windows.sort_by([("size", "ascending")])
     weights, bias, trans = fit(windows, len(lexicon))
-    return {"lexicon": lexicon, "weights": weights, "bias": bias, "trans": trans}
+    model = {"lexicon": lexicon, "weights": weights, "bias": bias, "trans": trans, "curve": None}
+    found = rows.mapInArrow(_evidence(model), "evidence double, toxic int").toArrow()
+    return model | {"curve": calibrate(found.column("evidence").to_numpy(), found.column("toxic").to_numpy())}
+
+
+def _evidence(model: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(tagger.tag(batch.column(0))[0]), batch.column(1).cast(pa.int32())], ["evidence", "toxic"])
+
+    return run
 
 
 class Tagger:
@@ -196,7 +225,7 @@ class Tagger:
         self.table = HashTable(max(4, int(np.ceil(np.log2(2 * len(model["lexicon"]) + 2)))))
         self.table.add(model["lexicon"], np.arange(len(model["lexicon"]), dtype=np.int32))
         self.weights = np.append(model["weights"], 0.0)
-        self.bias = model["bias"]
+        self.bias, self.curve = model["bias"], model["curve"]
         self.a = np.exp(model["trans"] - model["trans"].max())
         # (a, then a neutral word) as a matrix, by its eigenvectors; both values are real as all entries are positive
         step = self.a @ np.diag([1.0, np.exp(self.bias)])
@@ -292,7 +321,10 @@ class Tagger:
                     mine[d].append({"start": start, "end": end, "p": float(q)})
                 before = w
             spans += mine
-        return (np.concatenate(scores) if scores else np.zeros(0)), spans
+        score = np.abs(np.concatenate(scores)) if scores else np.zeros(0)
+        if self.curve:
+            score = 1 / (1 + np.exp(-np.clip(self.curve[0] * log_odds(score) + self.curve[1], -30, 30)))
+        return score, spans
 
 
 _taggers: dict = {}

@@ -239,7 +239,7 @@ def test_toxicity(labelled, documents, odd_documents, no_documents):
         assert 0 <= r.score <= 1
         assert all(r.text[s.start : s.end] in ("idiot", "moron", "scumbag") or " " in r.text[s.start : s.end] for s in r.spans) or not r.toxic
     scored = toxicity.tag(odd_documents, model).collect()
-    assert len(scored) == len(texts()) and {r.score for r in scored if r.doc_id in (0, 1, 2)} == {0.0}
+    assert len(scored) == len(texts()) and max(r.score for r in scored if r.doc_id in (0, 1, 2)) < 0.1
     assert next(r for r in scored if r.doc_id == 13).score > 0.5
     assert toxicity.clean(odd_documents, model).columns == odd_documents.columns
     assert toxicity.tag(no_documents, model).count() == 0
@@ -249,7 +249,7 @@ def test_toxicity(labelled, documents, odd_documents, no_documents):
 
 def test_runs_equal_the_full_chain():
     rng = np.random.default_rng(6)
-    model = {"lexicon": np.array([1], np.uint64), "weights": np.array([1.0]), "bias": -2.0, "trans": np.array([[0.4, -1.0], [-0.5, 0.8]])}
+    model = {"lexicon": np.array([1], np.uint64), "weights": np.array([1.0]), "bias": -2.0, "trans": np.array([[0.4, -1.0], [-0.5, 0.8]]), "curve": None}
     tagger = toxicity.Tagger(model)
     sizes = np.array([1, 5, 40, 3])
     doc = np.repeat(np.arange(4), sizes)
