@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jpeg, minhash, mixing, quality, rules, tokenfile, toxicity, urls, warc
+from . import bpe, jpeg, minhash, mixing, oracles, quality, rules, tokenfile, toxicity, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_progressive_jpeg": jpeg.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": rules.OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dedup": oracles.OP2_SQL, "op3_quality_rules": rules.OP3_SQL}
