@@ -181,16 +181,16 @@ def _extend(value: int, size: int) -> int:
     return value if size == 0 or value >> (size - 1) else value - (1 << size) + 1
 
 
-def _run(bits: Bits, code: int, length: int, size: int, most: int) -> np.ndarray:
-    """The values of the next symbols that all have this code, each with ``size`` bits, at most ``most``; looks ever further."""
-    found, step, width = [], 64, length + size
+def _run(bits: Bits, code: int, length: int, size: int, most: int, step: int = 4096) -> np.ndarray:
+    """The values of the next symbols that all have this code, each with ``size`` bits, at most ``most``; looks ``step`` ahead, then ever further."""
+    found, width = [], length + size
     own = np.array(_bit_list(code, length), np.uint8)
     while most > 0:
         n = min(step, most, (bits.end - bits.at) // width)
         if n == 0:
             break
         rows = bits.peek(n * width).reshape(n, width)
-        same = (rows[:, :length] == own).all(axis=1)
+        same = rows[:, 0] == own[0] if length == 1 else (rows[:, :length] == own).all(axis=1)
         good = n if same.all() else int(same.argmin())
         if good:
             lead = rows[:good, length:]
@@ -212,6 +212,8 @@ def _dc(bits: Bits, blocks: list[tuple[np.ndarray, np.ndarray, dict]], refine: b
     units, per = len(blocks[0][1]), [p.shape[1] for _, p, _ in blocks]
     if refine:
         bit = bits.take(units * sum(per)).reshape(units, -1).astype(np.int16) << low
+        if not bit.any():
+            return
         done = 0
         for (c, place, _), n in zip(blocks, per):
             c[place, 0] |= bit[:, done : done + n]
@@ -244,18 +246,29 @@ def _dc(bits: Bits, blocks: list[tuple[np.ndarray, np.ndarray, dict]], refine: b
         at += 1
 
 
+def _rows(place: np.ndarray, b: int, n: int) -> slice | np.ndarray:
+    """Places b to b + n, as a slice where they are neighbours."""
+    a, z = int(place[b]), int(place[b + n - 1])
+    return slice(a, z + 1) if z - a == n - 1 else place[b : b + n]
+
+
 def _ac_first(bits: Bits, c: np.ndarray, place: np.ndarray, table: dict, first: int, last: int, low: int) -> None:
     band = last - first + 1
     at, total = 0, len(place) * band
-    lead = None
+    lead, step = None, 4096
     while at < total:
         if lead is not None:
             size, (code, length) = lead
-            value = _run(bits, code, length, size, total - at)
-            if len(value):
-                flat = np.arange(at, at + len(value))
-                c[place[flat // band], first + flat % band] = value << low
-                at += len(value)
+            value = _run(bits, code, length, size, total - at, step)
+            step = 4096 if len(value) > 64 else 16
+            head = min(-at % band, len(value))
+            whole = (len(value) - head) // band
+            for part, n in ((value[:head], 0), (value[head : head + whole * band], whole), (value[head + whole * band :], 0)):
+                if n:
+                    c[_rows(place, at // band, n), first : last + 1] = part.reshape(n, band) << low
+                elif len(part):
+                    c[place[at // band], first + at % band : first + at % band + len(part)] = part << low
+                at += len(part)
             lead = None
             continue
         symbol = bits.symbol(table["decode"])
@@ -276,10 +289,14 @@ def _ac_first(bits: Bits, c: np.ndarray, place: np.ndarray, table: dict, first:
 def _ac_refine(bits: Bits, c: np.ndarray, place: np.ndarray, table: dict, first: int, last: int, low: int) -> None:
     one = 1 << low
 
-    def correct(rows: np.ndarray, k: int) -> None:
+    def correct(rows: slice | np.ndarray, k: int) -> None:
         """Correction bits of all coefficients from k on that are known not to be 0."""
         part = c[rows, k : last + 1]
         known = part != 0
+        if known.all():
+            bit = bits.take(part.size).reshape(part.shape).astype(np.int16)
+            c[rows, k : last + 1] = part + (bit << low) * ((part > 0) * np.int16(2) - np.int16(1))
+            return
         bit = bits.take(int(known.sum())).astype(bool)
         values = part[known]
         values[bit] += np.where(values[bit] > 0, one, -one).astype(values.dtype)
@@ -294,9 +311,12 @@ def _ac_refine(bits: Bits, c: np.ndarray, place: np.ndarray, table: dict, first:
             run, size = symbol >> 4, symbol & 15
             if size == 0 and run < 15:
                 n = (1 << run) + bits.number(run)
-                correct(place[b : b + 1], k)
-                if n > 1:
-                    correct(place[b + 1 : b + n], first)
+                if k > first:
+                    correct(_rows(place, b, 1), k)
+                    if n > 1:
+                        correct(_rows(place, b + 1, n - 1), first)
+                else:
+                    correct(_rows(place, b, n), first)
                 b += n - 1
                 break
             new = (one if bits.number(1) else -one) if size else 0
@@ -363,6 +383,22 @@ def coefficients(image: bytes) -> tuple[dict, list[np.ndarray]]:
     return head, [c.reshape(down * p[2], across * p[1], 64) for c, p in zip(arrays, head["parts"])]
 
 
+def _places(head: dict, i: int, several: bool) -> np.ndarray:
+    """Where the blocks of component i stand, (units, blocks in a unit), in a scan of it alone or of several."""
+    known = head.setdefault("places", {})
+    if (i, several) not in known:
+        down, across = head["units"]
+        _, h, v, _ = head["parts"][i]
+        grid = np.arange(down * v * across * h).reshape(down * v, across * h)
+        if several:
+            known[i, several] = grid.reshape(down, v, across, h).transpose(0, 2, 1, 3).reshape(down * across, v * h)
+        else:
+            most_h, most_v = max(p[1] for p in head["parts"]), max(p[2] for p in head["parts"])
+            rows, columns = (-(-(-(-size * own // most)) // 8) for size, own, most in ((head["size"][0], v, most_v), (head["size"][1], h, most_h)))
+            known[i, several] = grid[:rows, :columns].reshape(-1, 1)
+    return known[i, several]
+
+
 def _scan(image: bytes, at: int, stops: np.ndarray, head: dict, arrays: list[np.ndarray], body: bytes) -> int:
     """Reads one scan from ``at`` on; returns its end."""
     n = body[0]
@@ -378,17 +414,7 @@ def _scan(image: bytes, at: int, stops: np.ndarray, head: dict, arrays: list[np.
         if k >= len(stops) or not 0xD0 <= image[end + 1] <= 0xD7:
             break
         at, k = end + 2, k + 1
-    down, across = head["units"]
-    places = []
-    for i, _ in chosen:
-        _, h, v, _ = head["parts"][i]
-        grid = np.arange(down * v * across * h).reshape(down * v, across * h)
-        if n > 1:
-            places.append(grid.reshape(down, v, across, h).transpose(0, 2, 1, 3).reshape(down * across, v * h))
-        else:
-            most_h, most_v = max(p[1] for p in head["parts"]), max(p[2] for p in head["parts"])
-            rows, columns = (-(-(-(-size * own // most)) // 8) for size, own, most in ((head["size"][0], v, most_v), (head["size"][1], h, most_h)))
-            places.append(grid[:rows, :columns].reshape(-1, 1))
+    places = [_places(head, i, n > 1) for i, _ in chosen]
     units = len(places[0])
     step = head["interval"] or units
     for s, segment in enumerate(segments):
