@@ -1,10 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney model over bytes, trained on trusted text.
 
-Training text is a bounded sample of rows labelled good (``TRUSTED_ROWS`` rows, of texts up to ``TRUSTED_BYTES`` bytes; other
-texts of that length are scored like all). Counts of the n-grams of ``ORDER`` bytes, continuation counts of the shorter ones,
-discounts and context totals are grouped and joined on the n-gram, dealt over the cluster by its hash. The model's rows are
-at most ``ORDER`` per byte of the sample, so it can be sent to every executor; there each batch joins its n-grams with it.
-A corpus-wide exchange of n-grams instead would write some 10 times the input to disk.
+Training text is the whole text of all rows labelled good. Counts of the n-grams of ``ORDER`` bytes, continuation counts of the
+shorter ones, discounts and context totals are grouped and joined on the n-gram, dealt over the cluster by its hash. The model
+grows with the training text and is held in no process: it lies in the shared folder as shards of some ``SHARD`` rows. A scoring
+task gathers the distinct n-grams of some ``HELD`` bytes of text and joins those it hasn't met yet with the shards, one at a time.
+A corpus-wide exchange of (document, n-gram) rows instead would write some 10 times the input to disk.
 
 A document's perplexity is per byte, over its whole text. Thresholds cover all rows: for each language the ``QUANTILE`` of
 perplexities of all rows labelled good, widened by ``MARGIN`` and, as a text's first bytes cost more, by ``START`` nats a text; languages with fewer than ``LEAST`` such rows, and null,
@@ -18,14 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import store
 from .kernels import U64, HashTable, text_chunks
 
 ORDER = 5
-TRUSTED_ROWS = 4000
-TRUSTED_BYTES = 1 << 16
+PIECE = 1 << 18  # bytes whose n-grams are made at once
+SHARD = 1 << 18  # rows
+HELD = 1 << 24  # bytes of text
+MET = 1 << 20  # n-grams whose probabilities a worker keeps from batch to batch
+READY = 1 << 21  # rows of shards that a worker keeps
 QUANTILE = 0.995
 MARGIN = 1.15
 START = 6.0
@@ -44,16 +48,29 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return code
 
 
+def gram_chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, codes of its n-grams and of those of rows after it, offsets); a long text comes in several parts of one row."""
+    for a, _, data, offsets in text_chunks(texts, size):
+        if len(data) <= size:
+            yield a, ngrams(data, offsets), offsets
+            continue
+        for i in range(0, len(data), size):
+            lead = min(i, ORDER - 1)
+            part = data[i - lead : i + size]
+            yield a, ngrams(part, np.array([0, len(part)]))[lead:], np.array([0, len(part) - lead])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in text_chunks(batch.column(0), 1 << 20):
-            codes, n = np.unique(ngrams(data, offsets), return_counts=True)
+        for _, codes, _ in gram_chunks(batch.column(0), 1 << 20):
+            codes, n = np.unique(codes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n, pa.int64())], ["code", "n"])
 
 
-def train(trusted: DataFrame) -> dict[str, list]:
-    """The model of ``trusted(text)``: for each order, from 1 on, the log probabilities of seen n-grams by code, and the log
-    weights of their contexts' lower orders. An empty table gives a model in which all bytes are equally likely."""
+def train(trusted: DataFrame) -> list[str]:
+    """The model of ``trusted(text)``, as the URIs of its shards: (level, code, value), sorted. On level k, from 1 on, are the log
+    probabilities of seen n-grams of k bytes, on level -k the log weights of their contexts' lower orders. An empty table gives a
+    model in which all bytes are equally likely."""
     counts = store.materialize(trusted.select("text").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "ngrams")
     tables = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
@@ -80,19 +97,14 @@ def train(trusted: DataFrame) -> dict[str, list]:
             lower = F.col("lower")
         t = t.withColumn("p", (n - cut) / F.col("total") + F.col("weight") * lower)
         t = store.materialize(t.select(F.lit(k).alias("k"), "code", "context", "p", "weight"), "order")
-        out = t if out is None else out.unionByName(t)
+        value = lambda c: F.log(c).cast("float").alias("value")
+        grams = t.select("k", "code", value(F.col("p")))
+        contexts = t.groupBy((-F.col("k")).alias("k"), F.col("context").alias("code")).agg(value(F.greatest(F.first("weight"), F.lit(1e-12))))
+        out = grams.unionByName(contexts) if out is None else out.unionByName(grams).unionByName(contexts)
         below = t.select(F.col("code").alias("suffix"), F.col("p").alias("lower"))
-    model = out.toArrow()
-    order = model.column("k").to_numpy()
-    result = {"grams": [], "contexts": []}
-    for k in range(1, ORDER + 1):
-        at = order == k
-        code, context, p, weight = (model.column(c).to_numpy()[at] for c in ("code", "context", "p", "weight"))
-        i = np.argsort(code)
-        context, first = np.unique(context, return_index=True)
-        result["grams"].append((code[i].view(np.uint64), np.log(p[i]).astype(np.float32)))
-        result["contexts"].append((context.view(np.uint64), np.log(np.maximum(weight[first], 1e-12)).astype(np.float32)))
-    return result
+    out = store.materialize(out.select(F.col("k").cast("int").alias("level"), "code", "value"), "levels")
+    shards = out.coalesce(max(1, math.ceil(out.count() / SHARD))).sortWithinPartitions("level", "code")
+    return store.materialize(shards, "model").inputFiles()
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -103,53 +115,109 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-class Scorer:
-    def __init__(self, model: dict[str, list]):
-        self.grams = [self._table(*x) for x in model["grams"]]
-        self.contexts = [self._table(*x) for x in model["contexts"]]
+def _shard(uri: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By level, the codes, ascending, and their values."""
+    fs, path = store.open_fs(uri)
+    table = pq.read_table(path, filesystem=fs)
+    level, code, value = (table.column(c).to_numpy() for c in ("level", "code", "value"))
+    levels, first = np.unique(level, return_index=True)
+    return {int(k): (code[a:b].view(np.uint64), value[a:b]) for k, a, b in zip(levels, first, [*first[1:], len(level)])}
+
 
-    @staticmethod
-    def _table(codes: np.ndarray, values: np.ndarray) -> tuple[HashTable, np.ndarray]:
-        table = HashTable(max(4, math.ceil(math.log2(len(codes) * 2 + 2))))
-        table.add(codes, np.arange(len(codes), dtype=np.int32))
-        return table, values
+class Scorer:
+    """Log probabilities by the model in ``shards``. Codes get numbers as they are met; those not met before are settled together."""
+
+    def __init__(self, shards: list[str]):
+        self.shards = shards
+        self.ready: dict[str, dict] = {}
+        self.room = READY
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.table, self.values, self.open = HashTable(16), np.zeros(0, np.float32), []
+
+    def _read(self) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+        for uri in self.shards:
+            shard = self.ready.get(uri)
+            if shard is None:
+                shard = _shard(uri)
+                rows = sum(len(codes) for codes, _ in shard.values())
+                if rows <= self.room:
+                    self.ready[uri] = shard
+                    self.room -= rows
+            yield shard
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        found = self.table.find(codes)
+        new = found < 0
+        if new.any():
+            some = np.unique(codes[new])
+            self.table.add(some, np.arange(self.table.n, self.table.n + len(some), dtype=np.int32))
+            self.open.append(some)
+            found[new] = self.table.find(codes[new])
+        return found
+
+    def settle(self) -> None:
+        if self.open:
+            codes = np.concatenate(self.open)
+            self.open = []
+            self.values = np.concatenate([self.values, *(self._join(codes[i : i + (1 << 20)]) for i in range(0, len(codes), 1 << 20))])
+
+    def _join(self, codes: np.ndarray) -> np.ndarray:
+        """One pass over the shards for all orders of the n-grams."""
+        keys, back, values = {}, {}, {}
+        for k in range(1, ORDER + 1):
+            suffix = codes & U64((1 << 8 * k) - 1)
+            for level, x in ((k, suffix), (-k, suffix >> U64(8))):
+                keys[level], back[level] = np.unique(x, return_inverse=True)
+                back[level] = back[level].astype(np.int32)
+                values[level] = np.full(len(keys[level]), np.nan, np.float32)
+        for shard in self._read():
+            for level, (have, value) in shard.items():
+                want = keys[level]
+                if len(want) < len(have):
+                    at = np.searchsorted(have, want).clip(0, len(have) - 1)
+                    hit = have[at] == want
+                    values[level][hit] = value[at[hit]]
+                else:
+                    at = np.searchsorted(want, have).clip(0, len(want) - 1)
+                    hit = want[at] == have
+                    values[level][at[hit]] = value[hit]
+        out = np.full(len(codes), math.log(1 / 256))
+        for k in range(1, ORDER + 1):
+            seen = values[k][back[k]]
+            out = np.where(np.isnan(seen), out + np.nan_to_num(values[-k][back[-k]], nan=0.0), seen)
+        return out.astype(np.float32)
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(codes))
-        left = np.arange(len(codes))
-        for k in range(ORDER, 0, -1):
-            table, values = self.grams[k - 1]
-            found = table.find(codes)
-            hit = found >= 0
-            out[left[hit]] += values[found[hit]]
-            left, codes = left[~hit], codes[~hit]
-            if not len(left):
-                return out
-            table, values = self.contexts[k - 1]
-            found = table.find(codes >> U64(8))
-            hit = found >= 0
-            out[left[hit]] += values[found[hit]]
-            codes = codes & U64((1 << 8 * (k - 1)) - 1)
-        out[left] += math.log(1 / 256)
+        found = self.numbers(codes)
+        self.settle()
+        return self.values[found].astype(float)
+
+    def perplexities(self, columns: list[pa.Array]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each column of texts (bytes, perplexity per byte, NaN without text)."""
+        if self.table.n > MET:
+            self._fresh()
+        parts = [[(a, self.numbers(codes), offsets) for a, codes, offsets in gram_chunks(texts, PIECE)] for texts in columns]
+        self.settle()
+        out = []
+        for texts, some in zip(columns, parts):
+            n, s = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            for a, found, offsets in some:
+                size = np.diff(offsets)
+                full = size > 0
+                rows = a + np.flatnonzero(full)
+                n[rows] += size[full]
+                if len(rows):
+                    s[rows] += np.add.reduceat(self.values[found].astype(float), offsets[:-1][full])
+            out.append((n, np.where(n > 0, np.exp(-s / np.maximum(n, 1)), np.nan)))
         return out
 
-    def perplexities(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, perplexity per byte, NaN without text)."""
-        sizes, sums = [], []
-        for _, _, data, offsets in text_chunks(texts, 1 << 18):
-            n = np.diff(offsets)
-            sums.append(np.zeros(len(n)))
-            sums[-1][n > 0] = np.add.reduceat(self.log_probabilities(ngrams(data, offsets)), offsets[:-1][n > 0]) if len(data) else 0
-            sizes.append(n)
-        n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        s = np.concatenate(sums) if sums else np.zeros(0)
-        return n, np.where(n > 0, np.exp(-s / np.maximum(n, 1)), np.nan)
 
-
-def _scorer(sent) -> Scorer:
+def _scorer(shards: list[str]) -> Scorer:
     """One for each worker process and model."""
-    if _scorers.get("of") is not sent.value:
-        _scorers.update(of=sent.value, scorer=Scorer(sent.value))
+    if _scorers.get("of") != shards:
+        _scorers.update(of=shards, scorer=Scorer(shards))
     return _scorers["scorer"]
 
 
@@ -161,21 +229,28 @@ def score(documents: DataFrame, labels: DataFrame, carry: list[str] | None = Non
     spark = documents.sparkSession
     store.small_batches(spark)
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    sample = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
-    trusted = documents.select("doc_id", "text").filter(F.octet_length("text") <= TRUSTED_BYTES).join(F.broadcast(sample), "doc_id", "left_semi")
-    sent = spark.sparkContext.broadcast(train(trusted))
+    # texts are dealt out by doc_id at all sizes: the list of trusted rows grows with the input
+    shards = train(documents.select("doc_id", "text").filter("doc_id is not null and text <> ''").join(good.hint("shuffle_hash"), "doc_id", "left_semi"))
     carry = carry or ["doc_id", "lang"]
     kinds = {f.name: f for f in documents.schema.fields}
     source = documents.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)), *([] if "text" in carry else [F.col("text").alias("_text")]))
     text = f"_{carry.index('text')}" if "text" in carry else "_text"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(sent)
-        for batch in batches:
-            n, p = scorer.perplexities(batch.column(text))
+    def scored_rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, (n, p) in zip(held, _scorer(shards).perplexities([batch.column(text) for batch in held])):
             columns = [batch.column(i) for i in range(len(carry))] + [pa.array(n, pa.int64()), pa.array(np.round(p, 4), from_pandas=True)]
             yield pa.RecordBatch.from_arrays(columns, [*(f"_{i}" for i in range(len(carry))), "n_bytes", "perplexity"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(text).nbytes
+            if size >= HELD:
+                yield from scored_rows(held)
+                held, size = [], 0
+        yield from scored_rows(held)
+
     shape = ", ".join(f"_{i} {kinds[c].dataType.simpleString()}" for i, c in enumerate(carry)) + ", n_bytes long, perplexity double"
     scored = source.mapInArrow(run, shape)
     return store.materialize(scored.toDF(*carry, "n_bytes", "perplexity"), "perplexities")

@@ -230,6 +230,18 @@ def test_kneser_ney_probabilities_sum_to_one(labelled):
         assert abs(np.exp(scorer.log_probabilities(codes)).sum() - 1) < 1e-3
 
 
+def test_quality_learns_from_all_trusted_rows(spark):
+    """More rows than one sample would hold, and a long text: each has been trained on, so its own n-grams are expected."""
+    draw = lambda x: F.base64(F.unhex(F.sha2(x.cast("string"), 256)))
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), draw(F.col("id")).alias("text"))
+    long = spark.range(1).select(F.lit(5000).cast("long").alias("doc_id"), F.concat_ws("", F.transform(F.sequence(F.lit(10_000), F.lit(17_000)), draw)).alias("text"))
+    docs = many.unionByName(long).withColumn("lang", F.lit("en"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = quality.score(docs, labels).agg(F.count("*").alias("n"), F.max("perplexity").alias("most"), F.max("n_bytes").alias("bytes")).first()
+    assert got.n == 5001 and got.bytes > 1 << 18
+    assert got.most < 20
+
+
 def test_toxicity(labelled, documents, odd_documents, no_documents):
     docs, labels = labelled
     model = toxicity.train(docs, labels.filter(~toxicity.held_out()))
