@@ -15,8 +15,8 @@ linked when 100 * intersection >= 85 * union of the full sets. The steps:
    groups, and each group's full sets are compared in blocks. A block returns edges that join what it found alike, fewer than
    it has nodes, so a large group of copies never becomes all its pairs.
 
-A pair at similarity 0.85 has 54.4 equal coordinates on average with a deviation of 2.9, so one in some 4,000 such pairs
-falls below ``MATCHES``; at 0.9 one in 10**7.
+A pair at similarity 0.85 has 54.4 equal coordinates on average with a deviation of 2.9, so one in some 7 million such pairs
+falls below ``MATCHES``; at 0.9 one in 10**10.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .kernels import U64, mix, text_chunks, word_hashes, word_spans
 
 WORDS = 5
 COORDINATES = 64
-MATCHES = 44
+MATCHES = 38
 NUMERATOR, DENOMINATOR = 85, 100
 FEW, MANY = 256, 2048  # nodes in the two blocks of a list that are compared at once
 FEW_SHINGLES, MANY_SHINGLES = 1 << 17, 1 << 20  # those of a group

@@ -90,6 +90,15 @@ def test_minhash_large_group_of_near_copies(spark):
     assert got == components(rows)
 
 
+def test_minhash_isolated_pair_with_few_equal_coordinates(spark):
+    """Similarity 0.853, but only 42 of 64 coordinates are equal."""
+    rows = [(k, " ".join([f"s22163w{i}" for i in range(178)] + [f"s22163{e}{i}" for i in range(15)])) for k, e in enumerate("ab")]
+    a, b = minhash.shingle_sets(pa.array([t for _, t in rows]))
+    assert (minhash.signature(a) == minhash.signature(b)).sum() == 42
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(rows) == {0: 0, 1: 0}
+
+
 def test_forest_joins_what_is_near():
     near = {0: [2, 3], 1: [3], 4: []}
     a, b = minhash._forest(np.array([0, 1, 4]), np.array([2, 3, 5]), lambda i: np.isin(np.array([2, 3, 5]), near[i]))
