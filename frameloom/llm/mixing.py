@@ -4,48 +4,58 @@ A source of ``source_size`` words and target T is taken at the rate r = T / sour
 more with the chance r - floor(r). Which documents get the extra copy is drawn by the cube method (Deville and Tille, 2004):
 flight moves the chances along vectors that leave the balancing totals (documents and words) unchanged until each is 0 or 1.
 
-Flight is done in cells of some ``CELL`` documents of one source, dealt by the hash of doc_id and size; a cell leaves at most two
-undecided. The undecided of ``CELL`` cells meet in a cell of the next level, so the levels' number grows with the logarithm of
-the documents, no task holds more than a few cells, and hot sources are just more cells. The last two of a source land:
-balancing is given up, and each is drawn by its own chance. Draws depend on ids and sizes only, so reruns agree.
+Flight is done in cells of some ``CELL`` documents of one source, dealt by the hash of doc_id and size, largest documents first; a
+cell leaves at most two undecided. The undecided of ``CELL`` cells meet in a cell of the next level, so the levels' number grows
+with the logarithm of the documents, no task holds more than a few cells, and hot sources are just more cells. One cell of each
+source is kept back for the last level. There the last two undecided land: of their four outcomes the one nearest to the words that
+remain of the target is taken. As an undecided document may be a long one, what is still missing is then made up with decided
+documents of this cell, by exchanging one for another where that suffices. Draws depend on ids and sizes only, so reruns agree.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import store
 
 CELL = 1024
+FEW_SOURCES, SALTS = 10_000, 32
+EXCHANGES = 64
 MOST = 3.0
 WEIGHTS = (5, 2, 1)
 SEED = 20260724
 EPS = 1e-9
 
 
-def targets(sizes: list[int], weights: list[float], most: float = MOST, total: float | None = None) -> list[float]:
-    """Shares of ``total`` (default: the sum of sizes) by weight; none above ``most`` times its size, the excess shared anew by weight among
-    the others until none is above. What no source can take is left over."""
-    left = float(sum(sizes)) if total is None else float(total)
-    out = [0.0] * len(sizes)
-    open_ = [i for i in range(len(sizes)) if sizes[i] > 0]
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = unit * weights[i]
-            break
-        for i in full:
-            out[i] = most * sizes[i]
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
+def level_of(caps: DataFrame, total: float) -> float:
+    """The number of words u for each unit of weight, such that shares ``least(u * weight, cap)`` of ``caps(weight, cap)`` sum to ``total``: what is
+    above a cap is shared anew by weight among the others until none is above. Only sums come to the driver. Infinite where all caps are too low."""
+    unit = 0.0
+    while True:
+        full = F.col("cap") < F.col("weight") * unit
+        r = caps.agg(F.sum(F.when(full, F.col("cap"))).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        now = (total - float(r["held"] or 0)) / r["open"] if r["open"] else float("inf")
+        if now <= unit or now == float("inf"):
+            return now if r["open"] is None else unit
+        unit = now
+
+
+def numbered(totals: DataFrame) -> DataFrame:
+    """``totals`` with number, its rows' place (from 0) in the code point order of source, null last: sorted in ranges, whose sizes are summed."""
+    key = F.struct(F.col("source").isNull().alias("last"), F.col("source"))
+    placed = totals.withColumn("_key", key).repartitionByRange("_key").sortWithinPartitions("_key").drop("_key").withColumn("_id", F.monotonically_increasing_id())
+    placed = store.materialize(placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))), "sources")
+    counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}  # a row for each range
+    before, pairs = 0, []
+    for part in sorted(counts):
+        pairs += [F.lit(part), F.lit(before)]
+        before += counts[part]
+    lead = F.element_at(F.create_map(*pairs), F.col("_part")) if pairs else F.lit(0)
+    return placed.withColumn("number", (lead + F.col("_at")).cast("long")).drop("_id", "_part", "_at")
 
 
 def fly(p: np.ndarray, size: np.ndarray, draw: np.random.Generator) -> np.ndarray:
@@ -75,20 +85,65 @@ def _reach(x: np.ndarray, u: np.ndarray) -> float:
         return float(np.min(np.where(u > 0, (1 - x) / np.where(u > 0, u, 1), np.where(u < 0, x / np.where(u < 0, -u, 1), np.inf))))
 
 
-def _land(p: np.ndarray, draw: np.random.Generator) -> np.ndarray:
-    return np.where(draw.random(len(p)) < p, 1.0, 0.0)
+def land(p: np.ndarray, size: np.ndarray, want: float) -> np.ndarray:
+    """Decided chances whose words come near ``want``. Each outcome of the undecided (few) is tried, and then made nearer by exchanging taken and left
+    documents, one for one, so that the documents' total stays; before that, as another try, by taking or leaving long ones before short ones
+    where that doesn't overshoot. The try that ends nearest wins, in whole words, of equally near ones that with the fewest changes."""
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    best, out = (np.inf, 0), p
+    for outcome in np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1:
+        for filled in (False, True):
+            q = p.copy()
+            q[open_] = outcome
+            changes = _fill(q, size, want) if filled else 0
+            changes += _exchange(q, size, want)
+            rank = (round(abs(want - float(size @ q))), changes)
+            if rank < best:
+                best, out = rank, q
+    return out
+
+
+def _exchange(p: np.ndarray, size: np.ndarray, want: float) -> int:
+    """Exchanges in place a taken for a left document, the pair that comes nearest to ``want`` first, while that helps; returns their number."""
+    for n in range(EXCHANGES):
+        missing = want - float(size @ p)
+        taken, left = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if not len(taken) or not len(left):
+            return n
+        left = left[np.argsort(size[left], kind="stable")]
+        above = np.searchsorted(size[left], size[taken] + missing)
+        pairs = [(np.abs(missing + size[taken] - size[left[at]]), at) for at in (above.clip(0, len(left) - 1), (above - 1).clip(0, len(left) - 1))]
+        rest, at = min(pairs, key=lambda x: x[0].min())
+        k = int(np.argmin(rest))
+        if rest[k] > abs(missing) - EPS:
+            return n
+        p[[taken[k], left[at[k]]]] = 0.0, 1.0
+    return EXCHANGES
+
+
+def _fill(p: np.ndarray, size: np.ndarray, want: float) -> int:
+    """Takes left documents (or leaves taken ones, if there are too many words) in place, long ones first, none beyond ``want``; returns their number."""
+    missing = want - float(size @ p)
+    can = np.flatnonzero((p == 0) if missing > 0 else (p == 1))
+    rest, n = abs(missing), 0
+    for i in can[np.argsort(-size[can], kind="stable")]:
+        if 0 < size[i] <= rest:
+            p[i] = 1 - p[i]
+            rest, n = rest - size[i], n + 1
+    return n
 
 
 def _level(last: bool, level: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        order = np.lexsort((t.column("unit").to_numpy(),))
-        t = t.take(pa.array(order))
+        weight = t.column("weight").to_numpy()
+        order = np.lexsort((t.column("size").to_numpy(), t.column("unit").to_numpy(), -weight))
+        t, weight = t.take(pa.array(order)), weight[order].astype(float)
         source, cell = (k.as_py() for k in key)
-        draw = np.random.default_rng([SEED, level, source, cell])
-        p = fly(t.column("p").to_numpy(), t.column("size").to_numpy(), draw)
+        before = t.column("p").to_numpy()
+        p = fly(before, weight, np.random.default_rng([SEED, level, source, cell]))
         if last:
-            p = _land(p, draw)
-        return t.select(["unit", "source", "size"]).append_column("p", pa.array(p))
+            p = land(p, weight, float(before @ weight))
+        return t.select(["unit", "source", "size", "weight"]).append_column("p", pa.array(p))
 
     return run
 
@@ -98,37 +153,54 @@ def word_count(text: str | Column = "text") -> Column:
 
 
 def mix(sized: DataFrame, tag: str = "mix", target: float | None = None) -> DataFrame:
-    """``sized(unit, source, size)`` with source_size, target and taken; ``unit`` names the row and must be unique for a balanced draw (rows
-    of one unit and size still get equal copies). Documents without words are taken 0 words."""
-    spark = sized.sparkSession
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
-    weights = [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(totals))]
-    want = targets([r["source_size"] for r in totals], weights, total=target)
-    rows = [(i, r["source"], r["source_size"], t, t / r["source_size"] if r["source_size"] else 0.0, max(1, math.ceil(r["n"] / CELL))) for i, (r, t) in enumerate(zip(totals, want))]
-    plan = spark.createDataFrame(rows, "number int, source string, source_size long, target double, rate double, cells int")
-    # a row for each source: as many as the driver has just gathered, and sent where they are few
-    plan = F.broadcast(plan) if len(rows) <= 10_000 else plan
-    joined = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    whole = F.floor("rate").cast("long")
-    spread = F.pmod(F.xxhash64("unit", "size"), F.col("cells")).cast("int")
-    rest = joined.filter((F.col("rate") > whole) & (F.col("size") > 0)).select("unit", F.col("number").alias("source"), "size", (F.col("rate") - whole).alias("p"), spread.alias("cell"))
-    rest = rest.groupBy("unit", "source", "size", "p", "cell").agg(F.count("*").alias("same")).drop("same")
-    cells = max((r[5] for r in rows), default=1)
-    decided, level = None, 0
-    while True:
-        last = cells == 1
-        flown = rest.groupBy("source", "cell").applyInArrow(_level(last, level), "unit long, source int, size long, p double")
-        flown = store.materialize(flown, tag)
-        done = flown.filter("p = 0 or p = 1") if not last else flown
+    """``sized(unit, source, size)`` with source_size, target and taken (columns of these names are replaced, all others kept).
+
+    ``unit`` names the row. Rows of one unit, source and size are drawn together and get equal copies. Null is a source of its own, the
+    last. Documents without words are taken 0 words; an empty table gives an empty one.
+    """
+    sized = sized.drop("source_size", "target", "taken")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("number") % len(WEIGHTS) + 1).cast("int"))
+    totals = store.materialize(numbered(totals).withColumn("weight", weight).withColumn("cap", MOST * F.col("source_size")), "sources")
+    total = totals.agg(F.sum("source_size").alias("s"), F.count("*").alias("n"), F.max("n").alias("most")).first()
+    unit = level_of(totals.filter("source_size > 0"), float(total["s"] or 0) if target is None else float(target))
+    wanted = F.when(F.col("source_size") > 0, F.least(F.col("cap"), F.col("weight") * F.lit(unit))).otherwise(0.0)
+    plan = totals.withColumn("target", wanted).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    plan = plan.select("source_size", "target", F.struct("number", "rate", F.ceil(F.col("n") / CELL).alias("cells")).alias("_mix"), F.col("source").alias("_mix_source"))
+    # which join is made depends on the number of sources; its rows don't. Many sources are met in salted parts, as one may hold most rows
+    if total["n"] <= FEW_SOURCES:
+        joined = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(F.col("_mix_source")))
+    else:
+        parts = plan.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = sized.withColumn("_mix_salted", F.pmod(F.xxhash64("unit", "size"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(parts, F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_salted") == F.col("_mix_salt"))).drop("_mix_salt", "_mix_salted")
+    joined = joined.drop("_mix_source")
+    rate, whole = F.col("_mix.rate"), F.floor("_mix.rate").cast("long")
+    spread = F.pmod(F.xxhash64("unit", "size"), F.col("_mix.cells")).cast("int")
+    rest = joined.filter((rate > whole) & (F.col("size") > 0)).select("unit", F.col("_mix.number").alias("source"), "size", (rate - whole).alias("p"), spread.alias("cell"))
+    rest = rest.groupBy("unit", "source", "size", "p", "cell").agg((F.col("size") * F.count("*")).alias("weight"))
+    cells = max(1, math.ceil((total["most"] or 0) / CELL))
+    shape = "unit long, source long, size long, weight long, p double"
+    decided, level, kept_back = None, 0, None
+    if cells > 1:
+        rest = store.materialize(rest, tag)
+        kept_back = rest.filter("cell = 0")
+        rest = rest.filter("cell > 0")
+    while cells > 1:
+        flown = store.materialize(rest.groupBy("source", "cell").applyInArrow(_level(False, level), shape), tag)
+        done = flown.filter("p = 0 or p = 1")
         decided = done if decided is None else decided.unionByName(done)
-        if last:
-            break
         cells = math.ceil(cells * 2 / CELL)
         level += 1
         rest = flown.filter("p > 0 and p < 1").withColumn("cell", F.expr(f"cast(pmod(xxhash64(unit, size), {cells}) as int)"))
-    more = decided.filter("p = 1").select("unit", F.col("source").alias("number"), "size", F.lit(1).alias("extra"))
-    out = joined.join(more, ["unit", "number", "size"], "left")
-    return out.withColumn("taken", (F.col("size") * (whole + F.coalesce("extra", F.lit(0)))).cast("long"))
+    if kept_back is not None:
+        rest = rest.unionByName(kept_back)
+    flown = store.materialize(rest.withColumn("cell", F.lit(0)).groupBy("source", "cell").applyInArrow(_level(True, level), shape), tag)
+    decided = flown if decided is None else decided.unionByName(flown)
+    more = decided.filter("p = 1").select("unit", F.col("source").alias("_mix_number"), "size", F.lit(1).alias("_mix_extra"))
+    out = joined.withColumn("_mix_number", F.col("_mix.number")).join(more, ["unit", "_mix_number", "size"], "left")
+    taken = (F.col("size") * (F.floor("_mix.rate").cast("long") + F.coalesce("_mix_extra", F.lit(0)))).cast("long")
+    return out.withColumn("taken", taken).drop("_mix", "_mix_number", "_mix_extra")
 
 
 def sizes(documents: DataFrame) -> DataFrame:

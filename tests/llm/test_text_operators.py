@@ -125,10 +125,59 @@ def test_rules_by_hand(documents, no_documents, odd_documents):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def test_targets():
-    assert mixing.targets([10, 10], [1, 1]) == [10, 10]
-    assert mixing.targets([1, 100], [5, 1]) == [3, 98]
-    assert mixing.targets([0, 0], [5, 1]) == [0, 0]
+def targets(sizes, weights, most=3.0):
+    """Plain shares of the sum by weight, none above ``most`` times its size, the excess shared anew."""
+    total, full = float(sum(sizes)), set()
+    while True:
+        rest = total - sum(most * sizes[i] for i in full)
+        open_ = [i for i in range(len(sizes)) if sizes[i] and i not in full]
+        share = {i: rest * weights[i] / sum(weights[j] for j in open_) for i in open_}
+        over = {i for i in open_ if share[i] > most * sizes[i]}
+        if not over:
+            return [most * sizes[i] if i in full else share.get(i, 0.0) for i in range(len(sizes))]
+        full |= over
+
+
+def test_targets(spark):
+    for sizes in ([10, 10, 10], [1, 100, 3], [0, 0], [7, 0, 1, 900, 2, 5, 5, 400], [3] * 11 + [5000], []):
+        rows = [(f"s{i:02d}", i, n) for i, n in enumerate(sizes)]
+        sized = spark.createDataFrame(rows, "source string, unit long, size long").withColumns({c: F.lit("x") for c in ("number", "rate", "cells", "extra", "target", "p", "weight")})
+        got = {r.source: r for r in mixing.mix(sized).collect()}
+        want = targets(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))])
+        assert [got[f"s{i:02d}"].target for i in range(len(sizes))] == pytest.approx(want)
+        assert all(r.source_size == r["size"] and r.number == "x" for r in got.values())
+
+
+def test_order_of_sources(spark):
+    names = [None, "", "Z", "a", "é", "\uffff", "😀", "aa"]
+    got = mixing.numbered(spark.createDataFrame([(n, 1) for n in names], "source string, n int").repartition(5)).collect()
+    want = [*sorted(n for n in names if n is not None), None]
+    assert [r.source for r in sorted(got, key=lambda r: r.number)] == want and sorted(r.number for r in got) == list(range(len(names)))
+
+
+def test_many_sources_are_met_in_parts(spark, documents, monkeypatch):
+    key = lambda df: sorted((r.doc_id or -1, r["size"], r.source or "", r.target, r.taken) for r in df.collect())
+    want = key(mixing.mix(mixing.sizes(documents)))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert key(mixing.mix(mixing.sizes(documents))) == want
+
+
+def test_long_documents_leave_no_gap(spark):
+    """Sources with documents of up to 20,000 words among short ones, in several cells: what is taken is within a short document of the target."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, f"s{rng.choice([0, 0, 0, 1, 2, 3])}", rng.choice([20_000, 12_345, 7_001]) if rng.random() < 0.05 else rng.randint(5, 300)) for i in range(6000)]
+    rows += [rows[0], rows[0], rows[1]]
+    got = mixing.mix(spark.createDataFrame(rows, "unit long, source string, size long")).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect()
+    assert len(got) == 4 and all(abs(r.t - r.w) <= 5 for r in got)
+
+
+def test_landing():
+    p, size = np.array([1.0, 0.4, 0.7, 0.0, 1.0]), np.array([10.0, 20_000, 15_000, 30, 50])
+    got = mixing.land(p, size, 15_080.0)
+    assert set(got.tolist()) <= {0.0, 1.0} and got @ size == 15_080
+    assert mixing.land(np.array([0.5]), np.array([4.0]), 2.0).tolist() in ([0.0], [1.0]) and len(mixing.land(p[:0], size[:0], 0.0)) == 0
 
 
 def test_flight_keeps_totals():
