@@ -478,58 +478,81 @@ def padded(text: bytes) -> bytes:
 
 
 def describe(rgb: np.ndarray) -> str:
-    """Height, width, and the sum of each channel."""
+    """Height, width, the sum of each channel, and an average hash: of 8 x 8 fields of the image (by whole pixels) which are brighter than their mean."""
     sums = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
-    return f"{rgb.shape[0]}x{rgb.shape[1]}:" + ",".join(map(str, sums.tolist()))
+    high, wide = rgb.shape[:2]
+    # a tensor row is summed over columns first, so that no copy of the image is made
+    across, down = (np.minimum(np.arange(8) * n // 8, n - 1) for n in (wide, high))
+    fields = np.add.reduceat(np.add.reduceat(rgb.sum(axis=2, dtype=np.int32), across, axis=1), down, axis=0)
+    size = np.outer(np.diff([*down, high]).clip(1), np.diff([*across, wide]).clip(1))
+    mean = fields / size
+    bits = np.packbits(mean.ravel() > mean.mean()).tobytes().hex()
+    return f"{high}x{wide}:" + ",".join(map(str, sums.tolist())) + f":{bits}"
 
 
+HELD = 4 << 20  # bytes of media or tensors of one batch
 SHAPE = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+TENSOR = "height int, width int, rgb binary"
 
 
-def to_media(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's padded bytes as a progressive JPEG; null is empty."""
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema, size) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of some HELD bytes by ``size(row)``; one row may be longer."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += size(row)
+        if n >= HELD:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), schema.types)], schema=schema)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), schema.types)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "media": pa.array([store_bytes(padded(t)) for t in texts], pa.binary())})
-
-    store.small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
+def to_media(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) of each row of ``documents(doc_id, text)``: its padded bytes as a progressive JPEG. Null is the empty text; a null
+    doc_id stays null; repeated rows give equal rows; equal texts give equal bytes. Other columns are ignored."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
-def tensors(media: DataFrame) -> DataFrame:
-    """``media(doc_id, media)`` with height, width and rgb, the full-resolution tensor's bytes in row-major order."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = (text.as_py() or "").encode()
+                yield doc_id, len(raw), store_bytes(padded(raw))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rgb = decode(batch.column(1)[i].as_py())[2]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, 1), "height": [rgb.shape[0]], "width": [rgb.shape[1]], "rgb": [rgb.tobytes()]}, schema=pa.schema([("doc_id", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]))
+        return _in_batches(rows(batches), schema, lambda r: len(r[2]))
 
-    return media.select("doc_id", "media").filter("media is not null").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    store.small_batches(documents.sparkSession)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """``media(doc_id, n_bytes, media)`` with what its stored bytes hold: the payload's size and digests, and a feature of the RGB tensor."""
+def unpack(media: DataFrame) -> DataFrame:
+    """What the images of ``media(doc_id, n_bytes, media)`` hold: the payload's size and digests, a feature of the RGB tensor, and that tensor at
+    full resolution: height, width and rgb, its bytes in row-major order. Null media give nulls; repeated rows equal rows; an empty table an empty one."""
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
+        ("media_sha256", pa.string()), ("feature", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary()),
+    ])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            rows = []
-            for value in batch.column(2):
+            for doc_id, n_bytes, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 image = value.as_py()
+                if image is None:
+                    yield doc_id, n_bytes, *[None] * 9
+                    continue
                 head, arrays, rgb = decode(image)
                 payload = load_bytes(head, arrays)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), describe(rgb)))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_bytes", *names])
+                digests = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest()
+                yield doc_id, n_bytes, *digests, describe(rgb), rgb.shape[0], rgb.shape[1], rgb.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches(rows(batches), schema, lambda r: len(r[10] or b"") + 256)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, SHAPE)
+    store.small_batches(media.sparkSession)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"{SHAPE}, {TENSOR}")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """The media column is written to the shared folder; all that follows comes from the stored bytes."""
+    return unpack(store.materialize(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))

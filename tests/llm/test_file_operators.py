@@ -1,11 +1,12 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.llm import jpeg, urls, warc
+from frameloom.llm import jpeg, queries, urls, warc
 from tests.llm.conftest import texts
 
 
@@ -68,8 +69,32 @@ def test_mined_rules_block_their_hosts(spark):
     assert all((r.verdict == "block") == (r.page_id % 3 == 0) for r in got)
 
 
-def test_jpeg_round_trip(spark, documents, no_documents):
-    got = jpeg.digests(jpeg.to_media(documents.withColumn("media", F.lit(1)))).collect()
+def slow_rgb(image):
+    """An independent reading of the image that ``store_bytes`` writes: samples by the cosine sum of each coefficient, one at a time."""
+    head, arrays = jpeg.coefficients(image)
+    high, wide = head["size"]
+    cosines = [[math.cos((2 * x + 1) * k * math.pi / 16) * (math.sqrt(0.125) if k == 0 else 0.5) for k in range(8)] for x in range(8)]
+    order = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+    out = np.zeros((high, wide, 3))
+    planes = []
+    for c, (_, h, v, _) in zip(arrays, head["parts"]):
+        plane = np.zeros((c.shape[0] * 8, c.shape[1] * 8))
+        for r in range(c.shape[0]):
+            for q in range(c.shape[1]):
+                for y in range(8):
+                    for x in range(8):
+                        plane[8 * r + y, 8 * q + x] = sum(int(c[r, q, z]) * cosines[y][order[z] // 8] * cosines[x][order[z] % 8] for z in range(64))
+        planes.append(np.rint(plane + 128).clip(0, 255))
+    for y in range(high):
+        for x in range(wide):
+            lum, cb, cr = planes[0][y, x], planes[1][y // 2, x // 2] - 128, planes[2][y // 2, x // 2] - 128
+            out[y, x] = lum + 1.402 * cr, lum - 0.344136 * cb - 0.714136 * cr, lum + 1.772 * cb
+    return np.rint(out).clip(0, 255)
+
+
+def test_jpeg_round_trip(spark, documents, no_documents, tmp_path):
+    documents.withColumn("media", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op10_progressive_jpeg"](spark, str(tmp_path)).collect()
     assert len(got) == len(texts())
     by_text = {}
     for r in got:
@@ -77,9 +102,21 @@ def test_jpeg_round_trip(spark, documents, no_documents):
             continue
         raw = (next(t for i, t, *_ in texts() if i == r.doc_id) or "").encode()
         payload = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
+        image = jpeg.store_bytes(payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
         assert by_text.setdefault(raw, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
-    assert jpeg.to_media(no_documents).count() == 0
+        rgb = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
+        size, sums, bits = r.feature.split(":")
+        assert size == f"{r.height}x{r.width}" and sums == ",".join(str(int(rgb[:, :, k].astype(int).sum())) for k in range(3))
+        fields = [[rgb[h * r.height // 8 : (h + 1) * r.height // 8, w * r.width // 8 : (w + 1) * r.width // 8].astype(int).sum(axis=2).mean() for w in range(8)] for h in range(8)]
+        assert bits == "".join(f"{int(''.join('01'[int(x > np.mean(fields))] for x in row), 2):02x}" for row in fields)
+        if len(raw) < 200:
+            # rounding of the planes may differ where a sample lies between two numbers
+            assert np.mean(np.abs(rgb - slow_rgb(image)) > 2) < 0.001
+    assert jpeg.unpack(jpeg.to_media(no_documents)).count() == 0
+    empty = jpeg.unpack(jpeg.to_media(documents).select("doc_id", "n_bytes", F.lit(None).cast("binary").alias("media"))).collect()
+    assert len(empty) == len(texts()) and all(r.payload_sha256 is None and r.rgb is None for r in empty)
 
 
 class Encoder:
