@@ -3,20 +3,28 @@
 Host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path what follows up to ``?``, ``#`` or
 the end. A list rule fits its host and all subdomains where the path starts with the rule's; the longest wins.
 
-For mining, a URL is a set of tokens: its scheme, the host's labels by their place from the right, pairs of neighbours, the path's
-segments without digits and the names of its parameters. A URL's label is that of the document whose number ends its path: block
-if of poor quality or toxic. Spark's FP-growth mines tokens with verdicts in a bounded sample of labelled URLs (``SAMPLE`` rows,
-least hash first). Rules for a verdict need ``SUPPORT``, ``LEAST`` URLs and ``CONFIDENCE``, and fall if a shorter one says the same as
-surely. They match by an inverted index from each rule's rarest token.
+For mining, a URL is a set of tokens of which none implies another: its scheme, the host's last two labels, each label before them by
+its place, the path's segments without digits and the names of its parameters. A URL's label is that of the document whose number
+ends its path: block if of poor quality or toxic. Spark's FP-growth mines tokens with verdicts in all distinct labelled URLs. A rule
+needs a share ``SUPPORT`` of them and ``LEAST`` URLs, more hits than misses (``CONFIDENCE``), and ``LIFT`` times its verdict's share of
+all labelled URLs; it falls if a shorter one for the same verdict is as sure. Of the rules that fit a URL the strongest decides: the
+one whose hits exceed what its verdict's share lets expect by most standard deviations. Rules are found by an inverted index from
+each one's rarest token. Where none fits, the verdict is the one that most labelled URLs have (allow, if there are none).
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SAMPLE = 20_000
-SUPPORT, LEAST, CONFIDENCE = 0.001, 5, 0.9
+from . import store
+
+SUPPORT, LEAST, CONFIDENCE = 0.001, 5, 0.5
+LIFT = {"block": 1.5, "allow": 1.1}
 LONGEST = 4  # tokens of a mined rule, verdict included
+SALTS = 16
 BLOCK, ALLOW = "=block", "=allow"
 RULES = (
     ("allow", "com", "/"),
@@ -48,82 +56,130 @@ def listed(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def tokens(df: DataFrame) -> DataFrame:
     """``df(url, host, path)`` with tokens, an array of distinct strings."""
-    labels = F.reverse(F.split("host", r"\."))
-    df = df.withColumn("labels", F.filter(labels, lambda x: x != ""))
-    placed = F.transform("labels", lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), x))
-    pairs = F.expr("transform(slice(labels, 2, greatest(size(labels) - 1, 0)), (x, i) -> concat('d:', x, '.', labels[i]))")
+    labels = F.filter(F.reverse(F.split("host", r"\.")), lambda x: x != "")
+    df = df.withColumn("_labels", labels)
+    domain = F.when(F.size("_labels") > 0, F.array(F.concat(F.lit("d:"), F.array_join(F.reverse(F.slice("_labels", 1, 2)), ".")))).otherwise(F.array().cast("array<string>"))
+    before = F.transform(F.slice("_labels", 3, 1 << 20), lambda x, i: F.concat(F.lit("l"), i.cast("string"), F.lit(":"), x))
     segments = F.transform(F.filter(F.split("path", "/"), lambda x: (x != "") & ~x.rlike(r"[0-9]")), lambda x: F.concat(F.lit("p:"), x))
     query = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)\?([^#]*)", 1)
     names = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), F.substring_index(x, "=", 1)))
     scheme = F.array(F.concat(F.lit("s:"), F.substring_index(F.coalesce("url", F.lit("")), "://", 1)))
     scheme = F.when(F.instr("url", "://") > 0, scheme).otherwise(F.array().cast("array<string>"))
-    return df.withColumn("tokens", F.array_distinct(F.concat(scheme, placed, pairs, segments, names))).drop("labels")
+    return df.withColumn("tokens", F.array_distinct(F.concat(scheme, domain, before, segments, names))).drop("_labels")
+
 
+class Mined(NamedTuple):
+    tokens: list[str]
+    verdict: str
+    confidence: float
+    support: float  # share of the labelled URLs that hold the tokens and have the verdict
+    strength: float
 
-def mine(labelled: DataFrame) -> list[tuple[list[str], str, float, float]]:
-    """(tokens, verdict, confidence, support) of the rules in ``labelled(tokens, verdict)``, surest first; none in an empty table.
 
-    A rule of at most LONGEST tokens stands for at least SUPPORT of the sample, which bounds their number.
+def mine(labelled: DataFrame) -> tuple[list[Mined], str]:
+    """(the rules in ``labelled(tokens, verdict)``, strongest first; the most frequent verdict). Ties of strength go by confidence, support, block
+    before allow, then tokens; a tie of verdicts is allow. No rules in an empty table.
+
+    A rule of at most LONGEST tokens stands for a share SUPPORT of the URLs at least, which bounds their number at all sizes: with t tokens in a URL
+    there are at most 1 / SUPPORT times t ** (LONGEST - 1) of them on the driver.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    rows = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
-    if rows.isEmpty():
-        return []
-    # tokens below the support can't be part of a rule, and the tree is smaller without them
+    spark = labelled.sparkSession
+    rows = store.materialize(labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items")), "labelled")
     n = rows.count()
+    if not n:
+        return [], "allow"
     support = max(SUPPORT, LEAST / n)
+    # tokens below the support can't be part of a rule, and the trees are smaller without them
     common = rows.select(F.explode("items").alias("item")).groupBy("item").count().filter(F.col("count") >= support * n)
-    keep = [r["item"] for r in common.select("item").collect()]
-    rows = rows.select(F.array_intersect("items", F.array(*map(F.lit, keep)).cast("array<string>")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=CONFIDENCE).fit(rows)
+    often = {r["item"]: r["count"] for r in common.collect()}
+    share = {v: rows.filter(F.array_contains("items", f"={v}")).count() / n for v in LIFT}
+    rows = rows.select(F.array_intersect("items", F.array(*map(F.lit, sorted(often))).cast("array<string>")).alias("items"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=CONFIDENCE, numPartitions=parts).fit(rows.repartition(parts))
     found = model.associationRules.filter(F.col("consequent")[0].isin(BLOCK, ALLOW) & (F.size("antecedent") < LONGEST))
-    rules = [(sorted(r["antecedent"]), r["consequent"][0][1:], r["confidence"], r["support"]) for r in found.collect()]
-    kept: list[tuple[list[str], str, float, float]] = []
-    for tokens_, verdict, confidence, support in sorted(rules, key=lambda r: (len(r[0]), -r[2], r[0])):
-        if not any(v == verdict and c >= confidence and set(t) <= set(tokens_) for t, v, c, _ in kept):
-            kept.append((tokens_, verdict, confidence, support))
-    return sorted(kept, key=lambda r: (-r[2], -r[3], r[0], r[1]))
-
-
-def matched(df: DataFrame, rules: list[tuple[list[str], str, float, float]], counts: dict[str, int] | None = None) -> DataFrame:
-    """``df(tokens, ...)`` with mined: the verdict of the surest rule whose tokens are all there, null if there is none."""
+    rules = []
+    for r in found.collect():
+        verdict, held = r["consequent"][0][1:], r["support"] / r["confidence"] * n
+        base = share[verdict]
+        if r["confidence"] > CONFIDENCE and r["confidence"] >= LIFT[verdict] * base:
+            strength = (r["confidence"] - base) / math.sqrt(base * (1 - base) / held) if base < 1 else 0.0
+            rules.append(Mined(sorted(r["antecedent"]), verdict, r["confidence"], r["support"], strength))
+    kept: list[Mined] = []
+    for rule in sorted(rules, key=lambda r: (len(r.tokens), -r.confidence, r.tokens)):
+        if not any(k.verdict == rule.verdict and k.confidence >= rule.confidence and set(k.tokens) <= set(rule.tokens) for k in kept):
+            kept.append(rule)
+    kept.sort(key=lambda r: (-round(r.strength, 9), -r.confidence, -r.support, r.verdict != "block", r.tokens))
+    return kept, "block" if share["block"] > share["allow"] else "allow"
+
+
+MINED = "struct<i:int, verdict:string, tokens:array<string>, rule:string, confidence:double, support:double>"
+
+
+def matched(df: DataFrame, rules: list[Mined]) -> DataFrame:
+    """``df(tokens, ...)`` with _mined: the strongest rule whose tokens are all there, null if there is none."""
     if not rules:
-        return df.withColumn("mined", F.lit(None).cast("string"))
+        return df.withColumn("_mined", F.lit(None).cast(MINED))
     often: dict[str, int] = {}
-    for t, *_ in rules:
-        for x in t:
+    for r in rules:
+        for x in r.tokens:
             often[x] = often.get(x, 0) + 1
     index: dict[str, list[int]] = {}
-    for i, (t, *_) in enumerate(rules):
-        index.setdefault(min(t, key=lambda x: (often[x], x)), []).append(i)
-    entry = lambda i: F.struct(F.lit(i).alias("i"), F.lit(rules[i][1]).alias("verdict"), F.array(*map(F.lit, rules[i][0])).alias("tokens"))
+    for i, r in enumerate(rules):
+        index.setdefault(min(r.tokens, key=lambda x: (often[x], x)), []).append(i)
+
+    def entry(i: int) -> Column:
+        r = rules[i]
+        return F.struct(F.lit(i), F.lit(r.verdict), F.array(*map(F.lit, r.tokens)), F.lit(" & ".join(r.tokens)), F.lit(r.confidence), F.lit(r.support)).cast(MINED)
+
     lookup = F.create_map(*(x for k, v in index.items() for x in (F.lit(k), F.array(*map(entry, v)))))
     posted = F.flatten(F.transform(F.filter("tokens", lambda t: t.isin(list(index))), lambda t: F.element_at(lookup, t)))
     fits = F.filter(posted, lambda r: F.size(F.array_except(r["tokens"], F.col("tokens"))) == 0)
-    return df.withColumn("mined", F.array_min(fits)["verdict"])
+    return df.withColumn("_mined", F.array_min(fits))
+
+
+def labelled_urls(urls: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, host, path, verdict) of the distinct rows of ``urls(url, host, path)`` whose document has a label. A document with several label rows is
+    bad if one of them says so; nulls in quality or toxic say nothing bad."""
+    number = F.expr("try_cast(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1) as bigint)")
+    distinct = urls.select("url", "host", "path").filter("url is not null").distinct().withColumn("doc_id", number).filter("doc_id is not null")
+    bad = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
+    # many URLs may end in one number
+    bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = distinct.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).join(bad, ["doc_id", "salt"])
+    return joined.select("url", "host", "path", F.when(F.col("bad") == 1, "block").otherwise("allow").alias("verdict"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
-    """``pages`` with host, path, rule (of the list) and verdict: the rule's, else that of the surest mined rule, else allow.
+    """``pages`` with host, path, rule (of the list) and verdict: the rule's, else that of the strongest mined rule, else the most frequent one.
+    mined_rule, confidence and support are those of the mined rule where it decides, else null.
 
-    Columns of ``pages`` other than url are returned as they are, unless their names clash with the four."""
+    Columns of ``pages`` other than url are returned as they are, unless their names clash with these. Null urls and urls without host get what has
+    no tokens gets; repeated rows get equal results; empty tables give empty ones."""
     host, path = parts()
-    names = ("host", "path", "rule", "verdict")
+    names = ("host", "path", "rule", "verdict", "mined_rule", "confidence", "support", "tokens")
     df = pages.select(*(c for c in pages.columns if c not in names)).withColumns({"host": host, "path": path})
+    mined, usual = mine(tokens(labelled_urls(df, labels)).select("tokens", "verdict"))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
-    df = df.withColumns({"rule": rule, "_listed": verdict})
-    distinct = df.select("url", "host", "path").filter("url is not null").distinct()
-    number = F.expr("try_cast(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1) as bigint)")
-    bad = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
-    joined = distinct.withColumn("doc_id", number).join(bad, "doc_id", "left")
-    sample = joined.withColumn("verdict", F.when(F.col("bad") == 1, "block").when(F.col("bad") == 0, "allow")).filter("verdict is not null").orderBy(F.xxhash64("url"), "url").limit(SAMPLE)
-    mined = mine(tokens(sample).select("tokens", "verdict"))
-    df = matched(tokens(df), mined)
-    return df.withColumn("verdict", F.coalesce("_listed", "mined", F.lit("allow"))).drop("_listed", "mined", "tokens")
+    df = matched(tokens(df), mined).withColumns({"rule": rule, "_listed": verdict})
+    decides = F.when(F.col("_listed").isNull(), F.col("_mined"))
+    df = df.withColumns({"mined_rule": decides["rule"], "confidence": decides["confidence"], "support": decides["support"]})
+    return df.withColumn("verdict", F.coalesce("_listed", F.col("_mined.verdict"), F.lit(usual))).drop("_listed", "_mined", "tokens")
+
+
+def assess(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(mined, label, n): mined on the labelled URLs of ``pages(url)`` outside every fifth by hash, tried on that fifth; mined is the verdict of the
+    strongest rule, or none."""
+    host, path = parts()
+    known = labelled_urls(pages.select("url").withColumns({"host": host, "path": path}), labels)
+    apart = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    rules, _ = mine(tokens(known.filter(~apart)).select("tokens", "verdict"))
+    tried = matched(tokens(known.filter(apart)), rules)
+    return tried.groupBy(F.coalesce("_mined.verdict", F.lit("none")).alias("mined"), F.col("verdict").alias("label")).agg(F.count("*").alias("n"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     out = filter_urls(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.select("page_id", "host", "path", "rule", "verdict")
+    return out.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence", "support")

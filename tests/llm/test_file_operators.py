@@ -1,5 +1,8 @@
 import hashlib
+import itertools
 import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -61,6 +64,76 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0), labels.limit(0)).count() == 0
 
 
+def url_tokens(url):
+    host, path, _ = expected_rule(url)
+    labels = [x for x in host.split(".") if x][::-1]
+    found = {"s:" + url.split("://")[0]} if url and "://" in url else set()
+    found |= {"d:" + ".".join(labels[:2][::-1])} if labels else set()
+    found |= {f"l{i}:{x}" for i, x in enumerate(labels[2:])} | {"p:" + x for x in path.split("/") if x and not re.search("[0-9]", x)}
+    query = re.search(r"(?s)\?([^#]*)", url or "")
+    return found | {"q:" + x.split("=")[0] for x in (query[1].split("&") if query else []) if x}
+
+
+def plain_rules(rows):
+    """All token sets of up to three tokens of ``rows`` [(tokens, verdict)], counted one by one."""
+    n, share = len(rows), {v: sum(x == v for _, x in rows) / len(rows) for v in urls.LIFT}
+    least = max(urls.SUPPORT, urls.LEAST / n) * n
+    sets = {frozenset(c) for t, _ in rows for k in (1, 2, 3) for c in itertools.combinations(sorted(t), k)}
+    out = []
+    for s in sets:
+        held = [v for t, v in rows if s <= t]
+        for v, base in share.items():
+            hits = held.count(v)
+            c = hits / len(held)
+            if hits >= least - 1e-9 and c > urls.CONFIDENCE and c >= urls.LIFT[v] * base:
+                out.append((sorted(s), v, c, hits / n, (c - base) / math.sqrt(base * (1 - base) / len(held)) if base < 1 else 0.0))
+    kept = []
+    for r in sorted(out, key=lambda r: (len(r[0]), -r[2], r[0])):
+        if not any(k[1] == r[1] and k[2] >= r[2] and set(k[0]) <= set(r[0]) for k in kept):
+            kept.append(r)
+    return sorted(kept, key=lambda r: (-round(r[4], 9), -r[2], -r[3], r[1] != "block", r[0])), "block" if share["block"] > share["allow"] else "allow"
+
+
+def test_verdicts_equal_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, f"http{rng.choice(['', 's'])}://{rng.choice(['www.', 'm.', ''])}{rng.choice(['spam', 'fine', 'calm', 'dull'])}.example.{rng.choice(['org', 'io'])}/{rng.choice(['en', 'de'])}/{i}{rng.choice(['', '?ref=1', '?p=2&q=3', '#x'])}") for i in range(400)]
+    rows += [(900, None), (901, ""), (902, "nope"), rows[3], (903, "http://example.com/en/7"), (904, rows[5][1])]
+    bad = {i: int(rng.random() < (0.8 if "spam" in u else 0.3 if "/de/" in u else 0.05)) for i, u in rows if i < 300 and i % 7}
+    labels = [(i, int(not b or i % 2), int(b and i % 2)) for i, b in bad.items()] + [(5, 1, 0), (None, 0, 1), (6, None, None)]
+    for i, _, t in labels[-3:]:
+        if i is not None:
+            bad[i] = max(bad.get(i, 0), int(t or 0))
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    known = []
+    for url in {u for _, u in rows if u}:
+        number = re.search(r"([0-9]+)[^0-9/]*/?$", expected_rule(url)[1])
+        if number and int(number[1]) in bad:
+            known.append((url_tokens(url), "block" if bad[int(number[1])] else "allow"))
+    want, usual = plain_rules(known)
+    assert {r[1] for r in want} == {"block", "allow"}
+    got = queries.QUERIES["op9_url_filters"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    kinds = {h + p: k for k, h, p in urls.RULES}
+    for r in got:
+        url = next(u for i, u in rows if i == r.page_id)
+        host, path, rule = expected_rule(url)
+        mined = None if rule else next((x for x in want if set(x[0]) <= url_tokens(url)), None)
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (kinds[rule] if rule else mined[1] if mined else usual)
+        assert (r.mined_rule, r.confidence, r.support) == ((" & ".join(mined[0]), pytest.approx(mined[2]), pytest.approx(mined[3])) if mined else (None, None, None))
+    tried = {(r.mined, r.label): r.n for r in urls.assess(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert tried["block", "block"] > tried.get(("block", "allow"), 0)
+
+
+def test_ties_of_verdicts_and_rules(spark):
+    rows = [(["a", "b"], "block")] * 8 + [(["a", "c"], "allow")] * 8
+    rules, usual = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    assert usual == "allow" and [(r.tokens, r.verdict) for r in rules] == [(["b"], "block"), (["c"], "allow")]
+    both = urls.matched(spark.createDataFrame([(["c", "b"],), ([],), (["a"],)], "tokens array<string>"), rules).collect()
+    assert [r["_mined"] and r["_mined"].verdict for r in both] == ["block", None, None]
+
+
 def test_mined_rules_block_their_hosts(spark):
     rows = [(i, f"http://{'spam' if i % 3 == 0 else 'fine'}.example.org/p/{i}?ref=1") for i in range(300)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
