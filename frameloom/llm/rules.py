@@ -41,24 +41,26 @@ LEAST_WORDS, MOST_REPEATED = 10, 20  # words; percent of words
 
 
 def counts(documents: DataFrame) -> DataFrame:
-    """doc_id and the counts of ``documents(doc_id, text)``; null is the empty text. Each step's columns are used more than once
-    in the next, so Spark computes them once."""
+    """doc_id and the counts of ``documents(doc_id, text)``, a row for each row; null is the empty text, a null doc_id stays, other columns are
+    ignored. Each step's columns are used more than once in the next, so Spark computes them once; a step holds no more than it needs, words
+    are hashed once, and places of windows are only made for texts in which a window comes again."""
     text = F.coalesce("text", F.lit(""))
-    df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
-    df = df.select("doc_id", "t", F.filter(F.split("t", GAP), lambda w: w != "").alias("words"), F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "").alias("lines"))
-    n = F.size("words")
-    windows = F.expr(f"transform(slice(words, 1, greatest(size(words) - {WINDOW - 1}, 0)), (w, i) -> xxhash64(w, {', '.join(f'get(words, i + {k})' for k in range(1, WINDOW))}))")
+    df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), F.btrim(text, F.lit(" \t\n\x0b\x0c\r")).alias("inner"))
+    words = F.when(F.col("inner") == "", F.array().cast("array<string>")).otherwise(F.split("inner", GAP))
+    df = df.select("doc_id", "t", words.alias("words"), F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "").alias("lines"))
     stops = sorted({x for w in STOP_WORDS for x in (w, w.capitalize())})
     df = df.select(
         "doc_id",
-        n.cast("long").alias("n_words"),
+        F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: w.isin(stops))).cast("long").alias("n_stop_words"),
-        windows.alias("windows"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
+    windows = f"transform(slice(hashes, 1, greatest(size(hashes) - {WINDOW - 1}, 0)), (h, i) -> xxhash64(h, {', '.join(f'get(hashes, i + {k})' for k in range(1, WINDOW))}))"
+    df = df.withColumn("windows", F.expr(windows)).drop("hashes")
     found = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     df = df.withColumn("sorted", found).drop("windows")
     again = "filter(transform(sorted, (x, k) -> if(get(sorted, k - 1).h = x.h or get(sorted, k + 1).h = x.h, x.i, null)), i -> i is not null)"
