@@ -17,4 +17,4 @@ QUERIES = {
     "op10_progressive_jpeg": jpeg.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dedup": oracles.OP2_SQL, "op3_quality_rules": rules.OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.OP1_SQL, "op2_minhash_near_dedup": oracles.OP2_SQL, "op3_quality_rules": rules.OP3_SQL}

@@ -1,44 +1,18 @@
-"""Where intermediate tables and files go: the folder that driver and executors share."""
+"""Intermediate tables and files, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder as a URI with a scheme. A temporary folder is taken only where the session names none (tests)."""
-    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="frameloom-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.makeQualified(path).toString().rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder, removed when the session's JVM ends."""
-    out = f"{shared_root(spark)}/frameloom-{tag}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return out
-
+from ..shared import scratch, shared_root
 
-def discard(spark: SparkSession, uri: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["materialize", "open_fs", "scratch", "shared_root", "small_batches"]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write and reread: cuts the lineage, and a lost executor costs nothing that was written."""
     out = scratch(df.sparkSession, tag)
-    df.write.parquet(out)
+    df.write.option("compression", compression).parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 

@@ -1,10 +1,13 @@
 """Dictionary-compressed WARC archives.
 
-An archive starts with a skippable frame that holds a Zstandard dictionary, built from the archive's first records; after it, each
-record is a frame of its own, compressed with that dictionary, so any record can be read by its offset alone. Records with equal
-payloads are written once: the smallest page_id is the response, the others revisit it.
-
-A task writes its archive under a name of its own and renames it when whole; a repeated task replaces it with the same content.
+An archive starts with a skippable frame that holds a Zstandard dictionary, trained on the archive's first ``SAMPLE_BYTES`` of records; after
+it, each record is a frame of its own, compressed with that dictionary, so any record can be read by its offset alone. Zstandard can't
+train on a handful of records: an archive of fewer than ``SAMPLE_LEAST``, or of records too alike or too small to train on, has their
+content itself as its dictionary. Records with equal payloads are written once: the smallest page_id is the response, the others
+revisit it.
+
+A task writes archives of some ``ARCHIVE_BYTES``, each under a name of its own, and renames it when whole; a repeated task replaces them
+with the same content. A record is held whole, as is its payload when it is read; nothing else is.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import store
+from .skew import meet
 
 # The skippable frame that holds a dictionary, and the frame magic of Zstandard
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -28,6 +32,7 @@ ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 DICTIONARY_BYTES = 1 << 16
 SAMPLE_BYTES, SAMPLE_LEAST = 2 << 20, 16
 LEVEL = 3
+ARCHIVE_BYTES = 1 << 30
 DATE = "2026-01-01T00:00:00Z"
 
 
@@ -71,7 +76,7 @@ class Writer:
     """Writes records to a stream; the first ones wait until there are enough to build the dictionary."""
 
     def __init__(self, sink):
-        self.sink, self.waiting, self.held, self.compress, self.at, self.index = sink, [], 0, None, 0, []
+        self.sink, self.waiting, self.held, self.compress, self.at, self.placed = sink, [], 0, None, 0, []
 
     def write(self, raw: bytes) -> None:
         if self.compress is None:
@@ -95,10 +100,15 @@ class Writer:
         self.waiting = []
 
     def _put(self, frame: bytes) -> None:
-        self.index.append((self.at, len(frame)))
+        self.placed.append((self.at, len(frame)))
         self.at += len(frame)
         self.sink.write(frame)
 
+    def take_placed(self) -> list[tuple[int, int]]:
+        """(offset, length) of the records that were written since the last call."""
+        out, self.placed = self.placed, []
+        return out
+
     def close(self) -> None:
         if self.compress is None:
             self._start()
@@ -140,54 +150,70 @@ def read_record(uri: str, offset: int, length: int) -> bytes:
         return decompress(source.read(length))
 
 
+INDEX = "file string, offset long, length long"
+
+
 def write(pages: DataFrame, out: str) -> DataFrame:
-    """Writes ``pages(page_id, url, html)`` below the URI ``out``, an archive for each partition; returns (file, records, index), the
-    index with each record's offset and length.
+    """Writes ``pages(page_id, url, html)`` below the URI ``out``, archives for each partition; returns their index, (file, offset, length) of each record.
 
     A null html is an empty payload; a null url leaves the target out. Rows with a null page_id are responses that nothing
-    refers to; so are further rows of a response's page_id with the same payload. Other columns are ignored.
+    refers to; so are further rows of a response's page_id with the same payload. Other columns are ignored. An empty table gives an empty index.
     """
     spark = pages.sparkSession
+    store.small_batches(spark, 100)
     root = spark._jvm.org.apache.hadoop.fs.Path(out)
     root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"sha": F.sha1("payload"), "length": F.octet_length("payload").cast("long")})
-    # payloads that occur once need no partner, so only the others are joined
-    twice = rows.select("page_id", "sha", "length").groupBy("sha", "length").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(twice, ["sha", "length"], "left")
+    groups = rows.select("page_id", "sha", "length").groupBy("sha", "length").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    groups = store.materialize(groups, "payloads")
+    # payloads that occur once need no partner; one that very many rows have is decided where the rows are read, before payloads move
+    rows = meet(rows, groups.filter("n > 1"), ["sha", "length"], pages.count(), how="left")
     refers = F.when(F.col("page_id") > F.col("first"), F.col("first"))
     rows = rows.select("page_id", "url", "sha", "length", refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.zst"
-        fs, path = store.open_fs(f"{out}/{name}")
-        part, writer, sink = f"{path}.{uuid.uuid4().hex}", None, None
+        part, number, writer = f"part-{TaskContext.get().partitionId():06d}", 0, None
         for batch in batches:
             for page_id, url, sha, length, refers_to, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None:
-                    sink = fs.open_output_stream(part, compression=None)
-                    writer = Writer(sink)
+                    name = f"{part}-{number:04d}.warc.zst"
+                    fs, path = store.open_fs(f"{out}/{name}")
+                    own = f"{path}.{uuid.uuid4().hex}"
+                    sink = fs.open_output_stream(own, compression=None)
+                    writer, number = Writer(sink), number + 1
                 writer.write(record(page_id, url, payload, length, base64.b32encode(bytes.fromhex(sha)).decode(), refers_to))
-        if writer is None:
-            return
-        writer.close()
-        sink.close()
-        fs.move(part, path)
-        index = [{"offset": a, "length": n} for a, n in writer.index]
-        kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-        yield pa.RecordBatch.from_pydict({"file": [name], "records": [len(index)], "index": pa.array([index], kind)})
+                if writer.at >= ARCHIVE_BYTES:
+                    yield _close(writer, sink, fs, own, path, name)
+                    writer = None
+            if writer is not None and (placed := writer.take_placed()):
+                yield _index(name, placed)
+        if writer is not None:
+            yield _close(writer, sink, fs, own, path, name)
+
+    index = rows.mapInArrow(run, INDEX)
+    index.write.mode("overwrite").parquet(f"{out}/_index")
+    return spark.read.schema(index.schema).parquet(f"{out}/_index")
+
 
-    manifest = rows.mapInArrow(run, "file string, records long, index array<struct<offset:long,length:long>>")
-    manifest.write.mode("overwrite").parquet(f"{out}/_manifest")
-    return spark.read.schema(manifest.schema).parquet(f"{out}/_manifest")
+def _index(name: str, placed: list[tuple[int, int]]) -> pa.RecordBatch:
+    offsets, lengths = (pa.array(c, pa.int64()) for c in (zip(*placed) if placed else ((), ())))
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(placed), pa.string()), offsets, lengths], ["file", "offset", "length"])
+
+
+def _close(writer: Writer, sink, fs, own: str, path: str, name: str) -> pa.RecordBatch:
+    writer.close()
+    sink.close()
+    fs.move(own, path)
+    return _index(name, writer.take_placed())
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
     """(page_id, url, record_type, payload_digest, payload_bytes, refers_to) of each record, digests recomputed from stored payloads. Each
     archive is one task's, streamed."""
-    files = spark.read.parquet(f"{out}/_manifest").select("file")
+    files = spark.read.parquet(f"{out}/_index").select("file").distinct()
     n = max(1, files.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,3 +246,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = store.scratch(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), out)
     return read(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base 32 of the SHA-1: each of its 32 characters stands for five bits, which lie within two hexadecimal digits.
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha1(p), (5 * i) // 4 + 1, 2))::INT >> (3 - (5 * i) % 4)::INT) & 31) + 1)::INT, 1)), '')"
+OP1_SQL = f"""
+WITH base AS (SELECT page_id, coalesce(html, '') AS p, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, strlen(p)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM base
+"""

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import itertools
 import math
@@ -17,15 +18,33 @@ def test_warc(spark, tmp_path):
     rows = [(1, None, None), (2, "http://a b/\r\n", "x"), (3, None, ""), (None, None, ""), (2, "u", "x"), (5, "é", "x"), (6, "http://b", "y" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"sha": F.lit(1), "length": F.lit("x"), "first": F.lit(2)})
     out = f"file://{tmp_path}/w"
-    manifest = warc.write(pages, out).collect()
+    index = warc.write(pages, out).collect()
     got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.read(spark, out).collect())
     assert got == [(0, 0, "response", 0), (1, 0, "response", 0), (2, 1, "response", 0), (2, 1, "response", 0), (3, 0, "revisit", 1), (5, 1, "revisit", 2), (6, 200_000, "response", 0)]
-    for m in manifest:
-        assert all(warc.read_record(f"{out}/{m.file}", e["offset"], e["length"]).startswith(b"WARC/1.1\r\n") for e in m["index"])
+    assert len(index) == len(rows) and all(warc.read_record(f"{out}/{e.file}", e.offset, e.length).startswith(b"WARC/1.1\r\n") for e in index)
     warc.write(pages.limit(0), f"{out}-none")
     assert warc.read(spark, f"{out}-none").count() == 0
 
 
+def test_pages_equal_plain_ones(spark, tmp_path, monkeypatch):
+    """The registered query against hashlib, with a payload that half of the pages have, and archives that are rolled."""
+    rows = [(i, f"http://h/{i}", None if i % 10 == 0 else "" if i % 4 == 1 else f"<p>page {i % 50}</p>") for i in range(600)] + [(700, "u", "日本 " * 30_000), (3, "http://again", "<p>page 3</p>"), (None, None, "<p>page 2</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    least = {}
+    for i, _, html in rows:
+        if i is not None:
+            least[html or ""] = min(i, least.get(html or "", i))
+    want = []
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        first = least.get(html or "")
+        refers = first if i is not None and first is not None and i > first else None
+        want.append((str(i), len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if refers is None else "revisit", str(refers)))
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4096)
+    got = queries.QUERIES["op1_warc"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == sorted(want)
+
+
 def test_archive_has_a_dictionary(spark, tmp_path):
     pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://x").alias("url"), F.concat(F.lit("<html><body class='page'>shared start of every page "), F.col("id"), F.lit("</body></html>")).alias("html")).coalesce(1)
     out = f"file://{tmp_path}/w"
