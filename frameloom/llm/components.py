@@ -5,30 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from . import store
+from .skew import meet
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root): for each node of ``edges(a, b)`` the smallest node that it reaches.
 
     Large-star and small-star steps alternate (Kiveris et al., 2014): each replaces the edge table by one that
-    joins nodes to smaller ones, until all edges point to a root. A step is a grouped minimum and a join;
-    every step is written to the shared folder, so lineage stays short. Neighbour lists are never gathered.
-    Only the number of changed edges comes to the driver.
+    joins nodes to smaller ones, until all edges point to a root. A step is a grouped minimum and a join, in which a node
+    with a large part of all edges is met by sending its minimum to them; every step is written to the shared folder,
+    so lineage stays short. Neighbour lists are never gathered. Only counts and fewer than ``skew.HOT`` nodes come to the driver.
     """
     edges = store.materialize(_oriented(edges), tag)
-    seen = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = store.materialize(_oriented(large.union(edges.limit(0))), tag)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    seen, n = None, edges.count()
+    while n:
+        # each edge from its smaller node's view, with the least node that this one is joined to
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        ups = edges.groupBy("b").agg(F.count("*").alias("n")).withColumnRenamed("b", "via")
+        ups = ups.join(least.withColumnRenamed("a", "via"), "via", "left").withColumn("m", F.coalesce("m", "via"))
+        large = meet(edges.withColumnRenamed("b", "via"), ups, ["via"], n).select("a", F.col("m").alias("b"))
+        large = store.materialize(_oriented(large), tag)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = meet(large, least, ["a"], large.count()).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = store.materialize(_oriented(small), tag)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == seen:
             break
-        seen = now
+        seen, n = now, now["n"]
     own = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(own)
 

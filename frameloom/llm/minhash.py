@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import store
 from .components import components
 from .kernels import U64, mix, text_chunks, word_hashes, word_spans
+from .skew import meet
 
 WORDS = 5
 COORDINATES = 64
 MATCHES = 38
 NUMERATOR, DENOMINATOR = 85, 100
+LINKS = 512  # of one center, in one task
 FEW, MANY = 256, 2048  # nodes in the two blocks of a list that are compared at once
 FEW_SHINGLES, MANY_SHINGLES = 1 << 17, 1 << 20  # those of a group
 
@@ -169,23 +171,29 @@ def _verify(table: pa.Table) -> pa.Table:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    """The pairs (center, node) whose full sets are similar enough, as (a, b) with a > b. A center's set is sent once for each LINKS of its pairs, so
+    that no task holds more of them."""
+    centers = pairs.groupBy("center").agg(F.count("*").alias("n"), F.ceil(F.count("*") / LINKS).cast("int").alias("parts"))
+    centers = store.materialize(centers, "centers")
+    dealt = meet(pairs, centers, ["center"], pairs.count()).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    right = sets.select("node", F.col("shingles").alias("y"))
+    left = sets.withColumnRenamed("node", "center").join(centers.select("center", "parts"), "center")
+    left = left.select("center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("x"))
+    joined = dealt.join(right, "node").join(left, ["center", "part"])
     both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), both.alias("i"))
-    return joined.filter(DENOMINATOR * F.col("i") >= NUMERATOR * (F.col("n") + F.col("m") - F.col("i"))).select("a", "b")
+    sized = joined.select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b"), F.size("x").alias("n"), F.size("y").alias("m"), both.alias("i"))
+    return sized.filter(DENOMINATOR * F.col("i") >= NUMERATOR * (F.col("n") + F.col("m") - F.col("i"))).select("a", "b")
 
 
 def prefix_lists(nodes: DataFrame) -> DataFrame:
-    """(key, node, central): each node under the keys of its prefix that another node has too.
-
-    A key holds at most one post of each node, a 64th of all posts, so no task gets more than that of them.
-    """
+    """(key, node, central): each node under the keys of its prefix that another node has too. Lists are counted by partial sums; the count of
+    a list with a large part of all posts is sent to them."""
     posts = nodes.select("node", F.posexplode("sign").alias("at", "value"))
     posts = posts.select("node", F.expr("shiftleft(cast(at as bigint), 32) | (cast(value as bigint) & 4294967295)").alias("key"))
-    shared = posts.withColumn("n", F.expr("count(1) over (partition by key)")).filter("n > 1")
-    held = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("held"), F.sum("n").alias("central"))
+    counted = posts.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("held")).filter("n > 1")
+    counted = store.materialize(counted, "counts")
+    shared = meet(posts, counted, ["key"], COORDINATES * nodes.count())
+    held = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.col("held").alias("n"), "key"))).alias("held"), F.sum("held").alias("central"))
     held = held.filter(F.size("held") >= MATCHES)
     prefix = F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1))
     return held.select("node", "central", F.explode(prefix).alias("post")).select(F.col("post.key").alias("key"), "node", "central")
@@ -201,13 +209,14 @@ def _blocks(held: DataFrame, key: str, few: F.Column, fews: F.Column, manies: F.
     return left.unionByName(right).select(key, "i", "j", "few", "node", "root")
 
 
-def _unjoined(lists: DataFrame, roots: DataFrame) -> DataFrame:
+def _unjoined(lists: DataFrame, roots: DataFrame, n_posts: int) -> DataFrame:
     """Blocks of lists that still hold several components: nodes outside the list's largest one against all of the list."""
     rooted = lists.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
-    held = rooted.join(largest, "key")
-    return _blocks(held, "key", F.col("root") != F.col("top.root"), F.ceil((F.col("n") - F.col("top.n")) / FEW), F.ceil(F.col("n") / MANY))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
+    largest = store.materialize(largest.select("key", F.col("all").alias("n"), "top", "all"), "open")
+    held = meet(rooted, largest, ["key"], n_posts)
+    return _blocks(held, "key", F.col("root") != F.col("top.root"), F.ceil((F.col("all") - F.col("top.n")) / FEW), F.ceil(F.col("all") / MANY))
 
 
 def _ungrouped(groups: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -224,32 +233,36 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     class_id is the smallest doc_id with the same set, component_id the smallest that links reach. Null, empty and blank
     texts have no shingles and are linked with nothing. Repeated rows of one document give repeated results; where rows of
-    one doc_id differ in their texts, each has its own class. A null doc_id is linked with nothing: its component is null
+    one doc_id differ in their texts, each has its own class, but only one of these is compared with near copies. A null doc_id is linked with nothing: its component is null
     and it isn't kept. Columns other than doc_id and text are neither read nor returned.
     """
     store.small_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs = store.materialize(texts.mapInArrow(_sign, "doc_id long, n_shingles long, h1 long, h2 long, sign array<int>"), "signs")
     keyed = signs.filter("doc_id is not null and n_shingles > 0")
-    classes = store.materialize(keyed.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = store.materialize(keyed.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
     chosen = classes.groupBy("class_id").agg(F.min(F.struct("h1", "h2", "n_shingles")).alias("c")).select(F.col("class_id").alias("doc_id"), "c.*")
     nodes = keyed.join(chosen, ["doc_id", "h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("node"), "n_shingles", "sign").dropDuplicates(["node"])
     nodes = store.materialize(nodes, "nodes")
     lists = store.materialize(prefix_lists(nodes), "lists")
-    centers = lists.groupBy("key").agg(F.max(F.struct("central", -F.col("node"))).alias("top"), F.count("*").alias("n")).filter("n > 1").select("key", (-F.col("top.col2")).alias("center"))
-    stars = lists.join(centers, "key").filter("node <> center").select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b")).distinct()
+    n_posts = lists.count()
+    centers = lists.groupBy("key").agg(F.max(F.struct("central", -F.col("node"))).alias("top"), F.count("*").alias("n")).filter("n > 1").select("key", "n", (-F.col("top.col2")).alias("center"))
+    stars = meet(lists.select("key", "node"), centers, ["key"], n_posts).filter("node <> center").select("center", "node").distinct()
+    stars = store.materialize(stars, "stars")
     used = lists.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash")
-    sets = store.materialize(texts.join(used, "doc_id").mapInArrow(_sets, "node long, shingles array<long>"), "sets").dropDuplicates(["node"])
+    sets = store.materialize(texts.join(used, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets, "node long, shingles array<long>"), "sets")
     links = store.materialize(_confirm(stars, sets), "links")
     roots = components(links)
-    left = _unjoined(lists, roots).join(nodes, "node").groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long")
+    left = _unjoined(lists, roots, n_posts).join(nodes, "node").groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long")
     left = store.materialize(left, "alike")
     if not left.isEmpty():
         blocks = _ungrouped(components(left), roots, nodes).join(nodes.select("node", "n_shingles"), "node").join(sets, "node")
         more = blocks.groupBy("key", "i", "j").applyInArrow(_verify, "a long, b long")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     found = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("root", "class_id")).drop("root")
-    out = signs.select("doc_id", "n_shingles", "h1", "h2").join(found, ["h1", "h2", "n_shingles"], "left")
+    out = keyed.select("doc_id", "n_shingles", "h1", "h2")
+    out = meet(out, found, ["h1", "h2", "n_shingles"], out.count()).drop("h1", "h2")
+    out = out.unionByName(signs.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles"), allowMissingColumns=True)
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     out = out.select("doc_id", "n_shingles", *(F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "component_id")))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
