@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import store
+from .skew import look_up
 
 CELL = 1024
-FEW_SOURCES, SALTS = 10_000, 32
 EXCHANGES = 64
 MOST = 3.0
 WEIGHTS = (5, 2, 1)
@@ -167,14 +167,7 @@ def mix(sized: DataFrame, tag: str = "mix", target: float | None = None) -> Data
     wanted = F.when(F.col("source_size") > 0, F.least(F.col("cap"), F.col("weight") * F.lit(unit))).otherwise(0.0)
     plan = totals.withColumn("target", wanted).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     plan = plan.select("source_size", "target", F.struct("number", "rate", F.ceil(F.col("n") / CELL).alias("cells")).alias("_mix"), F.col("source").alias("_mix_source"))
-    # which join is made depends on the number of sources; its rows don't. Many sources are met in salted parts, as one may hold most rows
-    if total["n"] <= FEW_SOURCES:
-        joined = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(F.col("_mix_source")))
-    else:
-        parts = plan.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = sized.withColumn("_mix_salted", F.pmod(F.xxhash64("unit", "size"), F.lit(SALTS)).cast("int"))
-        joined = salted.join(parts, F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_salted") == F.col("_mix_salt"))).drop("_mix_salt", "_mix_salted")
-    joined = joined.drop("_mix_source")
+    joined = look_up(sized, plan, {"source": "_mix_source"}, ["unit", "size"], total["n"])
     rate, whole = F.col("_mix.rate"), F.floor("_mix.rate").cast("long")
     spread = F.pmod(F.xxhash64("unit", "size"), F.col("_mix.cells")).cast("int")
     rest = joined.filter((rate > whole) & (F.col("size") > 0)).select("unit", F.col("_mix.number").alias("source"), "size", (rate - whole).alias("p"), spread.alias("cell"))
