@@ -1,14 +1,14 @@
 """Quality classifier: an interpolated modified Kneser-Ney model over bytes, trained on trusted text.
 
-Training text is the whole text of all rows labelled good. Counts of the n-grams of ``ORDER`` bytes, continuation counts of the
-shorter ones, discounts and context totals are grouped and joined on the n-gram, dealt over the cluster by its hash. The model
-grows with the training text and is held in no process: it lies in the shared folder as shards of some ``SHARD`` rows. A scoring
-task gathers the distinct n-grams of some ``HELD`` bytes of text and joins those it hasn't met yet with the shards, one at a time.
-A corpus-wide exchange of (document, n-gram) rows instead would write some 10 times the input to disk.
-
-A document's perplexity is per byte, over its whole text. Thresholds cover all rows: for each language the ``QUANTILE`` of
-perplexities of all rows labelled good, widened by ``MARGIN`` and, as a text's first bytes cost more, by ``START`` nats a text; languages with fewer than ``LEAST`` such rows, and null,
-use the quantile over all languages.
+Training text is the whole text of all rows labelled good but every ``APART``th by hash. Counts of the n-grams of ``ORDER`` bytes,
+continuation counts of the shorter ones, discounts and context totals are grouped and joined on the n-gram, dealt over the cluster by
+its hash. The model grows with the training text and is held in no process: it lies in the shared folder as shards of some ``SHARD``
+rows. A scoring task gathers the distinct n-grams of some ``HELD`` bytes of text and joins those it hasn't met yet with the shards, one at a
+time. A corpus-wide exchange of (document, n-gram) rows instead would write some 10 times the input to disk.
+
+A document's perplexity is per byte, over its whole text. Thresholds are the ``QUANTILE`` of perplexities of the good rows that were kept
+apart, which the model hasn't seen, by language and by size, as the first bytes of a text cost more than later ones: one for each
+language and class of ``SIZES``; with fewer than ``LEAST`` such rows, that of the class over all languages, then of the language, then of all.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import store
 from .kernels import U64, HashTable, text_chunks
+from .skew import look_up
 
 ORDER = 5
 PIECE = 1 << 18  # bytes whose n-grams are made at once
@@ -31,8 +32,8 @@ HELD = 1 << 24  # bytes of text
 MET = 1 << 20  # n-grams whose probabilities a worker keeps from batch to batch
 READY = 1 << 21  # rows of shards that a worker keeps
 QUANTILE = 0.995
-MARGIN = 1.15
-START = 6.0
+APART = 5
+SIZES = (100, 400, 2000)  # bytes from which the next class begins
 LEAST = 30
 
 
@@ -228,7 +229,7 @@ def score(documents: DataFrame, labels: DataFrame, carry: list[str] | None = Non
     """The columns ``carry`` (default doc_id and lang) with n_bytes and perplexity (null without text), written to the shared folder."""
     spark = documents.sparkSession
     store.small_batches(spark)
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    good = good_rows(labels).filter(~apart())
     # texts are dealt out by doc_id at all sizes: the list of trusted rows grows with the input
     shards = train(documents.select("doc_id", "text").filter("doc_id is not null and text <> ''").join(good.hint("shuffle_hash"), "doc_id", "left_semi"))
     carry = carry or ["doc_id", "lang"]
@@ -256,17 +257,43 @@ def score(documents: DataFrame, labels: DataFrame, carry: list[str] | None = Non
     return store.materialize(scored.toDF(*carry, "n_bytes", "perplexity"), "perplexities")
 
 
+def good_rows(labels: DataFrame) -> DataFrame:
+    """The doc_ids with a row that says quality 1, each once."""
+    return labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+
+
+def apart() -> Column:
+    """Whether the row is kept from training."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("apart")), F.lit(APART)) == 0
+
+
+def size_class(n_bytes: str = "n_bytes") -> Column:
+    out = F.lit(0)
+    for least in SIZES:
+        out = out + (F.col(n_bytes) >= least).cast("int")
+    return out
+
+
 def judge(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """``scored`` with threshold and kept: text at or below its language's threshold. Without any labelled rows all text is kept;
-    documents without text never are."""
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    trusted = scored.select("doc_id", "lang", "perplexity").filter("perplexity is not null").join(good, "doc_id", "left_semi")
+    """``scored`` with threshold and kept: text at or below its threshold. Null is a language like any other. Without any good rows kept apart
+    all text is kept; documents without text never are."""
+    good = good_rows(labels).filter(apart())
+    trusted = scored.select("doc_id", "lang", "perplexity", size_class().alias("class")).filter("perplexity is not null").join(good, "doc_id", "left_semi")
     q = F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10000)).alias("q")
-    by = trusted.rollup("lang").agg(q, F.count("*").alias("n"), F.grouping("lang").alias("all"))
-    lang = F.broadcast(by.filter(F.col("n") >= LEAST).filter("all = 0 and lang is not null").select("lang", F.col("q").alias("own")).limit(1000))
-    every = F.broadcast(by.filter("all = 1").select(F.col("q").alias("every")))
-    out = scored.join(lang, "lang", "left").join(every, F.lit(True), "left")
-    out = out.withColumn("threshold", F.coalesce("own", "every", F.lit(float("inf"))) * MARGIN * F.exp(START / F.greatest("n_bytes", F.lit(1)))).drop("own", "every")
+    by = trusted.cube("lang", "class").agg(q, F.count("*").alias("n"), F.grouping_id().alias("over")).filter((F.col("n") >= LEAST) | (F.col("over") == 3))
+    by = store.materialize(by, "thresholds")
+    # bits of over: 2 for all languages, 1 for all classes
+    own = by.filter("over = 0").select(F.col("lang").alias("_lang"), F.col("class").alias("_class"), F.col("q").alias("_own"))
+    lang = by.filter("over = 1").select(F.col("lang").alias("_lang"), F.col("q").alias("_of_lang"))
+    sized = {r["class"]: r["q"] for r in by.filter("over = 2").collect()}  # a row for each class
+    every = by.filter("over = 3").agg(F.max("q")).first()[0]
+    of_class = F.lit(None).cast("double")
+    for k, v in sized.items():
+        of_class = F.when(F.col("_size") == k, v).otherwise(of_class)
+    out = scored.withColumn("_size", size_class())
+    out = look_up(out, own, {"lang": "_lang", "_size": "_class"}, ["n_bytes", "perplexity"], own.count())
+    out = look_up(out, lang, {"lang": "_lang"}, ["n_bytes", "perplexity"], lang.count())
+    out = out.withColumn("threshold", F.coalesce("_own", of_class, "_of_lang", F.lit(every).cast("double"), F.lit(float("inf")))).drop("_own", "_of_lang", "_size")
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
 
 
