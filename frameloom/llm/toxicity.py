@@ -4,8 +4,11 @@ Learning, from a bounded sample of labelled rows (``TOXIC_ROWS`` and ``CLEAN_ROW
 
 1. Features of a word: its core (A-Z lower-cased, without ASCII punctuation at its ends), the core's prefixes and suffixes of
    some lengths. Those that toxic documents hold far oftener (likelihood ratio at least ``RATIO``) form the lexicon.
-2. Labelled tokens: words of toxic documents with a lexicon feature that clean documents hardly have; all others are clean.
-3. Feature weights and transitions are fitted to windows of ``WINDOW`` tokens by the gradient of the likelihood.
+2. Token labels are learned from the documents' (a toxic one has at least one toxic token, a clean one has none). At first, words of toxic
+   documents with a lexicon feature that clean documents hardly have are toxic. After each fit, those are that the model then finds
+   toxic, and in a toxic document without any its likeliest lexicon word; ``ROUNDS`` times.
+3. Feature weights and transitions are fitted by the gradient of the likelihood to windows of ``WINDOW`` tokens, from anywhere in the text: all
+   that hold a lexicon word, and of each document one that its length picks.
 
 Scoring runs over whole texts. Words without lexicon features all have the same potentials, so a run of them is one power of a
 2 x 2 matrix, and forward-backward steps only from one lexicon word to the next; the marginals are those of the full chain.
@@ -22,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import store
-from .kernels import _BYTE, LOWER, HashTable, span_hashes, text_chunks, word_hashes, word_spans
+from .kernels import _BYTE, LOWER, HashTable, mix, span_hashes, text_chunks, word_hashes, word_spans
 
 TOXIC_ROWS, CLEAN_ROWS = 3000, 5000
 RATIO = 24.0
 LIKELY, SURE = 0.95, 0.99
 WINDOW = 32
-WINDOWS = 6  # with lexicon words, of one document, for fitting
-STEPS, RATE, DECAY = 150, 0.15, 1e-4
+STEPS, AGAIN, RATE, DECAY = 150, 40, 0.15, 1e-4
+ROUNDS = 2
 AFFIXES = (3, 4, 5, 6)
 CACHE = 1 << 19
 
@@ -70,12 +73,16 @@ def _document_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _windows(lexicon: np.ndarray, sure: np.ndarray):
-    """A function from (text, toxic) rows to windows: places and lexicon numbers of their features, and places labelled toxic."""
+    """A function from (text, toxic) rows to windows: their document and whether it is toxic, places and lexicon numbers of their features, and places
+    labelled toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        before = TaskContext.get().partitionId() << 32
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            places, numbers, labelled, sizes = [], [], [], []
+            places, numbers, labelled, sizes, owners = [], [], [], [], []
             for lo, hi, data, offsets in text_chunks(batch.column(0), 1 << 19):
                 starts, ends, first = word_spans(data, offsets)
                 f = features(data, starts, ends)
@@ -86,15 +93,19 @@ def _windows(lexicon: np.ndarray, sure: np.ndarray):
                     i, j = first[d - lo], first[d - lo + 1]
                     if i == j:
                         continue
-                    held = np.unique(np.flatnonzero(known[i:j].any(axis=1)) // WINDOW)
-                    for w in [*held[:WINDOWS], *({0} - {*held[:WINDOWS].tolist()})]:
+                    held = {*(np.flatnonzero(known[i:j].any(axis=1)) // WINDOW).tolist()}
+                    held.add(int(mix(np.array([offsets[d - lo + 1] - offsets[d - lo]], np.uint64))[0]) % -(-int(j - i) // WINDOW))
+                    for w in sorted(held):
                         at = slice(i + w * WINDOW, min(i + (w + 1) * WINDOW, j))
                         p, k = np.nonzero(known[at])
                         places.append(p.tolist())
                         numbers.append(number[at][p, k].tolist())
                         labelled.append(np.flatnonzero(marked[at]).tolist() if toxic[d] else [])
                         sizes.append(at.stop - at.start)
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in (places, numbers, labelled))], ["size", "places", "numbers", "labelled"])
+                        owners.append(before + d)
+            marks = [pa.array(owners, pa.int64()), pa.array([bool(toxic[o - before]) for o in owners], pa.bool_()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*marks, *(pa.array(x, pa.list_(pa.int32())) for x in (places, numbers, labelled))], ["doc", "toxic", "size", "places", "numbers", "labelled"])
+            before += batch.num_rows
 
     return run
 
@@ -106,7 +117,7 @@ def _spread(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(windows: pa.Table, n_features: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """(weights, bias, transitions): Adam on the mean log-likelihood of the windows' labels."""
+    """(weights, bias, transitions): Adam on the mean log-likelihood of the windows' labels, which are learned anew ROUNDS times."""
     n = windows.num_rows
     size = windows.column("size").to_numpy()
     row, place = _spread(windows.column("places"))
@@ -115,27 +126,47 @@ def fit(windows: pa.Table, n_features: int) -> tuple[np.ndarray, float, np.ndarr
     y = np.zeros((n, WINDOW), np.int64)
     y[y_row, y_place] = 1
     live = np.arange(WINDOW) < size[:, None]
-    step = live[:, 1:]
-    seen = np.zeros((2, 2))
-    for i in (0, 1):
-        for j in (0, 1):
-            seen[i, j] = ((y[:, :-1] == i) & (y[:, 1:] == j) & step).sum()
+    cell = row * WINDOW + place
     theta = np.zeros(n_features + 5)
     theta[n_features] = -2.0
+    theta = _climb(theta, y, live, cell, number, STEPS)
+    # lexicon words of toxic documents, with their documents' numbers
+    cells = np.unique(cell)
+    cells = cells[windows.column("toxic").to_numpy(zero_copy_only=False).astype(bool)[cells // WINDOW]]
+    _, owner = np.unique(windows.column("doc").to_numpy()[cells // WINDOW], return_inverse=True)
+    for _ in range(ROUNDS if len(cells) else 0):
+        p = _posteriors(_emissions(theta, live, cell, number), live, theta[n_features + 1 :].reshape(2, 2))[0].ravel()[cells]
+        top = np.lexsort((-p, owner))
+        first = top[np.concatenate([[True], np.diff(owner[top]) > 0])]
+        toxic = p >= 0.5
+        toxic[first] = True
+        y = np.zeros(n * WINDOW, np.int64)
+        y[cells[toxic]] = 1
+        theta = _climb(theta, y.reshape(n, WINDOW), live, cell, number, AGAIN)
+    return theta[:n_features], float(theta[n_features]), theta[n_features + 1 :].reshape(2, 2)
+
+
+def _emissions(theta: np.ndarray, live: np.ndarray, cell: np.ndarray, number: np.ndarray) -> np.ndarray:
+    e = np.full(live.shape, theta[-5])
+    e += np.bincount(cell, theta[number], live.size).reshape(live.shape)
+    e[~live] = 0
+    return e
+
+
+def _climb(theta: np.ndarray, y: np.ndarray, live: np.ndarray, cell: np.ndarray, number: np.ndarray, steps: int) -> np.ndarray:
+    """``steps`` of Adam from ``theta``: weights of features, bias, transitions."""
+    n, n_features, step = len(y), len(theta) - 5, live[:, 1:]
+    seen = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j) & step).sum() for j in (0, 1)] for i in (0, 1)])
+    theta = theta.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    cell = row * WINDOW + place
-    for t in range(1, STEPS + 1):
-        bias, trans = theta[n_features], theta[n_features + 1 :].reshape(2, 2)
-        e = np.full((n, WINDOW), bias)
-        e += np.bincount(cell, theta[number], n * WINDOW).reshape(n, WINDOW)
-        e[~live] = 0
-        p, pairs = _posteriors(e, live, trans)
+    for t in range(1, steps + 1):
+        p, pairs = _posteriors(_emissions(theta, live, cell, number), live, theta[n_features + 1 :].reshape(2, 2))
         miss = np.where(live, y - p, 0.0)
         g = np.concatenate([np.bincount(number, miss.ravel()[cell], n_features), [miss.sum()], (seen - pairs).ravel()]) / n
         g -= DECAY * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return theta[:n_features], float(theta[n_features]), theta[n_features + 1 :].reshape(2, 2)
+    return theta
 
 
 def _posteriors(e: np.ndarray, live: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +213,8 @@ def log_odds(p: np.ndarray) -> np.ndarray:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> dict:
-    """The model of ``documents(doc_id, text)`` as ``labels(doc_id, toxic)`` marks them; without toxic rows, one that finds none."""
+    """The model of ``documents(doc_id, text)`` as ``labels(doc_id, toxic)`` marks them; without toxic rows, one that finds none. A document with
+    several labels is toxic if one of them says so; null labels say nothing."""
     spark = documents.sparkSession
     by = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
@@ -203,8 +235,8 @@ def train(documents: DataFrame, labels: DataFrame) -> dict:
     lexicon = found.column("feature").to_numpy().view(np.uint64)
     i = np.argsort(lexicon)
     lexicon, sure = lexicon[i], found.column("sure").to_numpy()[i] >= SURE
-    windows = rows.mapInArrow(_windows(lexicon, sure), "size int, places array<int>, numbers array<int>, labelled array<int>").toArrow()
-    windows = windows.sort_by([("size", "ascending")])
+    windows = rows.mapInArrow(_windows(lexicon, sure), "doc long, toxic boolean, size int, places array<int>, numbers array<int>, labelled array<int>").toArrow()
+    windows = windows.sort_by([("size", "ascending"), ("doc", "ascending")])
     weights, bias, trans = fit(windows, len(lexicon))
     model = {"lexicon": lexicon, "weights": weights, "bias": bias, "trans": trans, "curve": None}
     found = rows.mapInArrow(_evidence(model), "evidence double, toxic int").toArrow()
@@ -341,7 +373,8 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa
 
 
 def tag(documents: DataFrame, model: dict) -> DataFrame:
-    """doc_id, score (0 to 1; about 0 without lexicon words, 0 for null and empty texts) and spans for each row of ``documents(doc_id, text)``."""
+    """doc_id, score (0 to 1; about 0 without lexicon words, as for null and empty texts) and spans for each row of ``documents(doc_id, text)``: repeated
+    rows, and rows of one doc_id with other texts, are scored each by its own text. Other columns are ignored."""
     store.small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
