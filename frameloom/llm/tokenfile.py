@@ -125,7 +125,9 @@ def checksums(spark: SparkSession, out: str) -> DataFrame:
             for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, path = store.open_fs(f"{out}/{name}")
                 with fs.open_input_file(path) as source:
-                    for t in pq.ParquetFile(source).iter_batches(batch_size=4096):
+                    table = pq.ParquetFile(source)
+                    for g in range(table.num_row_groups):
+                        t = table.read_row_group(g, columns=["doc_id", "ids"]).combine_chunks().to_batches()[0]
                         lists = t.column("ids")
                         stop = lists.offsets.to_numpy().astype(np.int64)
                         raw = memoryview(np.ascontiguousarray(lists.values.to_numpy()).astype("<i4", copy=False)).cast("B")
