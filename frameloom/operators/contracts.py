@@ -103,3 +103,41 @@ def finite(samples: str | Column) -> Column:
 
 def close(a: Column, b: Column, relative: float = 1e-6, absolute: float = 1e-9) -> Column:
     return F.abs(a - b) <= F.greatest(relative * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
+
+
+def frozen(settings: dict, protocol: dict, path: str = "") -> dict:
+    """``settings`` where each value of ``protocol`` stands at its place, nested ones too; raises with all places that differ. Numbers are compared as
+    numbers, true and 1 are different; settings beyond the protocol are free."""
+    bad = list(_differing(settings, protocol, path))
+    if bad:
+        raise ContractError("not the frozen protocol: " + "; ".join(bad))
+    return settings
+
+
+def _differing(have, want, path: str):
+    if isinstance(want, dict):
+        if not isinstance(have, dict):
+            yield f"{path or '.'} must be a group"
+            return
+        for k, v in want.items():
+            at = f"{path}.{k}".lstrip(".")
+            if k not in have:
+                yield f"{at} is missing"
+            else:
+                yield from _differing(have[k], v, at)
+    elif isinstance(have, bool) != isinstance(want, bool) or have != want:
+        yield f"{path} is {have!r}, not {want!r}"
+
+
+def frozen_experiment(df: DataFrame, key: str, condition: str, conditions: set[str], identities: list[str], metadata: list[str], fixed: dict) -> DataFrame:
+    """``df`` where each key has all ``conditions`` once and no other, the columns ``identities`` hold one value each, ``metadata`` doesn't vary within a
+    key, and the columns of ``fixed`` hold its values."""
+    found = {r[0] for r in df.select(condition).distinct().limit(len(conditions) + 1).collect()}
+    if found != conditions:
+        raise ContractError(f"conditions are {sorted(map(str, found))}, not {sorted(conditions)}")
+    constant_within(single_value(paired(unique(df, [key, condition]), key, condition), identities), key, metadata)
+    differs = F.lit(False)
+    for c, v in fixed.items():
+        differs = differs | ~F.col(c).eqNullSafe(F.lit(v))
+    _raise_if(df.filter(differs).select(key, condition, *fixed), f"the columns must hold {fixed}")
+    return df

@@ -23,15 +23,16 @@ def by_strata(df: DataFrame, strata: list[str], key: str, k: int, seed: int) ->
 
 
 def by_speaker(df: DataFrame, speaker: str, key: str, k: int, seed: int) -> DataFrame:
-    """At most k rows of each speaker: sorted by key, then shuffled by Python's generator seeded with seed and speaker."""
-    columns = df.columns
+    """At most k rows of each speaker, by unique keys: sorted by key, then shuffled by Python's generator seeded with seed and speaker. Only keys
+    are gathered by speaker."""
+    keys = df.select(speaker, key)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(key, kind="stable").index.tolist()
-        random.Random(f"{seed}:{pdf[speaker].iloc[0]}").shuffle(rows)
-        return pdf.loc[sorted(rows[:k], key=lambda i: pdf[key][i]), columns]
+        held = sorted(pdf[key].tolist())
+        random.Random(f"{seed}:{pdf[speaker].iloc[0]}").shuffle(held)
+        return pd.DataFrame({speaker: pdf[speaker].iloc[0], key: held[:k]})
 
-    return df.groupBy(speaker).applyInPandas(pick, df.schema)
+    return df.join(keys.groupBy(speaker).applyInPandas(pick, keys.schema), [speaker, key], "left_semi").select(*df.columns)
 
 
 def split_speakers(df: DataFrame, speaker: str, seed: int, fraction: float | None = None, count: int | None = None) -> DataFrame:

@@ -27,10 +27,10 @@ def error_columns() -> list[Column]:
 
 def corpus_rates(scored: DataFrame, condition: str = "condition", baseline: str = "noisy") -> DataFrame:
     """One row for each condition: sums, the corpus rate, and its difference from the baseline's, absolute and relative (null if that is 0)."""
-    by = scored.groupBy(condition).agg(*error_columns())
-    base = by.filter(F.col(condition) == baseline).select(F.col("wer").alias("_b"))
+    by = scored.groupBy(condition).agg(*error_columns()).withColumn("_w", F.col("errors") / F.col("words"))
+    base = by.filter(F.col(condition) == baseline).select(F.col("_w").alias("_b"))  # one row
     out = by.join(F.broadcast(base), F.lit(True), "left")
-    return out.withColumns({"delta": F.round(F.col("wer") - F.col("_b"), 6), "relative_reduction": F.round(F.expr("try_divide(_b - wer, _b)"), 6)}).drop("_b")
+    return out.withColumns({"delta": F.round(F.col("_w") - F.col("_b"), 6), "relative_reduction": F.round(F.expr("try_divide(_b - _w, _b)"), 6)}).drop("_b", "_w")
 
 
 def stratified_rates(scored: DataFrame, strata: list[str], condition: str = "condition") -> DataFrame:

@@ -55,26 +55,41 @@ def trailing(df: DataFrame, value: str, size: int, quantile: float | None = None
     return df.withColumn("trailing", F.round((F.min(value) if quantile is None else F.percentile(value, quantile)).over(w), 6))
 
 
-def recurrence(df: DataFrame, value: str, step: str, first: str, name: str) -> DataFrame:
-    """A recurrence along each stream, in SQL: ``step`` of the state ``s`` and the value ``x``, from ``first``; an ordered array in, one row for
-    each sample out. The stream's array is held by one task."""
-    packed = df.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("n", F.col(value).cast("double").alias("x")))).alias("_a"))
-    run = F.expr(
-        f"aggregate(_a, named_struct('s', cast(null as double), 'out', cast(array() as array<struct<n:bigint,y:double>>)), "
-        f"(acc, e) -> named_struct('s', {step.replace('{s}', 'coalesce(acc.s, ' + first + ')').replace('{x}', 'e.x')}, 'out', "
-        f"concat(acc.out, array(named_struct('n', e.n, 'y', {step.replace('{s}', 'coalesce(acc.s, ' + first + ')').replace('{x}', 'e.x')})))), acc -> acc.out)"
-    )
-    return packed.select("stream", F.explode(run).alias("_e")).select("stream", F.col("_e.n").alias("n"), F.col("_e.y").alias(name))
+def recurrence(df: DataFrame, value: str, step: Callable[[list[float]], list[float]], name: str) -> DataFrame:
+    """``step`` maps a stream's values, in order of n, to as many results: (stream, n, ``name``). Linear in the stream, which is held by one task, as
+    each result needs the one before it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(np.argsort(t.column("n").to_numpy(), kind="stable"))
+        return t.select(["stream", "n"]).append_column(name, pa.array(step(t.column(value).to_pylist()), pa.float64()))
+
+    kind = f"stream {df.schema['stream'].dataType.simpleString()}, n {df.schema['n'].dataType.simpleString()}, {name} double"
+    return df.select("stream", "n", F.col(value).cast("double").alias(value)).groupBy("stream").applyInArrow(run, kind)
 
 
 def ema(df: DataFrame, value: str, keep: float) -> DataFrame:
     """keep * before + (1 - keep) * now, from the first value."""
-    return recurrence(df, value, f"{keep}D * {{s}} + {1 - keep}D * {{x}}", "e.x", "ema")
+
+    def step(values: list[float]) -> list[float]:
+        out, s = [], values[0]
+        for x in values:
+            s = keep * s + (1 - keep) * x
+            out.append(s)
+        return out
+
+    return recurrence(df, value, step, "ema")
 
 
 def asymmetric_ema(df: DataFrame, value: str, rising: float, falling: float, start: float) -> DataFrame:
-    a = f"if({{x}} > {{s}}, {rising}D, {falling}D)"
-    return recurrence(df, value, f"{a} * {{s}} + (1 - {a}) * {{x}}", f"{start}D", "floor")
+    def step(values: list[float]) -> list[float]:
+        out, s = [], start
+        for x in values:
+            a = rising if x > s else falling
+            s = a * s + (1 - a) * x
+            out.append(s)
+        return out
+
+    return recurrence(df, value, step, "floor")
 
 
 def islands(df: DataFrame, label: str) -> DataFrame:
@@ -155,16 +170,40 @@ def si_sdr(df: DataFrame, reference: str = "reference", estimate: str = "estimat
     return df.select("stream", F.round(10 * F.log10((target + 1e-12) / (rest + 1e-12)), 6).alias("si_sdr_db"))
 
 
-def per_stream(df: DataFrame, kernel: Callable[..., dict], outputs: dict[str, str], inputs: list[str] | None = None) -> DataFrame:
+def _rows_of(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a list column, as views of its values."""
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _column_of(values: list, kind: pa.DataType) -> pa.Array:
+    """Scalars, arrays or matrices of equal kind as one Arrow array, without boxing their numbers."""
+    if not pa.types.is_list(kind):
+        return pa.array([v.item() if isinstance(v, np.generic) else v for v in values], kind)
+    ends = pa.array(np.cumsum([0, *map(len, values)]), pa.int32())
+    inner = kind.value_type
+    if pa.types.is_list(inner):
+        return pa.ListArray.from_arrays(ends, _column_of([row for v in values for row in v], inner)).cast(kind)
+    flat = np.concatenate([np.asarray(v) for v in values if len(v)]) if any(len(v) for v in values) else np.zeros(0)
+    return pa.ListArray.from_arrays(ends, pa.array(flat.tolist() if flat.dtype.kind in "OU" else flat).cast(inner)).cast(kind)
+
+
+def per_stream(df: DataFrame, kernel: Callable[..., dict], outputs: dict[str, str], inputs: list[str] | None = None, keyed: bool = False) -> DataFrame:
     """A kernel over the arrays of each row: its results as columns (``outputs``: name to SQL type). Rows are independent, so no shuffle;
-    arrays pass in Arrow batches."""
+    arrays pass in Arrow batches. ``keyed`` gives the kernel the stream's key first."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
     inputs = inputs or ["samples"]
+    kinds = {k: to_arrow_type(_parse_datatype_string(v)) for k, v in outputs.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [kernel(*(np.asarray(batch.column(k + 1)[i].as_py()) for k in range(len(inputs)))) for i in range(batch.num_rows)]
-            plain = lambda v: v.tolist() if isinstance(v, (np.ndarray, np.generic)) else v
-            yield pa.RecordBatch.from_pydict({"stream": batch.column(0)} | {k: [plain(r[k]) for r in rows] for k in outputs})
+            arrays = [_rows_of(batch.column(k + 1)) for k in range(len(inputs))]
+            keys = batch.column(0).to_pylist()
+            rows = [kernel(*([keys[i]] if keyed else []), *(a[i] for a in arrays)) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(_column_of([r[k] for r in rows], t) for k, t in kinds.items())], ["stream", *kinds])
 
     kind = f"stream {df.schema['stream'].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in outputs.items())
     return df.select("stream", *inputs).mapInArrow(run, kind)

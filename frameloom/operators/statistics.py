@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .ordering import average_ranks, numbered
 
 
 def summary(df: DataFrame, value: str, by: list[list[str]], digits: int = 6) -> DataFrame:
@@ -32,18 +34,19 @@ def baseline_delta(df: DataFrame, key: str, condition: str, value: str, baseline
     return df.withColumn("baseline", base).withColumn("delta", F.col(value) - F.col("baseline"))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Ranks from 1; ties share their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """n, pearson and spearman; null for fewer than two rows or a constant side."""
-    df = df.withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
+    """n, pearson and spearman; null for fewer than two rows or a constant side. Ranks are those of distinct values, and pairs of values are counted, so
+    no task sorts a group."""
     fit = (F.count("*") >= 2) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    pick = lambda a, b: F.round(F.when(fit, F.corr(a, b)), 6)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), pick(x, y).alias("pearson"), pick("_x", "_y").alias("spearman"))
+    plain = df.groupBy(*by).agg(F.count("*").alias("n"), fit.alias("_fit"), F.corr(x, y).alias("_p"))
+    cells = df.groupBy(*by, x, y).agg(F.count("*").alias("_w"))
+    ranked = cells.join(average_ranks(df, x, by, "_x"), [*by, x]).join(average_ranks(df, y, by, "_y"), [*by, y]).join(plain.select(*by, F.col("n").alias("_n")), by)
+    w, a, b = F.col("_w"), F.col("_x") - (F.col("_n") + 1) / 2, F.col("_y") - (F.col("_n") + 1) / 2
+    sums = ranked.groupBy(*by).agg(*(F.sum(w * c).alias(k) for k, c in {"_1": F.lit(1.0), "_a": a, "_b": b, "_aa": a * a, "_bb": b * b, "_ab": a * b}.items()))
+    top = F.col("_1") * F.col("_ab") - F.col("_a") * F.col("_b")
+    low = F.sqrt((F.col("_1") * F.col("_aa") - F.col("_a") * F.col("_a")) * (F.col("_1") * F.col("_bb") - F.col("_b") * F.col("_b")))
+    out = plain.join(sums, by, "left")
+    return out.select(*by, "n", F.round(F.when(F.col("_fit"), F.col("_p")), 6).alias("pearson"), F.round(F.when(F.col("_fit"), F.try_divide(top, low)), 6).alias("spearman"))
 
 
 def directions(df: DataFrame, delta: str, by: list[str]) -> DataFrame:
@@ -64,7 +67,8 @@ def leave_one_out(df: DataFrame, group: str, errors: str, base_errors: str, tota
 
 def most_influential(df: DataFrame, key: str, delta: str, by: list[str]) -> DataFrame:
     """The row with the largest absolute delta of each group, the first key of equals."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.abs(delta).desc(), F.col(key)))).filter("_n = 1").drop("_n")
+    row = F.struct(*(F.col(c) for c in df.columns))
+    return df.groupBy(*by).agg(F.min_by(row, F.struct(-F.abs(delta), F.col(key))).alias("_top")).select("_top.*")
 
 
 def bootstrap_indices(n: int, draws: int, seed: int, generator: str) -> list[tuple[int, int, int]]:
@@ -102,7 +106,7 @@ def paired_bootstrap(pairs: DataFrame, key: str, errors: str, base_errors: str,
     n = pairs.count()
     if not n:
         raise ValueError("nothing to resample")
-    placed = pairs.select((F.row_number().over(Window.orderBy(key)) - 1).alias("place"), (F.col(errors) - F.col(base_errors)).alias("d"), F.col(total).alias("t"))
+    placed = numbered(pairs.select(key, (F.col(errors) - F.col(base_errors)).alias("d"), F.col(total).alias("t")), key, "place").drop(key)
     if generator:
         rows = spark.createDataFrame(bootstrap_indices(n, draws, seed, generator), "draw long, place long, times long")
     else:

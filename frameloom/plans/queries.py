@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import kernels, text
-from ..functions.settings import Correction, Continuity, Endpoints, EnergyActivity, Framing, Hysteresis, StatisticalActivity
-from ..operators import contracts, sampling, scoring, signals, statistics
+from ..functions import text
+from ..functions.settings import Framing
+from ..operators import contracts, counters, sampling, scoring, signals, statistics
 from . import derived
 from .derived import MANIFEST, PAIRS, SCORES, SIGNAL, TRANSCRIPTS, manifest, pairs, scores, signal, table, transcripts, vectors
 
@@ -31,9 +30,9 @@ def query(sql: str | None = None):
 
 
 @query(f"""WITH {TRANSCRIPTS},
-by_c AS (SELECT condition, count(*) AS utterances, sum(words)::BIGINT AS words, sum(errors)::BIGINT AS errors, round(sum(errors) / sum(words)::DOUBLE, 6) AS wer FROM scored GROUP BY condition),
-b AS (SELECT wer AS b FROM by_c WHERE condition = 'noisy')
-SELECT by_c.*, round(wer - b, 6) AS delta, round((b - wer) / nullif(b, 0), 6) AS relative_reduction FROM by_c, b""")
+by_c AS (SELECT condition, count(*) AS utterances, sum(words)::BIGINT AS words, sum(errors)::BIGINT AS errors, sum(errors) / sum(words)::DOUBLE AS w FROM scored GROUP BY condition),
+b AS (SELECT w AS b FROM by_c WHERE condition = 'noisy')
+SELECT condition, utterances, words, errors, round(w, 6) AS wer, round(w - b, 6) AS delta, round((b - w) / nullif(b, 0), 6) AS relative_reduction FROM by_c, b""")
 def corpus_wer_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.corpus_rates(scoring.score(transcripts(spark, sf_dir))).drop("substitutions", "deletions", "insertions")
 
@@ -175,6 +174,49 @@ def text_digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
 
 
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _spoken(spark, sf_dir) -> DataFrame:
+    """Transcripts as people write them: contractions, titles, remarks, thousands' commas and capitals, differently on both sides."""
+    reference = F.concat(F.lit("Mr. Hill: \u201cIt's "), F.col("reference"), F.lit("\u201d, (laughs) won't cost 12,500 [noise]"))
+    hypothesis = F.concat(F.lit("mister Hill it is "), F.translate("hypothesis", _SMALL, _SMALL.upper()), F.when(F.col("id") % 2 == 0, " will not cost 12500.").otherwise(" uh, won't cost 1,250"))
+    return transcripts(spark, sf_dir).withColumns({"reference": reference, "hypothesis": hypothesis})
+
+
+_R = text.normalized_english_sql("'Mr. Hill: \u201cIt''s ' || array_to_string(r, ' ') || '\u201d, (laughs) won''t cost 12,500 [noise]'")
+_H = text.normalized_english_sql(f"'mister Hill it is ' || translate(array_to_string(h, ' '), '{_SMALL}', '{_SMALL.upper()}') || CASE WHEN id % 2 = 0 THEN ' will not cost 12500.' ELSE ' uh, won''t cost 1,250' END")
+
+
+@query(f"WITH {TRANSCRIPTS} SELECT id, condition, {_R} AS reference, {_H} AS hypothesis FROM trans")
+def english_normalized(spark, sf_dir):
+    return _spoken(spark, sf_dir).select("id", "condition", *(text.normalized_english(c).alias(c) for c in ("reference", "hypothesis")))
+
+
+@query(f"""WITH {TRANSCRIPTS}, n AS (SELECT condition, string_split({_R}, ' ') AS a, string_split({_H}, ' ') AS b FROM trans), v AS (SELECT *, list_distinct(list_concat(a, b)) AS v FROM n),
+e AS (SELECT condition, len(a) AS words, levenshtein(array_to_string(list_transform(a, lambda w: chr(33 + list_position(v, w)::INT)), ''), array_to_string(list_transform(b, lambda w: chr(33 + list_position(v, w)::INT)), '')) AS errors FROM v)
+SELECT condition, sum(words)::BIGINT AS words, sum(errors)::BIGINT AS errors, round(sum(errors) / sum(words)::DOUBLE, 6) AS wer FROM e GROUP BY condition""")
+def normalized_wer(spark, sf_dir):
+    df = _spoken(spark, sf_dir).withColumns({c: text.normalized_english(c) for c in ("reference", "hypothesis")})
+    return scoring.corpus_rates(scoring.score(df)).select("condition", "words", "errors", "wer")
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (quality = 0) AS poor, count(*) FILTER (toxic = 1) AS toxic FROM labels")
+def run_counters(spark, sf_dir):
+    """Counters that come with the pass that writes the rows."""
+    df, seen = counters.counted(table(spark, sf_dir, "labels"), poor=F.col("quality") == 0, toxic=F.col("toxic") == 1)
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("rows", "poor", "toxic"))], "rows long, poor long, toxic long")
+
+
+@query(f"WITH {TRANSCRIPTS} SELECT condition, count(*) AS utterances, bool_and(len(r) > 0) AS passed FROM trans GROUP BY condition")
+def frozen_experiment(spark, sf_dir):
+    """Rows that pass the frozen experiment's contract; it raises otherwise."""
+    df = transcripts(spark, sf_dir).withColumns({"device": F.lit("cpu"), "model": F.sha2(F.lit("model"), 256)})
+    held = contracts.frozen_experiment(df, "id", "condition", set(derived.CONDITIONS), ["model"], ["speaker", "noise", "snr_db", "reference"], {"device": "cpu"})
+    return held.groupBy("condition").agg(F.count("*").alias("utterances"), F.bool_and(F.col("reference") != "").alias("passed"))
+
+
 # Paired scores --------------------------------------------------------------------------------------------------------
 
 _DELTA = "d AS (SELECT *, max(CASE WHEN condition = 'noisy' THEN value END) OVER (PARTITION BY id) AS baseline, max(CASE WHEN condition = 'noisy' THEN errors END) OVER (PARTITION BY id) AS base_errors FROM scores)"
@@ -383,13 +425,13 @@ def noise_floor_percentile(spark, sf_dir):
     return signals.trailing(signal(spark, sf_dir), "value", 20, 0.2).select("stream", "n", "trailing")
 
 
-@query(f"WITH RECURSIVE {SIGNAL}, e AS (SELECT stream, n, value AS ema FROM signal WHERE n = 0 UNION ALL SELECT s.stream, s.n, 0.9::DOUBLE * e.ema + 0.1::DOUBLE * s.value FROM e JOIN signal s ON s.stream = e.stream AND s.n = e.n + 1) SELECT stream, n, round(ema, 6) AS ema FROM e")
+@query(f"WITH RECURSIVE {SIGNAL}, e AS (SELECT stream, n, 0.9::DOUBLE * value + (1 - 0.9::DOUBLE) * value AS ema FROM signal WHERE n = 0 UNION ALL SELECT s.stream, s.n, 0.9::DOUBLE * e.ema + (1 - 0.9::DOUBLE) * s.value FROM e JOIN signal s ON s.stream = e.stream AND s.n = e.n + 1) SELECT stream, n, round(ema, 6) AS ema FROM e")
 def noise_floor_ema(spark, sf_dir):
     df = signals.ema(signal(spark, sf_dir), "value", 0.9)
     return df.select("stream", "n", F.round("ema", 6).alias("ema"))
 
 
-@query(f"WITH RECURSIVE {SIGNAL}, e AS (SELECT stream, n, CASE WHEN value > 50 THEN 0.98::DOUBLE * 50 + 0.02::DOUBLE * value ELSE 0.8::DOUBLE * 50 + 0.2::DOUBLE * value END AS y FROM signal WHERE n = 0 UNION ALL SELECT s.stream, s.n, CASE WHEN s.value > y THEN 0.98::DOUBLE * y + 0.02::DOUBLE * s.value ELSE 0.8::DOUBLE * y + 0.2::DOUBLE * s.value END FROM e JOIN signal s ON s.stream = e.stream AND s.n = e.n + 1) SELECT stream, n, round(y, 6) AS floor FROM e")
+@query(f"WITH RECURSIVE {SIGNAL}, e AS (SELECT stream, n, CASE WHEN value > 50 THEN 0.98::DOUBLE * 50 + (1 - 0.98::DOUBLE) * value ELSE 0.8::DOUBLE * 50 + (1 - 0.8::DOUBLE) * value END AS y FROM signal WHERE n = 0 UNION ALL SELECT s.stream, s.n, CASE WHEN s.value > y THEN 0.98::DOUBLE * y + (1 - 0.98::DOUBLE) * s.value ELSE 0.8::DOUBLE * y + (1 - 0.8::DOUBLE) * s.value END FROM e JOIN signal s ON s.stream = e.stream AND s.n = e.n + 1) SELECT stream, n, round(y, 6) AS floor FROM e")
 def asymmetric_floor(spark, sf_dir):
     df = signals.asymmetric_ema(signal(spark, sf_dir), "value", 0.98, 0.8, 50.0)
     return df.select("stream", "n", F.round("floor", 6).alias("floor"))
@@ -506,119 +548,3 @@ def positional_zip(spark, sf_dir):
 @query("SELECT o_orderkey, printf('%02d:%04.1f', floor(greatest((o_orderkey * 37 - 900) / 10.0::DOUBLE, 0) / 60)::INT, greatest((o_orderkey * 37 - 900) / 10.0::DOUBLE, 0) - floor(greatest((o_orderkey * 37 - 900) / 10.0::DOUBLE, 0) / 60) * 60) AS at FROM orders")
 def timestamps(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.timestamp_text((F.col("o_orderkey") * 37 - 900) / 10.0).alias("at"))
-
-
-# Kernels: no SQL says them; tests hold them against invariants ----------------------------------------------------------
-
-
-@query()
-def stft_power(spark, sf_dir):
-    return signals.spectrum_power(vectors(spark, sf_dir), SHORT)
-
-
-@query(f"WITH {PAIRS} SELECT stream, round({_LIST('reference')}, 6) AS weighted FROM pairs")
-def wola_roundtrip(spark, sf_dir):
-    df = signals.per_stream(vectors(spark, sf_dir), lambda x: {"y": kernels.synthesize(kernels.analyze(x, SHORT), len(x), SHORT)}, {"y": "array<double>"})
-    return df.select("stream", _weighted("y").alias("weighted"))
-
-
-@query(f"WITH {SIGNAL} SELECT stream, n, round(value, 6) AS value FROM signal")
-def overlap_add_sql(spark, sf_dir):
-    df = signals.with_windowed_sum(signal(spark, sf_dir), SMALL)
-    return df.select("stream", "n", F.round("value", 6).alias("value"))
-
-
-def _enhanced(method: str):
-    def run(spark, sf_dir):
-        df = signals.enhance(vectors(spark, sf_dir), method, SHORT, activity=StatisticalActivity(frame=SMALL, fft=16, band=(0.0, 8000.0)))
-        return df.select("stream", F.transform("samples", lambda x: F.round(x, 9)).alias("samples"))
-
-    run.__name__ = f"enhance_{method}"
-    return query()(run)
-
-
-for _method in kernels.METHODS:
-    _enhanced(_method)
-
-
-@query()
-def noise_psd(spark, sf_dir):
-    def both(x):
-        power = np.abs(kernels.analyze(x, SHORT)) ** 2
-        noise, presence = kernels.MinimaTracker().run(power)
-        tracker = kernels.ImprovedMinimaTracker()
-        return {"mcra": noise, "presence": presence, "imcra": [tracker.step(p)[0].tolist() for p in power]}
-
-    return signals.per_stream(vectors(spark, sf_dir), both, {"mcra": "array<array<double>>", "presence": "array<array<double>>", "imcra": "array<array<double>>"})
-
-
-def _arrays(spark, sf_dir) -> DataFrame:
-    df = signal(spark, sf_dir).groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("a"))
-    return df.select("stream", F.transform("a", lambda x: x["value"]).alias("samples"))
-
-
-_MACHINE = Hysteresis(100.0, 40.0, onset=1, hangover=2, preroll=1, minimum=2)
-
-
-@query()
-def hysteresis_labels(spark, sf_dir):
-    return signals.per_stream(_arrays(spark, sf_dir), lambda x: {"labels": kernels.hysteresis(x, _MACHINE)}, {"labels": "array<boolean>"})
-
-
-@query()
-def energy_vad(spark, sf_dir):
-    c = EnergyActivity(frame=SMALL, window=20, machine=Hysteresis(12.0, 9.0, 1, 2, 1, 1))
-    return signals.per_stream(_arrays(spark, sf_dir), lambda x: {k: v for k, v in kernels.energy_activity(x, c).items() if k in ("margin", "labels")}, {"margin": "array<double>", "labels": "array<boolean>"})
-
-
-@query()
-def statistical_vad(spark, sf_dir):
-    c = StatisticalActivity(frame=SMALL, fft=16, band=(0.0, 8000.0), machine=Hysteresis(0.8, 0.79, 1, 2, 1, 1))
-    return signals.per_stream(_arrays(spark, sf_dir), lambda x: {k: v for k, v in kernels.statistical_activity(x, c).items() if k in ("margin", "labels")}, {"margin": "array<double>", "labels": "array<boolean>"})
-
-
-@query()
-def endpoint_segments(spark, sf_dir):
-    c = Endpoints(on=0.3, off=0.15, onset=1, hangover=3, preroll=2, least_speech=2, maximum=20)
-
-    def detect(x):
-        d = kernels.EndpointDetector(c)
-        found = [s for s in [*(d.step(p) for p in np.clip(x / 490, 0, 1)), d.flush()] if s]
-        return {"starts": [s["start_frame"] for s in found], "ends": [s["end_frame"] for s in found], "reasons": [s["reason"] for s in found]}
-
-    return signals.per_stream(_arrays(spark, sf_dir), detect, {"starts": "array<long>", "ends": "array<long>", "reasons": "array<string>"})
-
-
-@query()
-def continuity(spark, sf_dir):
-    df = pairs(spark, sf_dir)
-    return signals.per_stream(df, lambda x, v: kernels.continuity(x, v, Continuity(block=16)), {"samples": "array<double>", "gain": "array<double>", "clipped": "long"}, ["estimate", "vad"])
-
-
-@query()
-def correction_mix(spark, sf_dir):
-    df = pairs(spark, sf_dir)
-    return signals.per_stream(df, lambda x, e, v: kernels.correction_mix(x, e, v, Correction(block=16)), {"samples": "array<double>", "strength": "array<double>", "ratio": "array<double>"}, ["reference", "estimate", "vad"])
-
-
-@query()
-def resample_streams(spark, sf_dir):
-    return signals.per_stream(vectors(spark, sf_dir), lambda x: {"y": kernels.resample(x, 16000, 48000)}, {"y": "array<double>"})
-
-
-@query()
-def labelled_mixtures(spark, sf_dir):
-    from ..functions.settings import Placement
-
-    c = Placement(rate=100, seconds=4.0, shortest=0.2, longest=0.6, least_gap=0.1, most_gap=0.5)
-
-    def mix(r, e):
-        out = kernels.labelled_mixture([r], [e - r], 5.0, c, np.random.default_rng(20260724))
-        return {"noisy": out["noisy"], "starts": [a for a, _ in out["intervals"]], "stops": [b for _, b in out["intervals"]]}
-
-    return signals.per_stream(pairs(spark, sf_dir), mix, {"noisy": "array<double>", "starts": "array<long>", "stops": "array<long>"}, ["reference", "estimate"])
-
-
-@query()
-def residual_noise_tracks(spark, sf_dir):
-    return signals.per_stream(pairs(spark, sf_dir), lambda r, e: {"noisy": kernels.activity_mixture(r, e - r, 5.0)}, {"noisy": "array<double>"}, ["reference", "estimate"])

@@ -10,6 +10,7 @@ import shutil
 import stat
 import struct
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -78,26 +79,50 @@ def read_audio(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "stem string, samples array<float>, sample_rate int, sha256 string")
 
 
-def write_audio(df: DataFrame, folder: str) -> DataFrame:
-    """Writes ``df(stem, samples, sample_rate)`` as .wav files below a folder that executors share; returns (stem, path). Each file is renamed
+def write_files(df: DataFrame, folder: str) -> DataFrame:
+    """Writes ``df(name, content)``, a relative path and bytes, below a folder that executors share (a URI); returns (name, path). Each file is renamed
     when whole, so a repeated task does no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(folder)
-        system.create_dir(base, recursive=True)
         for batch in batches:
             paths = []
-            for stem, samples, rate in zip(*(c.to_pylist() for c in batch.columns)):
-                path = f"{base}/{stem}.wav"
-                with system.open_output_stream(f"{path}.{os.getpid()}.part") as sink:
-                    sink.write(encode_wav(samples, rate))
-                system.move(f"{path}.{os.getpid()}.part", path)
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                path = f"{base}/{name}"
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(part) as sink:
+                    sink.write(content.as_py())
+                system.move(part, path)
                 paths.append(path)
-            yield pa.RecordBatch.from_pydict({"stem": batch.column(0), "path": pa.array(paths, pa.string())})
+            yield pa.RecordBatch.from_pydict({"name": batch.column(0), "path": pa.array(paths, pa.string())})
+
+    return df.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "name string, path string")
+
+
+def write_audio(df: DataFrame, folder: str) -> DataFrame:
+    """Writes ``df(stem, samples, sample_rate)`` as .wav files below a folder that executors share; returns (stem, path)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False)
+            audio = [encode_wav(values[a:b], rate) for a, b, rate in zip(ends[:-1], ends[1:], batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_pydict({"name": pa.array([f"{s}.wav" for s in batch.column(0).to_pylist()], pa.string()), "content": pa.array(audio, pa.binary())})
 
-    return df.select("stem", "samples", "sample_rate").mapInArrow(run, "stem string, path string")
+    encoded = df.select("stem", "samples", "sample_rate").mapInArrow(run, "name string, content binary")
+    return write_files(encoded, folder).select(F.regexp_replace("name", r"\.wav$", "").alias("stem"), "path")
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The object, or the objects of the list, that each file holds; anything else raises when it is read."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of metrics from CSV with a header; a header of other names, or a value of another kind, raises when it is read."""
+    return spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").option("mode", "FAILFAST").csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -108,8 +133,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_condition_log(spark: SparkSession, path: str) -> DataFrame:
     """(id, noise, snr_db) of lines of three fields. Other lines, repeated ids and an empty log raise."""
+    return _condition_log(spark.read.text(path))
+
+
+def _condition_log(lines: DataFrame) -> DataFrame:
     parts = F.split(F.trim("value"), r"\s+")
-    df = spark.read.text(path).filter(F.trim("value") != "").select(parts.alias("p"))
+    df = lines.filter(F.trim("value") != "").select(parts.alias("p"))
     _raise_if(df.filter(F.size("p") != 3), "a log line must have three fields")
     out = df.select(F.col("p")[0].alias("id"), F.col("p")[1].alias("noise"), F.col("p")[2].cast("double").alias("snr_db"))
     if out.isEmpty():
@@ -118,12 +147,10 @@ def read_condition_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_condition_log_zip(spark: SparkSession, archive: str, member: str) -> DataFrame:
-    """The same of an archive's member."""
-    with zipfile.ZipFile(archive) as z, tempfile.TemporaryDirectory() as folder:
-        path = Path(folder) / "log.txt"
-        path.write_bytes(z.read(member))
-        df = read_condition_log(spark, str(path))
-        return spark.createDataFrame(df.collect(), df.schema)
+    """The same of an archive's member, which is read on the driver as one file."""
+    with zipfile.ZipFile(archive) as z:
+        lines = z.read(member).decode("utf-8-sig").splitlines()
+    return _condition_log(spark.createDataFrame([(x,) for x in lines], "value string"))
 
 
 def pair_files(clean: DataFrame, noisy: DataFrame) -> DataFrame:
@@ -136,7 +163,7 @@ def pair_files(clean: DataFrame, noisy: DataFrame) -> DataFrame:
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(id, speaker_id, reference_raw) of all .txt files below a folder, without those that start with ._; byte order marks and outer white
     space go. The speaker is the file's folder."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     text = F.regexp_replace(F.regexp_replace("value", "^\\uFEFF", ""), r"^\s+|\s+$", "")

@@ -1,8 +1,10 @@
 """Stateful operators on chunked streams: the batch kernels, kept in the state store between micro-batches.
 
 A chunk is (stream, seq, values, last): values in order, ``last`` the stream's end marker, which flushes. Chunks may arrive in any
-order within and across micro-batches: those ahead of their turn wait in the state; a repeated seq raises. A stream's state is
-dropped after its end.
+order within and across micro-batches: those ahead of their turn wait in the state, at most ``WAITING`` of them; a repeated seq raises.
+A stream's state is removed at its end. Where ``idle`` is given, a stream that has been silent for so long is flushed and removed as if it had
+ended; such a query looks for silent streams without new data too, so it doesn't end by itself.
+The state is the pickled operator, whose size doesn't grow with the stream.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import kernels
 from ..functions.settings import Endpoints, Framing
 
+WAITING = 10_000
 CHUNK = "stream long, seq long, values array<double>, last boolean, ts timestamp"
 SAMPLES = "stream long, seq long, samples array<double>"
 SEGMENTS = "stream long, start_frame long, end_frame long, speech_frames long, total_frames long, reason string"
@@ -91,20 +94,25 @@ class Blocks:
 
 
 def _advance(held: dict, rows: list[tuple], stream) -> list[tuple]:
-    """Feeds the chunks whose turn it is; held: operator, next seq, waiting chunks and whether the stream has ended."""
+    """Feeds the chunks whose turn it is; held: operator, next seq, waiting chunks and whether the stream has ended. Chunks beyond the end raise."""
     out = []
     for seq, values, last in rows:
         if held["ended"] or seq < held["next"] or seq in held["waiting"]:
             raise ValueError(f"stream {stream}: chunk {seq} came twice or after the end")
         held["waiting"][seq] = (values, last)
+        if len(held["waiting"]) > WAITING:
+            raise ValueError(f"stream {stream}: too many chunks wait for chunk {held['next']}")
     while held["next"] in held["waiting"]:
         values, last = held["waiting"].pop(held["next"])
         if values is not None and len(values):
             out += held["operator"].push(held["next"], np.asarray(values, float))
         if last:
-            out += held["operator"].flush(held["next"])
+            out += held["operator"].flush(held["next"] + 1)
             held["ended"] = True
+            break
         held["next"] += 1
+    if held["ended"] and held["waiting"]:
+        raise ValueError(f"stream {stream}: chunks came after the end")
     return out
 
 
@@ -116,21 +124,31 @@ def _rows(pdf: pd.DataFrame) -> list[tuple]:
     return list(zip(pdf["seq"].tolist(), pdf["values"], pdf["last"].fillna(False).astype(bool)))
 
 
-def streamed(chunks: DataFrame, make: Callable, shape: str, columns: tuple[str, ...]) -> DataFrame:
-    """The operator that ``make`` builds, for each stream of a streaming table."""
+def streamed(chunks: DataFrame, make: Callable, shape: str, columns: tuple[str, ...], idle: int | None = None) -> DataFrame:
+    """The operator that ``make`` builds, for each stream of a streaming table; ``idle`` in milliseconds."""
+
+    def table(out: list[tuple], stream) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=list(columns)).assign(stream=stream)[["stream", *columns]]
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = cloudpickle.loads(bytes(state.get[0])) if state.exists else _fresh(make)
         out = []
-        for pdf in pdfs:
-            out += _advance(held, _rows(pdf), key[0])
-        if held["ended"] and not held["waiting"]:
-            held["operator"] = None
-        state.update((cloudpickle.dumps(held),))
+        if state.hasTimedOut:
+            out = held["operator"].flush(held["next"])
+            state.remove()
+        else:
+            for pdf in pdfs:
+                out += _advance(held, _rows(pdf), key[0])
+            if held["ended"]:
+                state.remove()
+            else:
+                state.update((cloudpickle.dumps(held),))
+                if idle:
+                    state.setTimeoutDuration(idle)
         if out:
-            yield pd.DataFrame(out, columns=list(columns)).assign(stream=key[0])[["stream", *columns]]
+            yield table(out, key[0])
 
-    return chunks.groupBy("stream").applyInPandasWithState(step, shape, "held binary", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream").applyInPandasWithState(step, shape, "held binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def batched(chunks: DataFrame, make: Callable, shape: str, columns: tuple[str, ...]) -> DataFrame:

@@ -11,12 +11,12 @@ from frameloom.sources import files
 from frameloom.streaming import chunks
 
 
-def test_native_alignment_equals_plain(spark):
+def test_alignment_equals_plain(spark):
     rng = random.Random(5)
     rows = [([rng.choice("abc") for _ in range(rng.randint(1, 8))], [rng.choice("abcd") for _ in range(rng.randint(0, 8))]) for _ in range(60)]
     df = spark.createDataFrame(rows, "r array<string>, h array<string>")
-    for row in df.select("r", "h", text.alignment("r", "h").alias("a"), text.align_long("r", "h").alias("b")).collect():
-        assert (row.a.s, row.a.d, row.a.n) == text.align_words(row.r, row.h) == (row.b.s, row.b.d, row.b.n)
+    for row in df.select("r", "h", text.alignment("r", "h").alias("a")).collect():
+        assert (row.a.s, row.a.d, row.a.n) == text.align_words(row.r, row.h) and row.a.c == sum(text.align_words(row.r, row.h))
 
 
 def test_corpus_rate_is_of_sums(spark):
@@ -55,10 +55,10 @@ def test_selective_rate_needs_all_rows(spark):
 
 
 def test_decision_falls_back_far_from_noisy(spark):
-    rows = [("u", "noisy", "at last a letter arrived", False, []), ("u", "neural", "bad", True, [("this is a club", False)])]
+    rows = [("u", "noisy", "the boats came home late", False, []), ("u", "neural", "bad", True, [("six green apples fell", False)])]
     df = spark.createDataFrame(rows, "id string, condition string, hypothesis string, anomalous boolean, retries array<struct<hypothesis:string,anomalous:boolean>>")
     got = {r.condition: (r.final_source, r.final_hypothesis) for r in scoring.decide(df, ["neural"]).collect()}
-    assert got == {"noisy": ("first_pass", "at last a letter arrived"), "neural": ("noisy_fallback", "at last a letter arrived")}
+    assert got == {"noisy": ("first_pass", "the boats came home late"), "neural": ("noisy_fallback", "the boats came home late")}
 
 
 def test_bootstrap_of_constant_difference(spark):

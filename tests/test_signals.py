@@ -6,7 +6,7 @@ from frameloom.functions.settings import Continuity, Correction, Endpoints, Ener
 from frameloom.functions.text import align_words
 
 
-@pytest.mark.parametrize("n", [1, 127, 128, 159, 161, 511, 512, 1003, 8001])
+@pytest.mark.parametrize("n", [1, 127, 128, 129, 384, 511, 512, 513, 2999])
 def test_perfect_reconstruction_and_chunks(n):
     x = np.random.default_rng(n).normal(size=n)
     assert np.allclose(K.synthesize(K.analyze(x), n), x)
@@ -76,8 +76,8 @@ def test_activity_continuity_and_mix():
 
 def test_alignment_goldens():
     assert align_words("a b c d e f".split(), "a x c y d e".split()) == (1, 1, 1)
-    assert align_words("please call stella".split(), []) == (0, 3, 0)
-    assert sum(align_words("this is a club".split(), "at last a letter arrived".split())) / 5 == 0.8
+    assert align_words("three quiet words".split(), []) == (0, 3, 0)
+    assert sum(align_words("six green apples fell".split(), "the boats came home late".split())) / 5 == 1.0
 
 
 def test_settings_reject():
