@@ -6,7 +6,8 @@ dequantized, inverse-transformed in numpy, upsampled and turned to RGB. It steps
 and the correction bits of end-of-band runs, as arrays.
 
 ``store_bytes`` keeps a payload losslessly in the AC coefficients of a 4:2:0 image with quantizers of 1, one byte in each: bit 7 is
-the sign and the others, with 128 added, the magnitude. So in a first scan all coefficients of a component have one size.
+the sign and the others, with 128 added, the magnitude. So in a first scan, which leaves out the lowest bit, all coefficients have one
+size and take one byte each, of a code and seven bits: the stored bytes still compress as the payload does.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ BLOCK = 63  # payload bytes
 # Markers of the format
 SOI, SOF2, DHT, SOS, EOI, DQT, DRI, COM, APP0 = 0xD8, 0xC2, 0xC4, 0xDA, 0xD9, 0xDB, 0xDD, 0xFE, 0xE0
 #: Component (0 all), first and last coefficient, bit depth before and after: the order in which the scans are written.
-SCANS = ((0, 0, 0, 0, 1), (1, 1, 5, 0, 2), (2, 1, 63, 0, 1), (3, 1, 63, 0, 1), (1, 6, 63, 0, 2), (1, 1, 63, 2, 1), (0, 0, 0, 1, 0), (2, 1, 63, 1, 0), (3, 1, 63, 1, 0), (1, 1, 63, 1, 0))
+SCANS = ((0, 0, 0, 0, 1), (1, 1, 5, 0, 1), (2, 1, 63, 0, 1), (3, 1, 63, 0, 1), (1, 6, 63, 0, 1), (0, 0, 0, 1, 0), (2, 1, 63, 1, 0), (3, 1, 63, 1, 0), (1, 1, 63, 1, 0))
 
 
 @lru_cache(maxsize=1)
@@ -75,7 +76,7 @@ def _bands(size: int) -> dict[int, int]:
 
 
 _DC_BODY, _DC = huffman_table({0: 1} | {n: 5 for n in range(1, 12)})
-_AC_BODY, _AC = zip(*(huffman_table(_bands(size)) for size in (6, 7)))
+_AC_BODY, _AC = huffman_table(_bands(7))
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -108,10 +109,11 @@ def _bit_list(value: int, n: int) -> list[int]:
 
 
 def store_bytes(payload: bytes) -> bytes:
-    """A progressive JPEG that holds ``payload``, with its length in a comment."""
+    """A progressive JPEG that holds ``payload``, with its length in a comment. Its sides are the most equal ones that leave at most a 64th unused."""
     mcus = max(1, -(-len(payload) // (6 * BLOCK)))
-    wide = min(int(np.ceil(np.sqrt(mcus))), 4095)
-    high = -(-mcus // wide)
+    high = next(h for h in range(int(np.sqrt(mcus)), 0, -1) if (h * -(-mcus // h) - mcus) * 64 <= mcus)
+    high = max(high, -(-mcus // 4095))
+    wide = -(-mcus // high)
     mcus = wide * high
     data = np.zeros(mcus * 6 * BLOCK, np.uint8)
     data[: len(payload)] = np.frombuffer(payload, np.uint8)
@@ -120,10 +122,10 @@ def store_bytes(payload: bytes) -> bytes:
     negative, magnitude = [p >> 7 for p in planes], [p & 127 | 128 for p in planes]
     out = [b"\xff\xd8", _segment(APP0, b"JFIF\0\1\2\0\0\1\0\1\0\0"), _segment(COM, b"payload %d" % len(payload)), _segment(DQT, b"\0" + b"\1" * 64)]
     out.append(_segment(SOF2, struct.pack(">BHHB", 8, high * 16, wide * 16, 3) + b"\1\x22\0\2\x11\0\3\x11\0"))
-    out.append(_segment(DHT, b"\0" + _DC_BODY + b"".join(bytes([0x10 + i]) + b for i, b in enumerate(_AC_BODY))))
+    out.append(_segment(DHT, b"\0" + _DC_BODY + b"\x10" + _AC_BODY))
     for component, first, last, high_bit, low in SCANS:
-        parts = [(1, 0), (2, 1), (3, 1)] if component == 0 else [(component, int(component > 1))]
-        out.append(_segment(SOS, bytes([len(parts)]) + b"".join(bytes([c, t]) for c, t in parts) + bytes([first, last, high_bit << 4 | low])))
+        parts = [1, 2, 3] if component == 0 else [component]
+        out.append(_segment(SOS, bytes([len(parts)]) + b"".join(bytes([c, 0]) for c in parts) + bytes([first, last, high_bit << 4 | low])))
         if component == 0:
             bits = np.zeros(6 * mcus, np.uint8)  # differences of 0, or refining bits of 0
         elif high_bit == 0:
@@ -133,7 +135,7 @@ def store_bytes(payload: bytes) -> bytes:
             bit = magnitude[component - 1] >> low & 1
             pieces, done = [], 0
             for n, k in _eob_runs(len(bit)):
-                code, length = _AC[int(component > 1)][k << 4]
+                code, length = _AC[k << 4]
                 pieces += [np.array(_bit_list(code, length) + _bit_list(n - (1 << k), k), np.uint8), bit[done : done + n].ravel()]
                 done += n
             bits = np.concatenate(pieces)
@@ -555,4 +557,4 @@ def unpack(media: DataFrame) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The media column is written to the shared folder; all that follows comes from the stored bytes."""
-    return unpack(store.materialize(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))
+    return unpack(store.materialize(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media", "zstd"))
