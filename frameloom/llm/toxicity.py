@@ -7,8 +7,9 @@ Learning, from a bounded sample of labelled rows (``TOXIC_ROWS`` and ``CLEAN_ROW
 2. Token labels are learned from the documents' (a toxic one has at least one toxic token, a clean one has none). At first, words of toxic
    documents with a lexicon feature that clean documents hardly have are toxic. After each fit, those are that the model then finds
    toxic, and in a toxic document without any its likeliest lexicon word; ``ROUNDS`` times.
-3. Feature weights and transitions are fitted by the gradient of the likelihood to windows of ``WINDOW`` tokens, from anywhere in the text: all
-   that hold a lexicon word, and of each document one that its length picks.
+3. Feature weights and transitions are fitted by the gradient of the likelihood to windows of ``WINDOW`` tokens, from anywhere in the text: of each
+   document those that hold a word labelled toxic at first, ``WINDOWS`` of the others with a lexicon word, drawn by hash and weighted so
+   that they stand for all of these, and one that its length picks. Windows without lexicon words are alike, so they are counted.
 
 Scoring runs over whole texts. Words without lexicon features all have the same potentials, so a run of them is one power of a
 2 x 2 matrix, and forward-backward steps only from one lexicon word to the next; the marginals are those of the full chain.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import store
@@ -31,7 +33,8 @@ TOXIC_ROWS, CLEAN_ROWS = 3000, 5000
 RATIO = 24.0
 LIKELY, SURE = 0.95, 0.99
 WINDOW = 32
-STEPS, AGAIN, RATE, DECAY = 150, 40, 0.15, 1e-4
+WINDOWS = 6
+STEPS, AGAIN, RATE, DECAY, CLOSE = 150, 40, 0.15, 1e-4, 2e-5
 ROUNDS = 2
 AFFIXES = (3, 4, 5, 6)
 CACHE = 1 << 19
@@ -82,7 +85,7 @@ def _windows(lexicon: np.ndarray, sure: np.ndarray):
         before = TaskContext.get().partitionId() << 32
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            places, numbers, labelled, sizes, owners = [], [], [], [], []
+            places, numbers, labelled, sizes, owners, weights = [], [], [], [], [], []
             for lo, hi, data, offsets in text_chunks(batch.column(0), 1 << 19):
                 starts, ends, first = word_spans(data, offsets)
                 f = features(data, starts, ends)
@@ -93,9 +96,15 @@ def _windows(lexicon: np.ndarray, sure: np.ndarray):
                     i, j = first[d - lo], first[d - lo + 1]
                     if i == j:
                         continue
-                    held = {*(np.flatnonzero(known[i:j].any(axis=1)) // WINDOW).tolist()}
-                    held.add(int(mix(np.array([offsets[d - lo + 1] - offsets[d - lo]], np.uint64))[0]) % -(-int(j - i) // WINDOW))
-                    for w in sorted(held):
+                    held = np.unique(np.flatnonzero(known[i:j].any(axis=1)) // WINDOW)
+                    sure_ones = np.unique(np.flatnonzero(marked[i:j]) // WINDOW) if toxic[d] else held[:0]
+                    rest = np.setdiff1d(held, sure_ones)
+                    length = offsets[d - lo + 1] - offsets[d - lo]
+                    drawn = rest[np.argsort(mix(rest.astype(np.uint64) + np.uint64(length)), kind="stable")[:WINDOWS]]
+                    one = int(mix(np.array([length], np.uint64))[0]) % -(-int(j - i) // WINDOW)
+                    picked = dict.fromkeys(drawn.tolist(), len(rest) / max(len(drawn), 1)) | dict.fromkeys(sure_ones.tolist(), 1.0)
+                    picked.setdefault(one, 1.0)
+                    for w, weight in sorted(picked.items()):
                         at = slice(i + w * WINDOW, min(i + (w + 1) * WINDOW, j))
                         p, k = np.nonzero(known[at])
                         places.append(p.tolist())
@@ -103,8 +112,9 @@ def _windows(lexicon: np.ndarray, sure: np.ndarray):
                         labelled.append(np.flatnonzero(marked[at]).tolist() if toxic[d] else [])
                         sizes.append(at.stop - at.start)
                         owners.append(before + d)
-            marks = [pa.array(owners, pa.int64()), pa.array([bool(toxic[o - before]) for o in owners], pa.bool_()), pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*marks, *(pa.array(x, pa.list_(pa.int32())) for x in (places, numbers, labelled))], ["doc", "toxic", "size", "places", "numbers", "labelled"])
+                        weights.append(weight)
+            marks = [pa.array(owners, pa.int64()), pa.array([bool(toxic[o - before]) for o in owners], pa.bool_()), pa.array(sizes, pa.int32()), pa.array(weights, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*marks, *(pa.array(x, pa.list_(pa.int32())) for x in (places, numbers, labelled))], ["doc", "toxic", "size", "weight", "places", "numbers", "labelled"])
             before += batch.num_rows
 
     return run
@@ -118,8 +128,12 @@ def _spread(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(windows: pa.Table, n_features: int) -> tuple[np.ndarray, float, np.ndarray]:
     """(weights, bias, transitions): Adam on the mean log-likelihood of the windows' labels, which are learned anew ROUNDS times."""
-    n = windows.num_rows
-    size = windows.column("size").to_numpy()
+    bare = pc.equal(pc.list_value_length(windows.column("places")), 0)
+    counted = windows.filter(bare).group_by("size").aggregate([("weight", "sum")]).sort_by("size")
+    windows = windows.filter(pc.invert(bare))
+    n = windows.num_rows + counted.num_rows
+    size = np.concatenate([windows.column("size").to_numpy(), counted.column("size").to_numpy()])
+    weight = np.concatenate([windows.column("weight").to_numpy(), counted.column("weight_sum").to_numpy()])
     row, place = _spread(windows.column("places"))
     _, number = _spread(windows.column("numbers"))
     y_row, y_place = _spread(windows.column("labelled"))
@@ -129,7 +143,7 @@ def fit(windows: pa.Table, n_features: int) -> tuple[np.ndarray, float, np.ndarr
     cell = row * WINDOW + place
     theta = np.zeros(n_features + 5)
     theta[n_features] = -2.0
-    theta = _climb(theta, y, live, cell, number, STEPS)
+    theta = _climb(theta, y, live, weight, cell, number, STEPS)
     # lexicon words of toxic documents, with their documents' numbers
     cells = np.unique(cell)
     cells = cells[windows.column("toxic").to_numpy(zero_copy_only=False).astype(bool)[cells // WINDOW]]
@@ -142,7 +156,7 @@ def fit(windows: pa.Table, n_features: int) -> tuple[np.ndarray, float, np.ndarr
         toxic[first] = True
         y = np.zeros(n * WINDOW, np.int64)
         y[cells[toxic]] = 1
-        theta = _climb(theta, y.reshape(n, WINDOW), live, cell, number, AGAIN)
+        theta = _climb(theta, y.reshape(n, WINDOW), live, weight, cell, number, AGAIN)
     return theta[:n_features], float(theta[n_features]), theta[n_features + 1 :].reshape(2, 2)
 
 
@@ -153,25 +167,28 @@ def _emissions(theta: np.ndarray, live: np.ndarray, cell: np.ndarray, number: np
     return e
 
 
-def _climb(theta: np.ndarray, y: np.ndarray, live: np.ndarray, cell: np.ndarray, number: np.ndarray, steps: int) -> np.ndarray:
-    """``steps`` of Adam from ``theta``: weights of features, bias, transitions."""
-    n, n_features, step = len(y), len(theta) - 5, live[:, 1:]
-    seen = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j) & step).sum() for j in (0, 1)] for i in (0, 1)])
+def _climb(theta: np.ndarray, y: np.ndarray, live: np.ndarray, weight: np.ndarray, cell: np.ndarray, number: np.ndarray, steps: int) -> np.ndarray:
+    """At most ``steps`` of Adam from ``theta`` (weights of features, bias, transitions), until the gradient is CLOSE to 0."""
+    total, n_features, step = weight.sum(), len(theta) - 5, live[:, 1:]
+    seen = np.array([[(((y[:, :-1] == i) & (y[:, 1:] == j) & step).sum(axis=1) * weight).sum() for j in (0, 1)] for i in (0, 1)])
     theta = theta.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        p, pairs = _posteriors(_emissions(theta, live, cell, number), live, theta[n_features + 1 :].reshape(2, 2))
-        miss = np.where(live, y - p, 0.0)
-        g = np.concatenate([np.bincount(number, miss.ravel()[cell], n_features), [miss.sum()], (seen - pairs).ravel()]) / n
+        p, pairs = _posteriors(_emissions(theta, live, cell, number), live, theta[n_features + 1 :].reshape(2, 2), weight)
+        miss = np.where(live, y - p, 0.0) * weight[:, None]
+        g = np.concatenate([np.bincount(number, miss.ravel()[cell], n_features), [miss.sum()], (seen - pairs).ravel()]) / total
         g -= DECAY * theta
+        if np.abs(g).max() < CLOSE:
+            break
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     return theta
 
 
-def _posteriors(e: np.ndarray, live: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _posteriors(e: np.ndarray, live: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of label 1 in equally long sequences, and expected transition counts, by scaled forward-backward."""
     n, length = e.shape
+    weight = np.ones(n) if weight is None else weight
     a = np.exp(trans - trans.max())
     x = np.exp(np.clip(e, -30, 30))
     forward, backward = np.empty((length, n, 2)), np.empty((length, n, 2))
@@ -188,7 +205,7 @@ def _posteriors(e: np.ndarray, live: np.ndarray, trans: np.ndarray) -> tuple[np.
         b = backward[t + 1] * np.stack([np.ones(n), x[:, t + 1]], 1)
         both = forward[t][:, :, None] * a * b[:, None, :]
         on = live[:, t + 1]
-        pairs += (both[on] / both[on].sum((1, 2), keepdims=True)).sum(0)
+        pairs += (both[on] * (weight[on, None, None] / both[on].sum((1, 2), keepdims=True))).sum(0)
         b = np.where(on[:, None], b @ a.T, backward[t + 1])
         backward[t] = b / b.sum(1, keepdims=True)
     both = forward * backward
@@ -235,7 +252,7 @@ def train(documents: DataFrame, labels: DataFrame) -> dict:
     lexicon = found.column("feature").to_numpy().view(np.uint64)
     i = np.argsort(lexicon)
     lexicon, sure = lexicon[i], found.column("sure").to_numpy()[i] >= SURE
-    windows = rows.mapInArrow(_windows(lexicon, sure), "doc long, toxic boolean, size int, places array<int>, numbers array<int>, labelled array<int>").toArrow()
+    windows = rows.mapInArrow(_windows(lexicon, sure), "doc long, toxic boolean, size int, weight double, places array<int>, numbers array<int>, labelled array<int>").toArrow()
     windows = windows.sort_by([("size", "ascending"), ("doc", "ascending")])
     weights, bias, trans = fit(windows, len(lexicon))
     model = {"lexicon": lexicon, "weights": weights, "bias": bias, "trans": trans, "curve": None}
