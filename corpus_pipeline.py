@@ -1,6 +1,10 @@
 """Documents to training tokens, in five stages: quality classifier, toxicity, near-duplicates, mixing, byte-level BPE.
 
-Each stage takes what its predecessor kept, as a table in the shared folder.
+Each stage takes what its predecessor kept, as a table in the shared folder. All but the last return the columns of documents, whatever
+others there are beside doc_id, text, lang and source; the last returns doc_id and what its encoding holds, and no lang or source.
+
+Texts that are null or empty go in the first stage. A row without doc_id has no label, passes the near-duplicate stage as it is, and is drawn by its
+text's hash in the mix. Repeated rows of a document that is kept all stay, and are taken equally often. Empty tables give empty ones.
 """
 
 from __future__ import annotations
