@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jpeg, minhash, mixing, oracles, quality, rules, tokenfile, toxicity, urls, warc
+from . import bpe, jpeg, minhash, mixing, oracles, quality, rules, tokenfile, toxicity, urls, variants, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -15,6 +15,12 @@ QUERIES = {
     "op6_toxicity": toxicity.op6,
     "op9_url_filters": urls.op9,
     "op10_progressive_jpeg": jpeg.op10,
+    "op11_spelling_variants": variants.op11,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": warc.OP1_SQL, "op2_minhash_near_dedup": oracles.OP2_SQL, "op3_quality_rules": rules.OP3_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.OP1_SQL,
+    "op2_minhash_near_dedup": oracles.OP2_SQL,
+    "op3_quality_rules": rules.OP3_SQL,
+    "op11_spelling_variants": variants.OP11_SQL,
+}
