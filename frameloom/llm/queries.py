@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jpeg, lexical, minhash, mixing, oracles, quality, rules, tokenfile, toxicity, urls, variants, warc
+from . import bpe, jpeg, lexical, minhash, mixing, oracles, quality, repeats, rules, tokenfile, toxicity, urls, variants, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filters": urls.op9,
     "op10_progressive_jpeg": jpeg.op10,
     "op11_spelling_variants": variants.op11,
+    "op12_suffix_array_dedup": repeats.op12,
     "op13_lexical_search": lexical.op13,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": oracles.OP2_SQL,
     "op3_quality_rules": rules.OP3_SQL,
     "op11_spelling_variants": variants.OP11_SQL,
+    "op12_suffix_array_dedup": repeats.OP12_SQL,
     "op13_lexical_search": lexical.OP13_SQL,
 }
