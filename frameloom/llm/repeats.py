@@ -316,7 +316,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every window by its bytes' hash, spans by islands, and what is left between them.
 OP12_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
-w AS (SELECT r, i, md5_number(substr(h, (2 * i + 1)::INT, 800)) AS k FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+parts AS (SELECT r, p, substr(h, (2 * p + 1)::INT, 1798) AS h, least(n - 399 - p, 500) AS m FROM (SELECT r, h, n, unnest(range(0, n - 399, 500)) AS p FROM d WHERE n >= 400)),
+w AS (SELECT r, p + i AS i, md5_number(substr(h, (2 * i + 1)::INT, 800)) AS k FROM (SELECT r, p, h, unnest(range(0, m)) AS i FROM parts)),
 again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
 hit AS (SELECT r, i FROM w SEMI JOIN again USING (k)),
 marked AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400, true)::INT AS b FROM hit),
