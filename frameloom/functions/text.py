@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from . import spoken
+
 SMALL = 4096  # cells up to which a plain loop is faster
 
 
@@ -148,21 +150,29 @@ def english_rules() -> list[tuple[str, str]]:
     return rules
 
 
-def normalized_english(c: Column | str) -> Column:
-    """Text as it is compared in error rates: lower case, without bracketed remarks, fillers and punctuation, contractions and titles written
-    out, thousands' commas dropped, single spaces. Rules of this library's own; spelled numbers and regional spellings stay as they are."""
-    out = F.lower(c)
+def _normalized(d: spoken.Dialect, c: str, numbers: bool, regional: bool) -> str:
+    out = f"lower({c})"
     for pattern, replacement in english_rules():
-        out = F.regexp_replace(out, pattern, replacement)
-    return F.btrim(F.regexp_replace(out, r"\s+", " "))
+        out = d.replace(out, pattern, replacement.replace("$", "\\"))
+    out = d.replace(out, r"\s+", " ")
+    if numbers:
+        out = spoken.numbers(d, out)
+    if regional:
+        out = spoken.spellings(d, out)
+    return f"trim({d.replace(out, ' +', ' ')})"
+
+
+def normalized_english(c: str, numbers: bool = True, regional: bool = True) -> Column:
+    """The column named ``c`` as it is compared in error rates: lower case, without bracketed remarks, fillers and punctuation, contractions and titles written out, thousands'
+    commas dropped, spelled numbers in digits, one regional spelling (see ``functions.spoken``), single spaces. Null stays null; no Python runs.
+
+    The steps and their order are those of the published Whisper normalizer for English, as error rates of that model are given on texts so normalized; its tables of
+    fillers, contractions and titles overlap with these. The transducer of numbers and the spelling rules are this library's own, and differ from it in rare phrases."""
+    return F.expr(_normalized(spoken.SPARK, f"`{c}`", numbers, regional))
 
 
 def normalized_english_sql(c: str) -> str:
-    out = f"lower({c})"
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    for pattern, replacement in english_rules():
-        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(replacement.replace('$', chr(92)))}, 'g')"
-    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+    return _normalized(spoken.DUCKDB, c, True, True)
 
 
 def token_count(c: Column | str, path: str) -> Column:

@@ -178,14 +178,20 @@ _SMALL = "abcdefghijklmnopqrstuvwxyz"
 
 
 def _spoken(spark, sf_dir) -> DataFrame:
-    """Transcripts as people write them: contractions, titles, remarks, thousands' commas and capitals, differently on both sides."""
-    reference = F.concat(F.lit("Mr. Hill: \u201cIt's "), F.col("reference"), F.lit("\u201d, (laughs) won't cost 12,500 [noise]"))
-    hypothesis = F.concat(F.lit("mister Hill it is "), F.translate("hypothesis", _SMALL, _SMALL.upper()), F.when(F.col("id") % 2 == 0, " will not cost 12500.").otherwise(" uh, won't cost 1,250"))
+    """Transcripts as people write them: contractions, titles, remarks, thousands' commas, capitals, spelled numbers and regional spellings, differently on both sides."""
+    spoken_id = F.expr(f"array({', '.join(map(repr, _COUNTED))})[cast(id % {len(_COUNTED)} as int)]")
+    reference = F.concat(F.lit("Mr. Hill: \u201cIt's "), F.col("reference"), F.lit("\u201d, (laughs) won't cost 12,500 [noise] in colour, "), spoken_id)
+    hypothesis = F.concat(F.lit("mister Hill it is "), F.translate("hypothesis", _SMALL, _SMALL.upper()), F.when(F.col("id") % 2 == 0, " will not cost 12500.").otherwise(" uh, won't cost 1,250"), F.lit(" in color "), F.col("id"), F.lit(" the 21st organized"))
     return transcripts(spark, sf_dir).withColumns({"reference": reference, "hypothesis": hypothesis})
 
 
-_R = text.normalized_english_sql("'Mr. Hill: \u201cIt''s ' || array_to_string(r, ' ') || '\u201d, (laughs) won''t cost 12,500 [noise]'")
-_H = text.normalized_english_sql(f"'mister Hill it is ' || translate(array_to_string(h, ' '), '{_SMALL}', '{_SMALL.upper()}') || CASE WHEN id % 2 = 0 THEN ' will not cost 12500.' ELSE ' uh, won''t cost 1,250' END")
+#: spelled numbers, by id
+_COUNTED = ("twenty-one thousand five hundred and six dollars", "the forty-third, organised", "three point one four million", "nineteen eighty four", "five dollars and seven cents", "a hundred percent", "one two three")
+_ONE_OF = f"[{', '.join(map(repr, _COUNTED))}][(id % {len(_COUNTED)})::INT + 1]"
+
+
+_R = text.normalized_english_sql(f"'Mr. Hill: \u201cIt''s ' || array_to_string(r, ' ') || '\u201d, (laughs) won''t cost 12,500 [noise] in colour, ' || {_ONE_OF}")
+_H = text.normalized_english_sql(f"'mister Hill it is ' || translate(array_to_string(h, ' '), '{_SMALL}', '{_SMALL.upper()}') || CASE WHEN id % 2 = 0 THEN ' will not cost 12500.' ELSE ' uh, won''t cost 1,250' END || ' in color ' || id || ' the 21st organized'")
 
 
 @query(f"WITH {TRANSCRIPTS} SELECT id, condition, {_R} AS reference, {_H} AS hypothesis FROM trans")
