@@ -1,8 +1,8 @@
 """Streams as ordered samples: frames, windows, recurrences, segments and activity in DataFrame operations, spectral kernels by Arrow batches.
 
-A long stream table has (stream, n, value), n from 0 without gaps; an array table has (stream, samples). Operators on
-(stream, n) keep a stream's order by windows partitioned by stream: a very long stream is one task there, as each recurrence is.
-Framing itself has no such limit: samples are dealt by frame.
+A long stream table has (stream, n, value), n from 0 without gaps; an array table has (stream, samples). Trailing windows and
+first-order recurrences run on blocks of a stream (``scans``), framing on frames. Runs of labels keep a stream's order by windows partitioned by
+stream: a very long stream is one task there, as each other ``recurrence`` is.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import kernels
 from ..functions.settings import Framing
+from . import scans
 
 TINY = 2.2250738585072014e-308
 
@@ -50,9 +51,9 @@ def repeated_windows(df: DataFrame, length: int, hop: int) -> DataFrame:
 
 
 def trailing(df: DataFrame, value: str, size: int, quantile: float | None = None) -> DataFrame:
-    """``df`` with trailing: the minimum, or an exact quantile, of the last ``size`` rows."""
-    w = Window.partitionBy("stream").orderBy("n").rowsBetween(1 - size, 0)
-    return df.withColumn("trailing", F.round((F.min(value) if quantile is None else F.percentile(value, quantile)).over(w), 6))
+    """``df`` with trailing: the minimum, or an exact quantile, of the last ``size`` rows. Blocks of a stream are windows of their own."""
+    found = scans.trailing(df, value, size, F.min if quantile is None else lambda c: F.percentile(c, quantile))
+    return found.withColumn("trailing", F.round("trailing", 6))
 
 
 def recurrence(df: DataFrame, value: str, step: Callable[[list[float]], list[float]], name: str) -> DataFrame:
@@ -67,29 +68,16 @@ def recurrence(df: DataFrame, value: str, step: Callable[[list[float]], list[flo
     return df.select("stream", "n", F.col(value).cast("double").alias(value)).groupBy("stream").applyInArrow(run, kind)
 
 
-def ema(df: DataFrame, value: str, keep: float) -> DataFrame:
-    """keep * before + (1 - keep) * now, from the first value."""
-
-    def step(values: list[float]) -> list[float]:
-        out, s = [], values[0]
-        for x in values:
-            s = keep * s + (1 - keep) * x
-            out.append(s)
-        return out
-
-    return recurrence(df, value, step, "ema")
+def ema(df: DataFrame, value: str, keep: float | Column) -> DataFrame:
+    """(stream, n, ema): keep * before + (1 - keep) * now, from the first value; ``keep`` may be a column, as where it depends on a probability. A
+    stream is run in blocks, on many tasks."""
+    keep = keep if isinstance(keep, Column) else F.lit(float(keep))
+    return scans.scan(df.select("stream", "n", F.col(value).alias("value"), keep.alias("keep")), scans.Average, "ema")
 
 
 def asymmetric_ema(df: DataFrame, value: str, rising: float, falling: float, start: float) -> DataFrame:
-    def step(values: list[float]) -> list[float]:
-        out, s = [], start
-        for x in values:
-            a = rising if x > s else falling
-            s = a * s + (1 - a) * x
-            out.append(s)
-        return out
-
-    return recurrence(df, value, step, "floor")
+    """(stream, n, floor): the same with another coefficient for values above the state than for others, from ``start``."""
+    return scans.scan(df.select("stream", "n", F.col(value).alias("value")), scans.TwoRates(rising, falling, start), "floor")
 
 
 def islands(df: DataFrame, label: str) -> DataFrame:
