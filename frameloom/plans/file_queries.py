@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import zipfile
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -14,7 +12,7 @@ from ..functions import kernels
 from ..functions.settings import Framing
 from ..operators import signals, statistics
 from ..shared import scratch
-from ..sources import files
+from ..sources import archives, files
 from ..streaming import chunks
 from .derived import PAIRS, SCORES, SIGNAL, pairs, scores, signal, table, vectors
 from .queries import _LIST, _SUMMARY, ORACLE_SQL, QUERIES, _weighted, query
@@ -71,15 +69,14 @@ def condition_log(spark, sf_dir):
     return files.read_condition_log(spark, folder)
 
 
-@query("SELECT 'd' || doc_id AS id, coalesce(lang, 'none') AS noise, (doc_id % 4) * 5.0::DOUBLE AS snr_db FROM documents ORDER BY doc_id LIMIT 100")
+@query("SELECT 'd' || doc_id AS id, coalesce(lang, 'none') AS noise, (doc_id % 4) * 5.0::DOUBLE AS snr_db FROM documents")
 def condition_log_archive(spark, sf_dir):
-    """A log inside an archive: a driver's file, so the first hundred lines only."""
-    rows = table(spark, sf_dir, "documents").orderBy("doc_id").limit(100).select("doc_id", F.coalesce("lang", F.lit("none"))).collect()
-    folder = _local(scratch(spark, "log"))
-    folder.mkdir(parents=True)
-    with zipfile.ZipFile(folder / "logs.zip", "w") as z:
-        z.writestr("logs/log.txt", "".join(f"d{i} {x} {i % 4 * 5.0}\n" for i, x in rows))
-    return files.read_condition_log_zip(spark, str(folder / "logs.zip"), "logs/log.txt")
+    """The log as members of some hundred lines in archives, written and read by tasks."""
+    line = F.concat(F.lit("d"), "doc_id", F.lit(" "), F.coalesce("lang", F.lit("none")), F.lit(" "), ((F.col("doc_id") % 4) * 5.0).cast("string"))
+    lines = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 256).alias("k"), line.alias("line"))
+    members = lines.groupBy("k").agg(F.concat(F.lit("\ufeff"), F.array_join(F.collect_list("line"), "\r\n")).alias("content"))
+    written = archives.write_archives(members.select(F.format_string("logs/%d.txt", "k").alias("name"), "content"), scratch(spark, "log"))
+    return files.read_condition_log_zip(spark, [r.path for r in written.collect()], "logs/*.txt")
 
 
 _TREE = """m AS (SELECT item_id, 'i' || item_id AS id, 's' || (item_id % 5 + (item_id % 17 = 0)::INT) AS speaker_id, CASE WHEN item_id % 13 = 0 THEN '' ELSE trim(text) END AS t FROM benchmark),
@@ -130,23 +127,39 @@ def _local(uri: str) -> Path:
     return Path(at.path)
 
 
-@query(f"WITH {_VECTORS} SELECT 's' || (stream % 5) || '_' || stream AS stem, round({_LIST('samples')}, 6) AS weighted FROM vectors ORDER BY stream LIMIT 50")
+def _in_ranges(spark, written: DataFrame, n: int, beyond: bytes) -> list:
+    """Each archive of ``written(path, size)`` copied by tasks to ``n`` files, each with ``beyond`` after its range; the ranges of each archive."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, at = fs.FileSystem.from_uri(path)
+                names, sizes = [], []
+                with system.open_input_file(at) as source:
+                    for k in range(n):
+                        take = size * (k + 1) // n - size * k // n
+                        with system.open_output_stream(f"{at}.{k}") as sink:
+                            sink.write(source.read(take) + beyond)
+                        names.append(f"{path}.{k}")
+                        sizes.append(take)
+                yield pa.RecordBatch.from_arrays([pa.array([names]), pa.array([sizes], pa.list_(pa.int64())), pa.array([size], pa.int64())], ["names", "sizes", "size"])
+
+    cut = written.select("path", "size").mapInArrow(run, "names array<string>, sizes array<long>, size long")
+    return [archives.checked_ranges(list(zip(r.names, r.sizes)), r.size) for r in cut.collect()]
+
+
+@query(f"WITH {_VECTORS} SELECT 's' || (stream % 5) || '_' || stream AS stem, round({_LIST('samples')}, 6) AS weighted FROM vectors")
 def archived_audio(spark, sf_dir):
-    """Fifty files packed on the driver, the archive cut into ranges, joined again, unpacked safely, and read."""
-    rows = _audio(vectors(spark, sf_dir).orderBy("stream").limit(50)).collect()
-    folder = _local(scratch(spark, "archive"))
-    folder.mkdir(parents=True)
-    with zipfile.ZipFile(folder / "whole.zip", "w") as z:
-        for r in rows:
-            z.writestr(f"clips/{r.stem}.wav", files.encode_wav(r.samples, r.sample_rate))
-    data = (folder / "whole.zip").read_bytes()
-    size = -(-len(data) // 3)
-    parts = [data[i : i + size] for i in range(0, len(data), size)]
-    for i, part in enumerate(parts):
-        (folder / f"{i}.part").write_bytes(part + b"beyond the range")
-    files.assemble([(str(folder / f"{i}.part"), len(part)) for i, part in enumerate(parts)], str(folder / "again.zip"), len(data))
-    files.extract_audio(str(folder / "again.zip"), str(folder / "clips"))
-    return files.read_audio(spark, (folder / "clips").as_uri()).select("stem", _weighted("samples").alias("weighted"))
+    """Audio packed into archives by tasks, each archive cut into ranges of longer files, unpacked from these ranges by tasks, and read."""
+    packed = files.encoded_audio(_audio(vectors(spark, sf_dir))).withColumn("name", F.concat(F.lit("clips/"), "name"))
+    written = archives.write_archives(packed, scratch(spark, "archive"))
+    # written once: the paths are those of the archives that the first pass makes
+    written = spark.createDataFrame(written.collect(), written.schema)
+    folder = scratch(spark, "clips")
+    files.extract_audio(spark, _in_ranges(spark, written, 3, b"beyond the range"), folder)
+    return files.read_audio(spark, folder).select("stem", _weighted("samples").alias("weighted"))
 
 
 # Streams --------------------------------------------------------------------------------------------------------------

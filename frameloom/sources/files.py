@@ -6,19 +6,18 @@ import csv
 import io
 import json
 import os
-import shutil
-import stat
 import struct
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import archives
 from ..operators.contracts import ContractError, _raise_if, unique
 
 MANIFEST = "id string, speaker_id string, clean string, noisy string, sample_rate int, num_samples long, split string, source_partition string, noise string, snr_db double"
@@ -69,13 +68,16 @@ def audio_files(spark: SparkSession, path: str) -> DataFrame:
 def read_audio(spark: SparkSession, path: str) -> DataFrame:
     """(stem, samples, sample_rate, sha256), decoded where the files are read."""
 
+    return _decoded(audio_files(spark, path).select("stem", "content", F.sha2("content", 256).alias("sha256")))
+
+
+def _decoded(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 samples, rate = decode_wav(batch.column(1)[i].as_py())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([samples], pa.list_(pa.float32())), pa.array([rate], pa.int32()), batch.column(2).slice(i, 1)], ["stem", "samples", "sample_rate", "sha256"])
 
-    files = audio_files(spark, path).select("stem", "content", F.sha2("content", 256).alias("sha256"))
     return files.mapInArrow(run, "stem string, samples array<float>, sample_rate int, sha256 string")
 
 
@@ -102,8 +104,8 @@ def write_files(df: DataFrame, folder: str) -> DataFrame:
     return df.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "name string, path string")
 
 
-def write_audio(df: DataFrame, folder: str) -> DataFrame:
-    """Writes ``df(stem, samples, sample_rate)`` as .wav files below a folder that executors share; returns (stem, path)."""
+def encoded_audio(df: DataFrame) -> DataFrame:
+    """``df(stem, samples, sample_rate)`` as (name, content) of .wav files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +113,12 @@ def write_audio(df: DataFrame, folder: str) -> DataFrame:
             audio = [encode_wav(values[a:b], rate) for a, b, rate in zip(ends[:-1], ends[1:], batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_pydict({"name": pa.array([f"{s}.wav" for s in batch.column(0).to_pylist()], pa.string()), "content": pa.array(audio, pa.binary())})
 
-    encoded = df.select("stem", "samples", "sample_rate").mapInArrow(run, "name string, content binary")
-    return write_files(encoded, folder).select(F.regexp_replace("name", r"\.wav$", "").alias("stem"), "path")
+    return df.select("stem", "samples", "sample_rate").mapInArrow(run, "name string, content binary")
+
+
+def write_audio(df: DataFrame, folder: str) -> DataFrame:
+    """Writes ``df(stem, samples, sample_rate)`` as .wav files below a folder that executors share; returns (stem, path)."""
+    return write_files(encoded_audio(df), folder).select(F.regexp_replace("name", r"\.wav$", "").alias("stem"), "path")
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -146,11 +152,10 @@ def _condition_log(lines: DataFrame) -> DataFrame:
     return unique(out, ["id"])
 
 
-def read_condition_log_zip(spark: SparkSession, archive: str, member: str) -> DataFrame:
-    """The same of an archive's member, which is read on the driver as one file."""
-    with zipfile.ZipFile(archive) as z:
-        lines = z.read(member).decode("utf-8-sig").splitlines()
-    return _condition_log(spark.createDataFrame([(x,) for x in lines], "value string"))
+def read_condition_log_zip(spark: SparkSession, members: list, glob: str) -> DataFrame:
+    """The same of the members of archives whose names fit ``glob``; each is unpacked by a task, and a mark at its start goes. No such member is an empty log."""
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\\uFEFF", "")
+    return _condition_log(archives.read_members(spark, members, glob).select(F.explode(F.split(text, r"\r\n|\r|\n")).alias("value")))
 
 
 def pair_files(clean: DataFrame, noisy: DataFrame) -> DataFrame:
@@ -220,43 +225,29 @@ def write_jsonl(df: DataFrame, path: str) -> None:
         raise OSError(f"{path} can't be replaced")
 
 
-def extract_audio(archive: str, folder: str, most_files: int = 100_000, most_bytes: int = 1 << 40) -> int:
-    """Unpacks the .wav members of an archive into a new folder, which appears whole or not at all; absolute and climbing paths, links, and
-    more than the bounds raise."""
-    target = Path(folder)
-    if target.exists():
+def read_audio_archive(spark: SparkSession, members: list, most_files: int = 100_000, most_bytes: int = 1 << 40) -> DataFrame:
+    """(stem, samples, sample_rate, sha256) of the .wav members of archives (see ``archives.read_members``), unpacked and decoded in tasks. Other members raise."""
+    found = archives.read_members(spark, members, only="*.wav", most_files=most_files, most_bytes=most_bytes)
+    stem = F.regexp_extract("name", r"([^/]+)\.[^./]+$", 1).alias("stem")
+    return _decoded(found.select(stem, "content", F.sha2("content", 256).alias("sha256")))
+
+
+def extract_audio(spark: SparkSession, members: list, folder: str, most_files: int = 100_000, most_bytes: int = 1 << 40) -> DataFrame:
+    """(name, path) of the .wav members of archives, each written by the task that unpacks it below a new folder (a URI). Tasks write beside it, and it gets its name when all are done, so that
+    it is there whole or not at all. A folder that exists raises, as does what ``archives.read_members`` refuses."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
         raise FileExistsError(folder)
-    with zipfile.ZipFile(archive) as z:
-        members = [m for m in z.infolist() if not m.is_dir()]
-        if len(members) > most_files or sum(m.file_size for m in members) > most_bytes:
-            raise ValueError("the archive is too large")
-        for m in members:
-            parts = Path(m.filename).parts
-            if m.filename.startswith("/") or ".." in parts or stat.S_ISLNK(m.external_attr >> 16) or not m.filename.lower().endswith(".wav"):
-                raise ValueError(f"unsafe member {m.filename}")
-        target.parent.mkdir(parents=True, exist_ok=True)
-        part = tempfile.mkdtemp(dir=target.parent)
-        try:
-            for m in members:
-                out = Path(part) / m.filename
-                out.parent.mkdir(parents=True, exist_ok=True)
-                with z.open(m) as a, out.open("wb") as b:
-                    shutil.copyfileobj(a, b)
-            os.rename(part, target)
-        except BaseException:
-            shutil.rmtree(part, ignore_errors=True)
-            raise
-    return len(members)
-
-
-def assemble(parts: list[tuple[str, int]], out: str, expected: int) -> None:
-    """Joins the first ``n`` bytes of each (path, n) in order; another total than expected raises and leaves nothing."""
-    data = b""
-    for path, n in parts:
-        piece = Path(path).read_bytes()[:n]
-        if len(piece) != n:
-            raise ValueError(f"{path} is too short")
-        data += piece
-    if len(data) != expected:
-        raise ValueError("the parts don't add up")
-    _replace(out, data)
+    beside = f"{folder}.{uuid.uuid4().hex}"
+    try:
+        names = write_files(archives.read_members(spark, members, only="*.wav", most_files=most_files, most_bytes=most_bytes), beside).select("name")
+        names = names.persist(StorageLevel.DISK_ONLY)
+        names.count()
+        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(beside)):
+            fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(beside))  # no members
+        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), target):
+            raise OSError(f"{folder} can't be made")
+    finally:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(beside), True)
+    return names.select("name", F.concat(F.lit(f"{folder}/"), "name").alias("path"))
