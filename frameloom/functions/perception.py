@@ -11,6 +11,7 @@ from .kernels import checked, resample
 # Fixed values of the published measure
 RATE, LENGTH, TRANSFORM, BANDS, LOWEST, SEGMENT, LEAST_DB, RANGE_DB = 10_000, 256, 512, 15, 150.0, 30, -15.0, 40.0
 SMALL = np.finfo(np.float64).eps
+MANY = 4096  # segments at a time
 
 
 def _window() -> np.ndarray:
@@ -55,19 +56,26 @@ def band_levels(x: np.ndarray) -> np.ndarray:
 
 
 def stoi(clean, other, rate: int) -> float:
-    """The mean correlation of band envelopes over all segments of SEGMENT frames; 1e-5 where the speech is too short for one. Streams of different
-    lengths or rates below 1 raise."""
-    clean, other = checked(clean), checked(other)
+    """The mean correlation of band envelopes over all segments of SEGMENT frames; 1e-5 where the speech is too short for one, as where there is none. Streams of different
+    lengths or rates below 1 raise. Segments are taken some thousand at a time, so that memory is linear in the stream."""
     if len(clean) != len(other) or rate <= 0:
         raise ValueError("both streams must have one length, and a rate")
+    if not len(clean):
+        return 1e-5
+    clean, other = checked(clean), checked(other)
     clean, other = without_silence(resample(clean, rate, RATE), resample(other, rate, RATE))
     x, y = band_levels(clean), band_levels(other)
     if x.shape[1] < SEGMENT:
         return 1e-5
-    # (bands, segments, SEGMENT)
+    last = x.shape[1] - SEGMENT + 1
+    return float(sum(_correlations(x[:, a : a + MANY + SEGMENT - 1], y[:, a : a + MANY + SEGMENT - 1]) for a in range(0, last, MANY)) / (BANDS * last))
+
+
+def _correlations(x: np.ndarray, y: np.ndarray) -> float:
+    """Their sum over the bands and segments of (bands, frames)."""
     x, y = (np.lib.stride_tricks.sliding_window_view(v, SEGMENT, axis=1) for v in (x, y))
     scale = np.linalg.norm(x, axis=2, keepdims=True) / (np.linalg.norm(y, axis=2, keepdims=True) + SMALL)
     y = np.minimum(y * scale, x * (1 + 10 ** (-LEAST_DB / 20)))
     x, y = (v - v.mean(axis=2, keepdims=True) for v in (x, y))
     x, y = (v / (np.linalg.norm(v, axis=2, keepdims=True) + SMALL) for v in (x, y))
-    return float((x * y).sum(axis=2).mean())
+    return (x * y).sum()

@@ -290,8 +290,8 @@ def controller_grid(spark, sf_dir):
 
 @query()
 def intelligibility(spark, sf_dir):
-    """Texts of some length as streams at 10 kHz, against themselves with their reverse added."""
-    df = table(spark, sf_dir, "documents").filter("length(text) between 5000 and 20000").select(F.col("doc_id").alias("stream"), F.transform(F.split("text", ""), lambda c: (F.ascii(c) % 64 - 32) / 32.0).alias("reference"))
+    """All texts as streams at 10 kHz, against themselves with their reverse added; those too short for a segment get the measure's least value."""
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), F.transform(F.split(F.coalesce("text", F.lit("")), ""), lambda c: (F.ascii(c) % 64 - 32) / 32.0).alias("reference"))
     df = df.withColumn("estimate", F.zip_with("reference", F.reverse("reference"), lambda x, y: x + 0.3 * y))
     return signals.per_stream(df, lambda r, e: {"stoi": round(perception.stoi(r, e, 10_000), 6)}, {"stoi": "double"}, ["reference", "estimate"])
 

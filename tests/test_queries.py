@@ -131,7 +131,9 @@ def test_queries_without_sql_equal_their_kernels(spark):
         want = kernels.statistical_activity(short[r.stream], kernel_queries.STATISTICAL)
         assert np.allclose(r.margin, want["margin"]) and r.labels == want["labels"].tolist()
     found = kernel_queries.intelligibility(spark, SF).collect()
-    assert found and all(0 < r.stoi < 1 for r in found)
+    texts = {r.doc_id: len(r.text or "") for r in derived.table(spark, SF, "documents").collect()}
+    assert {r.stream for r in found} == texts.keys()
+    assert all(r.stoi == 1e-5 if texts[r.stream] < 4000 else r.stoi < 1 for r in found) and any(0.1 < r.stoi for r in found)
 
 
 def test_order_in_bands(spark):
