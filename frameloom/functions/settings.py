@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 
 def _within(name: str, value: float, least: float, most: float, open_: bool = False) -> None:
@@ -116,6 +117,13 @@ class StatisticalActivity:
     machine: Hysteresis = Hysteresis(20.0, 10.0)
 
 
+def milliseconds_to_frames(milliseconds: float, frame: float = 10.0) -> int:
+    """Frames that hold so many milliseconds, the last begun one counted; they must be positive."""
+    if milliseconds <= 0:
+        raise ValueError("milliseconds must be positive")
+    return ceil(milliseconds / frame)
+
+
 @dataclass(frozen=True)
 class Endpoints:
     on: float = 0.5
@@ -134,7 +142,7 @@ class Endpoints:
 
     @classmethod
     def from_milliseconds(cls, hangover: float = 700, preroll: float = 200, least_speech: float = 100, maximum: float = 10_000, onset: float = 20, **more) -> "Endpoints":
-        frames = lambda ms: max(1, -(-int(ms) // 10))
+        frames = milliseconds_to_frames
         return cls(hangover=frames(hangover), preroll=frames(preroll), least_speech=frames(least_speech), maximum=frames(maximum), onset=frames(onset), **more)
 
 

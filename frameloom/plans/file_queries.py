@@ -13,8 +13,9 @@ from ..functions.settings import Framing
 from ..operators import signals, statistics
 from ..shared import scratch
 from ..sources import archives, files
-from ..streaming import chunks
+from ..streaming import chunks, live
 from .derived import PAIRS, SCORES, SIGNAL, pairs, scores, signal, table, vectors
+from .kernel_queries import _P, ENDPOINTS
 from .queries import _LIST, _SUMMARY, ORACLE_SQL, QUERIES, _weighted, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -165,16 +166,24 @@ def archived_audio(spark, sf_dir):
 # Streams --------------------------------------------------------------------------------------------------------------
 
 
-def _as_stream(spark: SparkSession, df: DataFrame, operator, parts: int = 3) -> DataFrame:
-    """What ``operator`` gives for the chunks ``df`` as a stream of ``parts`` micro-batches, each with every how manyth chunk, so that chunks arrive
-    out of order."""
-    source, out, state = (scratch(spark, tag) for tag in ("source", "sink", "state"))
+FILES = 8  # of one part
+
+
+def _source(spark: SparkSession, df: DataFrame, parts: int) -> DataFrame:
+    """``df(stream, seq, ...)`` as a stream, every how manyth chunk at a time, so that chunks arrive out of order."""
+    source = scratch(spark, "source")
     for k in range(parts):
-        df.filter(F.pmod(F.col("seq") * 7 + F.col("stream"), F.lit(parts)) == k).coalesce(1).write.mode("append").parquet(source)
-    read = spark.readStream.schema(chunks.CHUNK).option("maxFilesPerTrigger", 1).parquet(source)
-    running = operator(read).writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start()
+        df.filter(F.pmod(F.col("seq") * 7 + F.col("stream"), F.lit(parts)) == k).repartition(FILES).write.mode("append").parquet(source)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(source)
+
+
+def _as_stream(spark: SparkSession, df: DataFrame, operator, parts: int = 3, other: DataFrame | None = None) -> DataFrame:
+    """What ``operator`` gives for the chunks ``df`` (and those of ``other``) as a stream of some ``parts`` micro-batches."""
+    given = [x for x in (df, other) if x is not None]
+    out, state = scratch(spark, "sink"), scratch(spark, "state")
+    running = operator(*(_source(spark, x, parts) for x in given)).writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.schema(operator(df).schema).parquet(out)
+    return spark.read.schema(operator(*given).schema).parquet(out)
 
 
 def _joined(df: DataFrame) -> DataFrame:
@@ -232,3 +241,63 @@ def stream_through_48k(spark, sf_dir):
     """Three times the rate and back, with the tail of the filters' delay."""
     out = _as_stream(spark, chunks.as_chunks(signal(spark, sf_dir), 16), lambda c: chunks.through_48k(c, _copy))
     return _joined(out).select("stream", "n", F.round("value", 6).alias("value"))
+
+
+@query(ENDPOINTS)
+def stream_endpoints(spark, sf_dir):
+    """Segments of live activity, from chunks that come out of order."""
+    df = signal(spark, sf_dir).withColumn("value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 490)))
+    out = _as_stream(spark, chunks.as_chunks(df, 7), lambda c: chunks.endpoints(c, _P))
+    return out.select("stream", F.col("start_frame").alias("start"), F.col("end_frame").alias("stop"), F.col("speech_frames").alias("speech"), F.col("total_frames").alias("total"), "reason")
+
+
+_FOURS = f"{SIGNAL}, sizes AS (SELECT stream, count(*) // 4 AS frames FROM signal GROUP BY stream)"
+
+
+@query(f"WITH {_FOURS} SELECT s.stream, n // 4 AS frame, round(max(value), 6) AS activity, round(sum(value * (n % 4 + 1)), 6) AS weighted FROM signal s JOIN sizes z ON z.stream = s.stream AND s.n < 4 * frames GROUP BY s.stream, n // 4")
+def stream_aligned_activity(spark, sf_dir):
+    """Frames of four samples and an activity for each, chunks of 10 samples and of 3 activities, each side out of order."""
+    df = signal(spark, sf_dir)
+    whole = df.join(df.groupBy("stream").agg((F.floor(F.count("*") / 4) * 4).alias("size")), "stream").filter("n < size").select("stream", "n", "value")
+    activity = whole.groupBy("stream", F.floor(F.col("n") / 4).alias("n")).agg(F.max("value").alias("value"))
+    out = _as_stream(spark, chunks.as_chunks(whole, 10), lambda s, a: live.aligned(s, a, 4), other=chunks.as_chunks(activity, 3))
+    return out.select("stream", "frame", F.round("activity", 6).alias("activity"), _weighted("samples").alias("weighted"))
+
+
+_QUEUE = "SELECT stream, n, work, {full} AS dropped, CASE WHEN {full} THEN free ELSE greatest(n, free) + work END AS free, CASE WHEN {full} THEN waiting ELSE list_append(waiting, greatest(n, free)) END AS starts, greatest(n, free) - n AS waits FROM (SELECT stream, n, work, free, list_filter(starts, lambda x: x > n) AS waiting FROM ({source}))"
+_FULL = "len(waiting) >= 4"
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, jobs AS MATERIALIZED (SELECT stream, n::DOUBLE AS n, value / 40 AS work FROM signal), q AS (
+  {_QUEUE.format(full=_FULL, source="SELECT *, 0::DOUBLE AS free, CAST([] AS DOUBLE[]) AS starts FROM jobs WHERE n = 0")}
+  UNION ALL {_QUEUE.format(full=_FULL, source="SELECT j.stream, j.n, j.work, q.free, q.starts FROM q JOIN jobs j ON j.stream = q.stream AND j.n = q.n + 1")})
+SELECT stream, n::BIGINT AS seq, dropped, CASE WHEN NOT dropped THEN round(waits, 6) END AS queue_seconds, round(work, 6) AS work_seconds, CASE WHEN NOT dropped THEN round(waits + work, 6) END AS end_to_text_seconds FROM q""")
+def stream_bounded_queue(spark, sf_dir):
+    """A job each second, whose work its event's value sets, before a queue for four; what finds it full is dropped."""
+    jobs = signal(spark, sf_dir).select("stream", F.col("n").alias("seq"), F.array(F.col("n").cast("double"), F.col("value") / 40).alias("values"), F.lit(False).alias("last"), F.lit(None).cast("timestamp").alias("ts"))
+    out = _as_stream(spark, jobs, live.queued)
+    return out.select("stream", "seq", "dropped", *(F.round(c, 6).alias(c) for c in ("queue_seconds", "work_seconds", "end_to_text_seconds")))
+
+
+def _stand_in():
+    def model(inputs):
+        if any("?" in x for x in inputs):
+            raise ValueError("no question")
+        return [x.replace(" ", "_") for x in inputs]
+
+    return model
+
+
+@query("SELECT conv_id AS stream, turn::BIGINT AS seq, CASE WHEN NOT contains(text, '?') THEN sha256(replace(text, ' ', '_')) END AS digest, CASE WHEN contains(text, '?') THEN 'ValueError: no question' END AS error FROM conversations WHERE text IS NOT NULL AND turn IS NOT NULL AND conv_id IS NOT NULL")
+def worker_ledger(spark, sf_dir):
+    """Turns as jobs of a worker behind a stream, through a stand-in model; every batch is given to the sink twice."""
+    df = table(spark, sf_dir, "conversations").filter("text is not null and turn is not null and conv_id is not null")
+    jobs = df.select(F.col("conv_id").cast("long").alias("stream"), F.col("turn").cast("long").alias("seq"), F.col("text").alias("input"), F.unix_timestamp().cast("double").alias("ended"))
+    sink = live.Ledger(scratch(spark, "worker"), lambda batch: live.worked(batch, _stand_in))
+
+    def twice(batch, number):
+        sink(batch, number)
+        sink(batch, number)
+
+    _source(spark, jobs, 3).writeStream.foreachBatch(twice).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return sink.rows(spark).select("stream", "seq", F.sha2("text", 256).alias("digest"), "error")

@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import kernels, perception
+from ..functions import endpointing, kernels, perception
 from ..functions.settings import Continuity, Correction, Endpoints, EnergyActivity, Framing, Gain, Hysteresis, ImprovedMinima, Minima, Placement, StatisticalActivity
 from ..operators import signals
 from .derived import PAIRS, SIGNAL, pairs, signal, table, vectors
@@ -215,19 +215,21 @@ FROM (SELECT *, active AND (silent OR held >= {_P.maximum}) AS ends FROM (
   FROM (SELECT stream, n, loud, active AS old, CASE WHEN active THEN 0 WHEN p >= {_P.on} THEN run + 1 ELSE 0 END AS run, quiet, speech, held, CASE WHEN active THEN ring ELSE {_RING} END AS ring, start FROM ({{source}}))))"""
 
 
-@query(f"""WITH RECURSIVE {SIGNAL}, chance AS MATERIALIZED (SELECT stream, n, least(greatest(value / 490, 0), 1) AS p, least(greatest(value / 490, 0), 1) >= {_P.off} AS loud FROM signal),
+ENDPOINTS = f"""WITH RECURSIVE {SIGNAL}, chance AS MATERIALIZED (SELECT stream, n, least(greatest(value / 490, 0), 1) AS p, least(greatest(value / 490, 0), 1) >= {_P.off} AS loud FROM signal),
 state(stream, n, active, run, quiet, speech, held, ring, start, found, total, reason) AS (
   {_STEP.format(source="SELECT *, false AS active, 0 AS run, 0 AS quiet, 0 AS speech, 0 AS held, CAST([] AS BOOLEAN[]) AS ring, 0 AS start FROM chance WHERE n = 0")}
   UNION ALL {_STEP.format(source="SELECT c.stream, c.n, c.p, c.loud, s.active, s.run, s.quiet, s.speech, s.held, s.ring, s.start FROM state s JOIN chance c ON c.stream = s.stream AND c.n = s.n + 1")}),
 ended AS (SELECT stream, start, n + 1 AS stop, found AS speech, total, reason FROM state WHERE found IS NOT NULL
   UNION ALL SELECT stream, start, n + 1, speech, held, 'stream_end' FROM state s WHERE active AND speech >= {_P.least_speech} AND n = (SELECT max(n) FROM chance c WHERE c.stream = s.stream))
-SELECT stream, start::BIGINT AS start, stop::BIGINT AS stop, speech::BIGINT AS speech, total::BIGINT AS total, reason FROM ended""")
+SELECT stream, start::BIGINT AS start, stop::BIGINT AS stop, speech::BIGINT AS speech, total::BIGINT AS total, reason FROM ended"""
+
+
+@query(ENDPOINTS)
 def endpoint_segments(spark, sf_dir):
     def detect(x):
-        d = kernels.EndpointDetector(_P)
-        found = [s for s in [*(d.step(p) for p in np.clip(x / 490, 0, 1)), d.flush()] if s]
-        pick = lambda k: np.array([s[k] for s in found], np.int64)
-        return {"start": pick("start_frame"), "stop": pick("end_frame"), "speech": pick("speech_frames"), "total": pick("total_frames"), "reason": [s["reason"] for s in found]}
+        found = endpointing.segments(np.clip(x / 490, 0, 1), _P)
+        start, stop, speech, total = (np.array([s[k] for s in found], np.int64) for k in range(4))
+        return {"start": start, "stop": stop, "speech": speech, "total": total, "reason": [s.reason for s in found]}
 
     df = signals.per_stream(_arrays(spark, sf_dir), detect, {"start": "array<long>", "stop": "array<long>", "speech": "array<long>", "total": "array<long>", "reason": "array<string>"})
     return _points(df, "start", "stop", "speech", "total", "reason").drop("n")

@@ -1,10 +1,12 @@
-"""Stateful operators on chunked streams: the batch kernels, kept in the state store between micro-batches.
+"""Stateful operators on chunked streams, on ``transformWithState``: numbers in the state store, no code.
 
 A chunk is (stream, seq, values, last): values in order, ``last`` the stream's end marker, which flushes. Chunks may arrive in any
-order within and across micro-batches: those ahead of their turn wait in the state, at most ``WAITING`` of them; a repeated seq raises.
-A stream's state is removed at its end. Where ``idle`` is given, a stream that has been silent for so long is flushed and removed as if it had
+order within and across micro-batches: those ahead of their turn wait in a map state, at most ``WAITING`` of them; a repeated seq raises.
+A stream's state is removed at its end. Where ``idle`` is given, a stream that has been silent for so long (a timer) is flushed and removed as if it had
 ended; such a query looks for silent streams without new data too, so it doesn't end by itself.
-The state is the pickled operator, whose size doesn't grow with the stream.
+
+What an operator carries from chunk to chunk are named arrays and counts (``Memory``), whose size doesn't grow with the stream; a query that is started again with other code
+goes on with them. This kind of state needs the RocksDB store, which ``streamed`` sets for its session.
 """
 
 from __future__ import annotations
@@ -13,21 +15,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions import kernels
+from ..functions import endpointing, kernels
 from ..functions.settings import Endpoints, Framing
 
 WAITING = 10_000
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHUNK = "stream long, seq long, values array<double>, last boolean, ts timestamp"
 SAMPLES = "stream long, seq long, samples array<double>"
 SEGMENTS = "stream long, start_frame long, end_frame long, speech_frames long, total_frames long, reason string"
+Memory = tuple[dict[str, list[float]], dict[str, int]]
 
 
 class Samples:
-    """Chunks of samples through a kernel with push and maybe flush."""
+    """Chunks of samples through a kernel with push and maybe flush. ``carried`` names its arrays and counts, with dots to those of its parts."""
 
     columns = ("seq", "samples")
 
@@ -40,28 +44,52 @@ class Samples:
     def flush(self, seq: int) -> list[tuple]:
         return [(seq, self.kernel.flush().tolist())] if hasattr(self.kernel, "flush") else []
 
+    def _owner(self, name: str) -> tuple:
+        owner = self.kernel
+        *way, last = name.split(".")
+        for part in way:
+            owner = getattr(owner, part)
+        return owner, last
+
+    def memory(self) -> Memory:
+        arrays, counts = ([(n, getattr(*self._owner(n))) for n in names] for names in self.kernel.carried)
+        return {n: np.asarray(v, float).tolist() for n, v in arrays}, {n: int(v) for n, v in counts}
+
+    def recall(self, memory: Memory) -> None:
+        for n, v in memory[0].items():
+            setattr(*self._owner(n), np.array(v, float))
+        for n, v in memory[1].items():
+            setattr(*self._owner(n), int(v))
+
 
 class Segments:
     """Chunks of activity, one value for each frame, to segments."""
 
-    columns = ("start_frame", "end_frame", "speech_frames", "total_frames", "reason")
+    columns = endpointing.Segment._fields
+    counts = ("frame", "since", "begin", "onsets", "silent", "speech")
 
     def __init__(self, config: Endpoints):
-        self.kernel = kernels.EndpointDetector(config)
-
-    def _rows(self, found: list) -> list[tuple]:
-        return [tuple(s[c] for c in self.columns) for s in found if s]
+        self.config, self.live = config, endpointing.Live()
 
     def push(self, seq: int, values) -> list[tuple]:
-        return self._rows([self.kernel.step(float(p)) for p in values])
+        self.live, out = endpointing.read(self.live, values, self.config)
+        return [tuple(s) for s in out]
 
     def flush(self, seq: int) -> list[tuple]:
-        return self._rows([self.kernel.flush()])
+        return [tuple(s) for s in endpointing.ended(self.live, self.config)]
+
+    def memory(self) -> Memory:
+        return {"recent": self.live.recent.astype(float).tolist()}, {n: getattr(self.live, n) for n in self.counts}
+
+    def recall(self, memory: Memory) -> None:
+        self.live = endpointing.Live(**memory[1], recent=np.array(memory[0]["recent"], bool))
 
 
 class Through48k:
     """Three times the rate, a frame model at it (samples to samples, of any chunk), and back; ends with the delay's tail."""
 
+    carried = ("up.tail", "down.tail"), ("down.total",)
+
     def __init__(self, model: Callable[[np.ndarray], np.ndarray] = lambda x: x):
         self.up, self.down, self.model, self.delay = kernels.TripleUp(), kernels.TripleDown(), model, 42
 
@@ -75,6 +103,8 @@ class Through48k:
 class Blocks:
     """A model of whole blocks fed by chunks of any size: the last block is padded, the output as long as the input."""
 
+    carried = ("held",), ("taken", "given")
+
     def __init__(self, model: Callable[[np.ndarray], np.ndarray], size: int = 480):
         self.model, self.size, self.held, self.taken, self.given = model, size, np.zeros(0), 0, 0
 
@@ -93,69 +123,142 @@ class Blocks:
         return self.push(np.zeros(-len(self.held) % self.size))[:left] if left else np.zeros(0)
 
 
-def _advance(held: dict, rows: list[tuple], stream) -> list[tuple]:
-    """Feeds the chunks whose turn it is; held: operator, next seq, waiting chunks and whether the stream has ended. Chunks beyond the end raise."""
+class Waiting:
+    """Chunks ahead of their turn, of a finished table: the same calls as the map state has."""
+
+    def __init__(self):
+        self.held: dict = {}
+
+    def contains(self, seq: int) -> bool:
+        return seq in self.held
+
+    def put(self, seq: int, values, last: bool) -> None:
+        self.held[seq] = (values, last)
+
+    def take(self, seq: int):
+        return self.held.pop(seq)
+
+
+class StoredWaiting:
+    def __init__(self, state):
+        self.state = state
+
+    def contains(self, seq: int) -> bool:
+        return self.state.containsKey((seq,))
+
+    def put(self, seq: int, values, last: bool) -> None:
+        self.state.updateValue((seq,), (None if values is None else [float(v) for v in values], last))
+
+    def take(self, seq: int):
+        found = self.state.getValue((seq,))
+        self.state.removeKey((seq,))
+        return found
+
+
+class Turn:
+    """Whose turn it is, how many wait, and whether the stream has ended."""
+
+    def __init__(self, stream, waiting, following: int = 0, ahead: int = 0):
+        self.stream, self.waiting, self.following, self.ahead, self.ended = stream, waiting, following, ahead, False
+
+    def arrived(self, rows: list[tuple]) -> Iterator[tuple[int, np.ndarray | None, bool]]:
+        """The chunks whose turn has come, in order, up to the last one; others wait. Repeated chunks and those beyond the end raise."""
+        for seq, values, last in rows:
+            if self.ended or seq < self.following or self.waiting.contains(seq):
+                raise ValueError(f"stream {self.stream}: chunk {seq} came twice or after the end")
+            self.waiting.put(seq, values, last)
+            self.ahead += 1
+            while not self.ended and self.ahead and self.waiting.contains(self.following):
+                values, last = self.waiting.take(self.following)
+                yield self.following, None if values is None or not len(values) else np.asarray(values, float), bool(last)
+                self.ahead, self.following, self.ended = self.ahead - 1, self.following + 1, bool(last)
+            if self.ahead > WAITING:
+                raise ValueError(f"stream {self.stream}: too many chunks wait for chunk {self.following}")
+        if self.ended and self.ahead:
+            raise ValueError(f"stream {self.stream}: chunks came after the end")
+
+
+def _advance(operator, turn: Turn, rows: list[tuple]) -> list[tuple]:
     out = []
-    for seq, values, last in rows:
-        if held["ended"] or seq < held["next"] or seq in held["waiting"]:
-            raise ValueError(f"stream {stream}: chunk {seq} came twice or after the end")
-        held["waiting"][seq] = (values, last)
-        if len(held["waiting"]) > WAITING:
-            raise ValueError(f"stream {stream}: too many chunks wait for chunk {held['next']}")
-    while held["next"] in held["waiting"]:
-        values, last = held["waiting"].pop(held["next"])
-        if values is not None and len(values):
-            out += held["operator"].push(held["next"], np.asarray(values, float))
+    for seq, values, last in turn.arrived(rows):
+        if values is not None:
+            out += operator.push(seq, values)
         if last:
-            out += held["operator"].flush(held["next"] + 1)
-            held["ended"] = True
-            break
-        held["next"] += 1
-    if held["ended"] and held["waiting"]:
-        raise ValueError(f"stream {stream}: chunks came after the end")
+            out += operator.flush(seq + 1)
     return out
 
 
-def _fresh(make: Callable) -> dict:
-    return {"operator": make(), "next": 0, "waiting": {}, "ended": False}
+def _rows(pdf: pd.DataFrame) -> list[tuple]:
+    return list(zip(pdf["seq"].tolist(), pdf["values"], pdf["last"].fillna(False).astype(bool).tolist()))
 
 
-def _rows(pdf: pd.DataFrame) -> list[tuple]:
-    return list(zip(pdf["seq"].tolist(), pdf["values"], pdf["last"].fillna(False).astype(bool)))
+class Ordered(StatefulProcessor):
+    """An operator for each stream of a streaming table."""
 
+    def __init__(self, make: Callable, columns: tuple[str, ...], idle: int | None):
+        self.make, self.columns, self.idle = make, columns, idle
 
-def streamed(chunks: DataFrame, make: Callable, shape: str, columns: tuple[str, ...], idle: int | None = None) -> DataFrame:
-    """The operator that ``make`` builds, for each stream of a streaming table; ``idle`` in milliseconds."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.turn = handle.getValueState("turn", "following long, ahead long")
+        self.memory = handle.getValueState("memory", "arrays map<string,array<double>>, counts map<string,long>")
+        self.early = handle.getMapState("early", "seq long", "values array<double>, last boolean")
+
+    def _table(self, out: list[tuple], stream) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=list(self.columns)).assign(stream=stream)[["stream", *self.columns]]
 
-    def table(out: list[tuple], stream) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=list(columns)).assign(stream=stream)[["stream", *columns]]
+    def _operator(self):
+        operator = self.make()
+        if self.memory.exists():
+            arrays, counts = self.memory.get()
+            operator.recall(({k: list(v) for k, v in arrays.items()}, dict(counts)))
+        return operator
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = cloudpickle.loads(bytes(state.get[0])) if state.exists else _fresh(make)
+    def _forget(self) -> None:
+        for state in (self.turn, self.memory, self.early):
+            state.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        operator = self._operator()
+        turn = Turn(key[0], StoredWaiting(self.early), *(self.turn.get() if self.turn.exists() else (0, 0)))
         out = []
-        if state.hasTimedOut:
-            out = held["operator"].flush(held["next"])
-            state.remove()
+        for pdf in rows:
+            out += _advance(operator, turn, _rows(pdf))
+        if self.idle:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+        if turn.ended:
+            self._forget()
         else:
-            for pdf in pdfs:
-                out += _advance(held, _rows(pdf), key[0])
-            if held["ended"]:
-                state.remove()
-            else:
-                state.update((cloudpickle.dumps(held),))
-                if idle:
-                    state.setTimeoutDuration(idle)
+            self.turn.update((turn.following, turn.ahead))
+            self.memory.update(operator.memory())
+            if self.idle:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
         if out:
-            yield table(out, key[0])
+            yield self._table(out, key[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.turn.exists():
+            out = self._operator().flush(self.turn.get()[0])
+            self._forget()
+            if out:
+                yield self._table(out, key[0])
 
-    return chunks.groupBy("stream").applyInPandasWithState(step, shape, "held binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def streamed(chunks: DataFrame, make: Callable, shape: str, columns: tuple[str, ...], idle: int | None = None) -> DataFrame:
+    """The operator that ``make`` builds, for each stream of a streaming table; ``idle`` in milliseconds."""
+    chunks.sparkSession.conf.set(STORE, ROCKS)
+    return chunks.groupBy("stream").transformWithStateInPandas(Ordered(make, columns, idle), shape, "Append", "ProcessingTime" if idle else "None")
 
 
 def batched(chunks: DataFrame, make: Callable, shape: str, columns: tuple[str, ...]) -> DataFrame:
     """The same on a finished table."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _advance(_fresh(make), _rows(pdf.sort_values("seq")), key[0])
+        out = _advance(make(), Turn(key[0], Waiting()), _rows(pdf.sort_values("seq")))
         return pd.DataFrame(out, columns=list(columns)).assign(stream=key[0])[["stream", *columns]]
 
     return chunks.groupBy("stream").applyInPandas(run, shape)

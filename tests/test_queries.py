@@ -196,7 +196,7 @@ def test_finished_streams_leave_no_state(spark, tmp_path):
     out = chunks.block_model(source, lambda x: x, 4)
     run = out.writeStream.format("memory").queryName("finished").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     assert run.awaitTermination(120)
-    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # stream 7 goes on
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 2  # whose turn it is, and what it carries, of stream 7, which goes on
     got = {}
     for r in spark.table("finished").collect():
         got.setdefault(r.stream, []).append((r.seq, r.samples))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from frameloom.functions import kernels as K
+from frameloom.functions import endpointing, kernels as K
 from frameloom.functions.settings import Continuity, Correction, Endpoints, EnergyActivity, Framing, Hysteresis
 from frameloom.functions.text import align_words
 
@@ -21,9 +21,7 @@ def test_perfect_reconstruction_and_chunks(n):
 def test_hysteresis_and_endpoints():
     labels = K.hysteresis(np.array([0, 0, 9, 10, 7, 3, 2, 1, 0.0]), Hysteresis(8, 4, 2, 2, 1, 0))
     assert labels.tolist() == [False, True, True, True, True, True, True, False, False]
-    d = K.EndpointDetector(Endpoints(0.5, 0.5, 2, 2, 2, 1, 100))
-    found = [s for s in (d.step(p) for p in (0.1, 0.8, 0.9, 0.7, 0.1, 0.1)) if s]
-    assert [(s["start_frame"], s["end_frame"], s["speech_frames"], s["reason"]) for s in found] == [(0, 6, 3, "silence")]
+    assert endpointing.segments([0.1, 0.8, 0.9, 0.7, 0.1, 0.1], Endpoints(0.5, 0.5, 2, 2, 2, 1, 100)) == [(0, 6, 3, 6, "silence")]
 
 
 def test_repeated_windows_and_resampler_delay():
