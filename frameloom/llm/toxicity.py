@@ -359,11 +359,10 @@ class Tagger:
             scores.append(-np.expm1(clean))
             mine: list[list[dict]] = [[] for _ in range(hi - lo)]
             before = -2
-            for w, d, q in zip(held, doc, p):
-                if q < 0.5:
-                    continue
-                text = data[offsets[d] : ends[w]]
-                start, end = (int(((text[:k] & 0xC0) != 0x80).sum()) for k in (starts[w] - offsets[d], ends[w] - offsets[d]))
+            flagged = p >= 0.5
+            lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if flagged.any() else None
+            for w, d, q in zip(held[flagged].tolist(), doc[flagged].tolist(), p[flagged].tolist()):
+                start, end = (int(lead[k] - lead[offsets[d]]) for k in (starts[w], ends[w]))
                 if before == w - 1 and mine[d]:
                     mine[d][-1].update(end=end, p=max(mine[d][-1]["p"], float(q)))
                 else:
