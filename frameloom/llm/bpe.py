@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import store
 from .kernels import ragged
-from .pieces import Encoder, as_characters, byte_characters
+from .pieces import PATTERN, Encoder, as_characters, byte_characters
 
 _codecs: dict[tuple, "Codec"] = {}
 
@@ -41,7 +41,7 @@ class Codec:
         tokenize = models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0).tokenize
         split = regex.compile(pattern)
         piece = lambda p: [t.id for t in tokenize(as_characters(p))]
-        self.encoder = Encoder(piece, lambda text: [i for p in split.findall(text) for i in piece(p)])
+        self.encoder = Encoder(piece, lambda text: [i for m in split.finditer(text) for i in piece(m.group())], pattern == PATTERN)
         size = max(ranks.values()) + 1
         self.tokens: list[bytes] = [b""] * size
         for token, rank in ranks.items():
@@ -87,7 +87,8 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(documents: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
     """doc_id, ids, n_tokens, the digests of ids and of the bytes that they decode to; with ``offsets`` also the characters'
-    ``starts`` and ``ends`` of each id. One row for each row of ``documents(doc_id, text)``; null is the empty text."""
+    ``starts`` and ``ends`` of each id. One row for each row of ``documents(doc_id, text)``, in any number of repeats; null is the empty text, an empty table gives no rows, other columns aren't read. A text is held
+    whole. A pattern other than ``pieces.PATTERN`` goes through the regex library for all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)

@@ -11,6 +11,7 @@ agree. Other texts go through the regex library.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
 
@@ -76,10 +77,11 @@ def cut(codes: np.ndarray, breaks: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """ids of texts; ``encode_piece`` gives those of one piece, ``encode_text`` those of a text that isn't plain."""
+    """ids of texts; ``encode_piece`` gives those of one piece, ``encode_text`` those of a text that isn't plain, or of any where ``cuts`` is false: the cut above isn't this one's.
+    Pieces are told apart by 64-bit hashes, CACHE of them at a time: over 10**13 new pieces one in some thousand workers meets a wrong one."""
 
-    def __init__(self, encode_piece: Callable[[str], list[int]], encode_text: Callable[[str], list[int]]):
-        self.encode_piece, self.encode_text = encode_piece, encode_text
+    def __init__(self, encode_piece: Callable[[str], list[int]], encode_text: Callable[[str], list[int]], cuts: bool = True):
+        self.encode_piece, self.encode_text, self.cuts = encode_piece, encode_text, cuts
         self._fresh()
 
     def _fresh(self) -> None:
@@ -141,6 +143,10 @@ class Encoder:
     def encode(self, texts: pa.Array, chunk: int = 1 << 18):
         """Yields (first row, row after the last, ids, number of ids of each row). Null is empty."""
         for a, b, data, offsets in text_chunks(texts, chunk):
+            if not self.cuts:
+                out = [np.array(self.encode_text(data[i:j].tobytes().decode()), np.int32) for i, j in zip(offsets[:-1], offsets[1:])]
+                yield a, b, np.concatenate(out), np.array([len(x) for x in out], np.int64)
+                continue
             # the lead bytes of code points up to PLAIN are below 0xD5
             odd = np.flatnonzero(data >= 0xD4)
             if not len(odd):
@@ -158,16 +164,26 @@ class Encoder:
             yield a, b, np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
 
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # that of the cut above
 _encoders: dict[str, Encoder] = {}
 
 
+def _cuts_alike(settings: dict) -> bool:
+    """Whether a file of the tokenizers library asks for this cut, and for nothing before it."""
+    before, model = settings.get("pre_tokenizer") or {}, settings["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    return plain and settings.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout") and all(t["special"] for t in settings.get("added_tokens", ()))
+
+
 def library_encoder(path: str) -> Encoder:
-    """For a byte-level BPE in the tokenizers library's own format; strings of special tokens are ordinary text."""
+    """For a file in the tokenizers library's own format; strings of special tokens are ordinary text, as the vocabulary's description asks. A file with another cut, a normalizer or
+    added tokens that aren't special goes through the library text by text."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True
         tokenize = whole.model.tokenize
-        _encoders[path] = Encoder(lambda p: [t.id for t in tokenize(as_characters(p))], lambda t: whole.encode(t, add_special_tokens=False).ids)
+        cuts = _cuts_alike(json.loads(whole.to_str()))
+        _encoders[path] = Encoder(lambda p: [t.id for t in tokenize(as_characters(p))], lambda t: whole.encode(t, add_special_tokens=False).ids, cuts)
     return _encoders[path]
