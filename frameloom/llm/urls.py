@@ -15,6 +15,7 @@ each one's rarest token. Where none fits, the verdict is the one that most label
 from __future__ import annotations
 
 import math
+from itertools import product
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -80,7 +81,8 @@ def mine(labelled: DataFrame) -> tuple[list[Mined], str]:
     """(the rules in ``labelled(tokens, verdict)``, strongest first; the most frequent verdict). Ties of strength go by confidence, support, block
     before allow, then tokens; a tie of verdicts is allow. No rules in an empty table.
 
-    A rule of at most LONGEST tokens stands for a share SUPPORT of the URLs at least, which bounds their number at all sizes: with t tokens in a URL
+    Tokens that stand in the same URLs (as parameters of one campaign do) are mined as one and written out in the rules. Tokens that stand together often but not always are not: mining takes time that
+    may double with each of them. A rule of at most LONGEST tokens stands for a share SUPPORT of the URLs at least, which bounds their number at all sizes: with t tokens in a URL
     there are at most 1 / SUPPORT times t ** (LONGEST - 1) of them on the driver.
     """
     from pyspark.ml.fpm import FPGrowth
@@ -91,11 +93,17 @@ def mine(labelled: DataFrame) -> tuple[list[Mined], str]:
     if not n:
         return [], "allow"
     support = max(SUPPORT, LEAST / n)
-    # tokens below the support can't be part of a rule, and the trees are smaller without them
-    common = rows.select(F.explode("items").alias("item")).groupBy("item").count().filter(F.col("count") >= support * n)
-    often = {r["item"]: r["count"] for r in common.collect()}
-    share = {v: rows.filter(F.array_contains("items", f"={v}")).count() / n for v in LIFT}
-    rows = rows.select(F.array_intersect("items", F.array(*map(F.lit, sorted(often))).cast("array<string>")).alias("items"))
+    # tokens below the support can't be part of a rule; tokens of the same rows are one item, as every set of them would be mined
+    place = F.xxhash64(F.monotonically_increasing_id()).cast("decimal(38,0)")
+    items = rows.withColumn("place", place).select("place", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("count"), F.sum("place").alias("places"))
+    often, alike = {}, {}
+    for r in items.filter((F.col("count") >= support * n) | F.col("item").isin(BLOCK, ALLOW)).collect():
+        often[r["item"]] = r["count"]
+        if r["count"] >= support * n:
+            alike.setdefault((r["count"], r["places"], r["item"] in (BLOCK, ALLOW)), []).append(r["item"])
+    members = {min(v): sorted(v) for v in alike.values()}
+    share = {v: often.get(f"={v}", 0) / n for v in LIFT}
+    rows = rows.select(F.array_intersect("items", F.array(*map(F.lit, sorted(members))).cast("array<string>")).alias("items"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=CONFIDENCE, numPartitions=parts).fit(rows.repartition(parts))
     found = model.associationRules.filter(F.col("consequent")[0].isin(BLOCK, ALLOW) & (F.size("antecedent") < LONGEST))
@@ -105,7 +113,8 @@ def mine(labelled: DataFrame) -> tuple[list[Mined], str]:
         base = share[verdict]
         if r["confidence"] > CONFIDENCE and r["confidence"] >= LIFT[verdict] * base:
             strength = (r["confidence"] - base) / math.sqrt(base * (1 - base) / held) if base < 1 else 0.0
-            rules.append(Mined(sorted(r["antecedent"]), verdict, r["confidence"], r["support"], strength))
+            for tokens in product(*(members[x] for x in r["antecedent"])):
+                rules.append(Mined(sorted(tokens), verdict, r["confidence"], r["support"], strength))
     kept: list[Mined] = []
     for rule in sorted(rules, key=lambda r: (len(r.tokens), -r.confidence, r.tokens)):
         if not any(k.verdict == rule.verdict and k.confidence >= rule.confidence and set(k.tokens) <= set(rule.tokens) for k in kept):
