@@ -3,7 +3,7 @@
 A document's set is its distinct 5-word shingles (words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased); two documents are
 linked when 100 * intersection >= 85 * union of the full sets. The steps:
 
-1. Signatures: 64 MinHash coordinates per document. Documents of equal sets fall into one class, which goes on as one node.
+1. Signatures: 64 MinHash coordinates per document. Documents of equal sets fall into one class, which goes on as one node. Classes of one doc_id (its rows differ) are joined at once.
 2. Posts: each node under each (coordinate, value). Lists of one node end here; a node with fewer than ``MATCHES`` lists left
    can't agree with any other in ``MATCHES`` coordinates and ends too.
 3. Prefix: each node keeps its ``COORDINATES - MATCHES + 1`` shortest lists, lists of one included. Two nodes that agree in
@@ -81,21 +81,32 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, h1, h2, signs = [], [], [], []
         for s in shingle_sets(batch.column(1)):
             n.append(len(s))
-            h1.append(int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)))
-            h2.append(int(mix(s + U64(0x1234567890ABCDEF)).sum(dtype=np.uint64)))
+            a, b = _sums(s)
+            h1.append(a)
+            h2.append(b)
             signs.append(signature(s) if len(s) else None)
         flat = np.concatenate([s if s is not None else np.zeros(COORDINATES, np.int32) for s in signs]) if signs else np.zeros(0, np.int32)
         signs = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COORDINATES), pa.array(flat))
-        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), signs]
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), signs]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "sign"])
 
 
+def _sums(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that tell sets apart, as signed numbers."""
+    h1, h2 = (mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64), mix(s + U64(0x1234567890ABCDEF)).sum(dtype=np.uint64))
+    return int(h1.view(np.int64)), int(h2.view(np.int64))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of (node, text, h1, h2) whose text is that of the node."""
     for batch in batches:
-        sets = list(shingle_sets(batch.column(1)))
+        wanted = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+        sets = [s if _sums(s) == w else None for s, w in zip(shingle_sets(batch.column(1)), wanted)]
+        own = [i for i, s in enumerate(sets) if s is not None]
+        sets = [sets[i] for i in own]
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "shingles"])
 
 
 def _forest(few: np.ndarray, many: np.ndarray, near) -> tuple[list, list]:
@@ -228,30 +239,44 @@ def _ungrouped(groups: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFra
     return _blocks(held, "key", F.lit(True), F.ceil(F.col("n") / FEW_SHINGLES), F.ceil(F.col("n") / MANY_SHINGLES))
 
 
+def _ties(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the classes of one doc_id whose rows differ in their texts."""
+    one = F.struct("h1", "h2", "n_shingles")
+    several = keyed.groupBy("doc_id").agg(F.min(one).alias("least"), F.max(one).alias("most")).filter("least <> most").select("doc_id")
+    held = keyed.join(several, "doc_id", "left_semi").select("doc_id", "h1", "h2", "n_shingles").distinct().join(classes.select("h1", "h2", "n_shingles", "node"), ["h1", "h2", "n_shingles"])
+    held = store.materialize(held.select("doc_id", "node"), "ties")
+    least = held.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return held.join(least, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) for each row of ``documents(doc_id, text)``.
 
     class_id is the smallest doc_id with the same set, component_id the smallest that links reach. Null, empty and blank
     texts have no shingles and are linked with nothing. Repeated rows of one document give repeated results; where rows of
-    one doc_id differ in their texts, each has its own class, but only one of these is compared with near copies. A null doc_id is linked with nothing: its component is null
-    and it isn't kept. Columns other than doc_id and text are neither read nor returned.
+    one doc_id differ in their texts, each has its own class, and these are of one component, with all that any of them is linked with. A null doc_id is linked with nothing: its component is null
+    and it isn't kept. Columns other than doc_id and text are neither read nor returned. A text, and its set, are held whole by a task.
     """
     store.small_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs = store.materialize(texts.mapInArrow(_sign, "doc_id long, n_shingles long, h1 long, h2 long, sign array<int>"), "signs")
     keyed = signs.filter("doc_id is not null and n_shingles > 0")
-    classes = store.materialize(keyed.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
-    chosen = classes.groupBy("class_id").agg(F.min(F.struct("h1", "h2", "n_shingles")).alias("c")).select(F.col("class_id").alias("doc_id"), "c.*")
-    nodes = keyed.join(chosen, ["doc_id", "h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("node"), "n_shingles", "sign").dropDuplicates(["node"])
+    classes = keyed.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    classes = store.materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # a class is a node: its signature and its set are those of one text of its smallest doc_id
+    chosen = classes.select(F.col("class_id").alias("doc_id"), "h1", "h2", "n_shingles", "node")
+    nodes = keyed.join(chosen, ["doc_id", "h1", "h2", "n_shingles"]).select("node", "doc_id", "h1", "h2", "n_shingles", "sign").dropDuplicates(["node"])
     nodes = store.materialize(nodes, "nodes")
     lists = store.materialize(prefix_lists(nodes), "lists")
     n_posts = lists.count()
     centers = lists.groupBy("key").agg(F.max(F.struct("central", -F.col("node"))).alias("top"), F.count("*").alias("n")).filter("n > 1").select("key", "n", (-F.col("top.col2")).alias("center"))
     stars = meet(lists.select("key", "node"), centers, ["key"], n_posts).filter("node <> center").select("center", "node").distinct()
     stars = store.materialize(stars, "stars")
-    used = lists.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash")
-    sets = store.materialize(texts.join(used, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    used = nodes.select("node", "doc_id", "h1", "h2").join(lists.select("node").distinct(), "node", "left_semi").hint("shuffle_hash")
+    owned = texts.join(used, "doc_id").select("node", "text", "h1", "h2").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = store.materialize(owned.dropDuplicates(["node"]), "sets")
     links = store.materialize(_confirm(stars, sets), "links")
+    links = links.unionByName(_ties(keyed, classes))
     roots = components(links)
     left = _unjoined(lists, roots, n_posts).join(nodes, "node").groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long")
     left = store.materialize(left, "alike")
@@ -259,7 +284,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         blocks = _ungrouped(components(left), roots, nodes).join(nodes.select("node", "n_shingles"), "node").join(sets, "node")
         more = blocks.groupBy("key", "i", "j").applyInArrow(_verify, "a long, b long")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    found = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("root", "class_id")).drop("root")
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("kinds"))
+    rooted = rooted.select("root", "h1", "h2", "n_shingles", "class_id", "n")
+    found = meet(rooted, least.withColumnRenamed("kinds", "_kinds"), ["root"], classes.count(), n="_kinds").drop("root")
     out = keyed.select("doc_id", "n_shingles", "h1", "h2")
     out = meet(out, found, ["h1", "h2", "n_shingles"], out.count()).drop("h1", "h2")
     out = out.unionByName(signs.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles"), allowMissingColumns=True)
