@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -145,6 +146,22 @@ def test_verdicts_equal_brute_force(spark, tmp_path):
     assert tried["block", "block"] > tried.get(("block", "allow"), 0)
 
 
+def test_shared_parameters_are_mined_as_one(spark):
+    """Two hundred URLs with forty parameters each: every set of these has the same URLs."""
+    rng = random.Random(8)
+    campaign = [f"q:p{k}" for k in range(40)]
+    rows = [(sorted({f"d:{rng.choice('abc')}.org", f"p:{rng.choice('xy')}", *(campaign if i % 2 else [])}), "block" if i % 2 and rng.random() < 0.8 else "allow") for i in range(200)]
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    begun = time.time()
+    rules, usual = urls.mine(df)
+    assert time.time() - begun < 60
+    short = [([t for t in tokens if not t.startswith("q:p") or t in ("q:p0", "q:p1")], v) for tokens, v in rows]
+    want, other = plain_rules([(set(t), v) for t, v in short])
+    got = [r for r in rules if not any(t.startswith("q:p") and t not in ("q:p0", "q:p1") for t in r.tokens)]
+    assert usual == other and [(r.tokens, r.verdict) for r in got] == [(r[0], r[1]) for r in want]
+    assert sum(len(r.tokens) == 1 and r.tokens[0].startswith("q:p") for r in rules) == 40
+
+
 def test_ties_of_verdicts_and_rules(spark):
     rows = [(["a", "b"], "block")] * 8 + [(["a", "c"], "allow")] * 8
     rules, usual = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))

@@ -90,6 +90,40 @@ def test_minhash_large_group_of_near_copies(spark):
     assert got == components(rows)
 
 
+def components_of_rows(rows):
+    """The same where rows of one doc_id differ: all rows are compared, and those of a doc_id belong together."""
+    apart = components([(k, t) for k, (_, t) in enumerate(rows)])
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(("row", apart[k]), set()).add(i)
+    groups = list(groups.values())
+    merged = True
+    while merged:
+        merged = False
+        for a in range(len(groups)):
+            for b in range(a + 1, len(groups)):
+                if groups[a] & groups[b]:
+                    groups[a] |= groups.pop(b)
+                    merged = True
+                    break
+            if merged:
+                break
+    return {i: min(g) for g in groups for i in g}
+
+
+def test_minhash_rows_of_one_document_that_differ(spark):
+    """Ten documents with two texts each, and a near copy of each text; a copy of one text; a chain through one."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(200))
+    near = lambda k: text(k).replace(f"t{k}w100", "edited")
+    rows = [(i, text(10 * i + j)) for i in range(10) for j in (0, 1)] + [(100 + 10 * i + j, near(10 * i + j)) for i in range(10) for j in (0, 1)]
+    rows += [(300, text(51)), (301, text(77)), (301, near(31)), (301, ""), (301, "few words"), rows[0], rows[1]]
+    want = components_of_rows(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert all(r.component_id == want[r.doc_id] for r in got if r.n_shingles)
+    assert sum(r.doc_id != r.component_id for r in got if 100 <= r.doc_id < 200) == 20
+
+
 def test_minhash_isolated_pair_with_few_equal_coordinates(spark):
     """Similarity 0.853, but only 42 of 64 coordinates are equal."""
     rows = [(k, " ".join([f"s22163w{i}" for i in range(178)] + [f"s22163{e}{i}" for i in range(15)])) for k, e in enumerate("ab")]
@@ -222,6 +256,39 @@ def test_bpe_equals_tiktoken(spark, documents, odd_documents, no_documents):
     assert bpe.encode(no_documents, path, pattern).count() == 0
 
 
+def test_bpe_with_another_pattern(spark):
+    """By another pattern all pieces are its own: what it doesn't match goes, and its groups don't matter."""
+    import tiktoken
+
+    path, _ = bpe.multilingual()
+    rows = [(0, "it's 12ab,cd ef"), (1, ""), (2, None), (3, "日本語 x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = bpe.read_ranks(path)
+    for pattern in (r"\S+|\s+", r"(a|b)|[0-9]"):
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        got = {r.doc_id: r["ids"] for r in bpe.encode(df, path, pattern).collect()}
+        assert got == {i: own.encode_ordinary(t or "") for i, t in rows}
+
+
+def test_encoder_of_a_file_with_other_settings(tmp_path):
+    import json
+
+    import tokenizers
+
+    from frameloom.llm import pieces, tokenfile
+
+    settings = json.loads(open(tokenfile.byte_bpe()).read())
+    settings["pre_tokenizer"]["add_prefix_space"] = True
+    settings["added_tokens"].append(settings["added_tokens"][0] | {"id": 50257, "content": "<x>", "special": False})
+    (tmp_path / "own.json").write_text(json.dumps(settings))
+    whole = tokenizers.Tokenizer.from_file(str(tmp_path / "own.json"))
+    texts = ["one two", "a<x>b", "", "日本"]
+    encoder = pieces.library_encoder(str(tmp_path / "own.json"))
+    assert not encoder.cuts and pieces.library_encoder(tokenfile.byte_bpe()).cuts
+    ids = [i for _, _, x, _ in encoder.encode(pa.array(texts)) for i in x.tolist()]
+    assert ids == [i for t in texts for i in whole.encode(t, add_special_tokens=False).ids]
+
+
 def test_split_characters_come_back_whole():
     own = bpe.codec(*bpe.multilingual())
     text = "日本語 😀 naïve"
@@ -405,6 +472,22 @@ def test_toxicity(labelled, documents, odd_documents, no_documents):
     assert {r.score for r in toxicity.tag(documents, empty).collect()} == {0.0}
 
 
+def test_spans_of_a_long_toxic_text_take_linear_time(labelled):
+    import time
+
+    docs, labels = labelled
+    tagger = toxicity.Tagger(toxicity.train(docs, labels))
+    part = "ä idiot you moron, river "
+    taken = []
+    for n in (100, 10_000, 40_000):
+        begun = time.time()
+        score, spans = tagger.tag(pa.array([part * n]))
+        taken.append(time.time() - begun)
+        assert score[0] > 0.5 and len(spans[0]) >= n
+        assert {(part * n)[s["start"] : s["end"]] for s in spans[0]} <= {"idiot", "moron,", "idiot you moron,", "you moron,"}
+    assert taken[2] < 8 * taken[1]
+
+
 def test_runs_equal_the_full_chain():
     rng = np.random.default_rng(6)
     model = {"lexicon": np.array([1], np.uint64), "weights": np.array([1.0]), "bias": -2.0, "trans": np.array([[0.4, -1.0], [-0.5, 0.8]]), "curve": None}
