@@ -35,7 +35,7 @@ CORE = WINDOW - BLOCK + 1
 RESIDUE = BLOCK - 1 + 8
 PIECE = 1 << 20  # bytes of a long text that are looked at once
 PART = 1 << 21  # bytes of blocks that are sorted in one task
-KINDS = 1 << 11
+KINDS = 1 << 14
 
 _rng = np.random.default_rng(0x400)
 _CODE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
