@@ -84,17 +84,93 @@ def all_or_none(df: DataFrame, columns: list[str], positive: bool = True) -> Dat
     return df
 
 
+def digest_mismatches(df: DataFrame, text: str, digest: str) -> DataFrame:
+    """Rows whose digest isn't the text's SHA-256 in hex; a null text has a null digest."""
+    return df.filter(~F.sha2(text, 256).eqNullSafe(F.col(digest)))
+
+
 def digest_matches(df: DataFrame, text: str, digest: str) -> DataFrame:
-    _raise_if(df.filter(~F.sha2(text, 256).eqNullSafe(F.col(digest))).select(text, digest), f"{digest} must be the SHA-256 of {text}")
+    _raise_if(digest_mismatches(df, text, digest).select(text, digest), f"{digest} must be the SHA-256 of {text}")
+    return df
+
+
+def inconsistent_rates(df: DataFrame, rate: str, seconds: str, of: str) -> DataFrame:
+    """Rows whose ``rate`` isn't ``seconds`` over ``of`` (see ``close``), or that lack one of them, or whose ``of`` isn't positive."""
+    ok = (F.col(of) > 0) & close(F.col(rate), F.try_divide(F.col(seconds), F.col(of)))
+    return df.filter(~F.coalesce(ok, F.lit(False)))
+
+
+def consistent_rates(df: DataFrame, rate: str, seconds: str, of: str) -> DataFrame:
+    _raise_if(inconsistent_rates(df, rate, seconds, of).select(rate, seconds, of), f"{rate} must be {seconds} over {of}")
+    return df
+
+
+NUMBERS = ("start", "end", "temperature", "avg_logprob", "compression_ratio", "no_speech_prob")
+
+
+def segment_fault(segments: str, temperatures: tuple[float, ...] = (0.0,)) -> Column:
+    """What is wrong with the first faulty one of an array of recognized segments, null if nothing is: "not a number" (a field of NUMBERS is null, NaN or infinite), "temperature"
+    (none of those allowed), "order" (it ends before it starts), "probability" (outside 0 to 1), in this order. An empty or null array has none."""
+    bad = " OR ".join(f"s.{f} IS NULL OR isnan(cast(s.{f} AS double)) OR abs(s.{f}) = double('infinity')" for f in NUMBERS)
+    allowed = ", ".join(f"{t!r}D" for t in temperatures)
+    fault = f"CASE WHEN {bad} THEN 'not a number' WHEN s.temperature NOT IN ({allowed}) THEN 'temperature' WHEN s.end < s.start THEN 'order' WHEN s.no_speech_prob NOT BETWEEN 0 AND 1 THEN 'probability' END"
+    return F.expr(f"try_element_at(array_compact(transform({segments}, s -> {fault})), 1)")
+
+
+def sound_segments(df: DataFrame, key: str, segments: str, temperatures: tuple[float, ...] = (0.0,)) -> DataFrame:
+    found = df.select(key, segment_fault(segments, temperatures).alias("fault")).filter("fault is not null")
+    _raise_if(found, "segments must be sound")
     return df
 
 
+def manifest_faults(df: DataFrame) -> DataFrame:
+    """(id, problem) of ``df(id, speaker_id, clean, noisy, sample_rate, num_samples, split, noise, snr_db)``, every problem of every row: "missing <field>" (null), "unsafe id" (empty, a dot path, or with a
+    slash), "speaker" (not the id up to its first _), "<side> name" (the file's name without its ending isn't the id), and once for each id that occurs more than once "duplicate"."""
+    fields = ("id", "speaker_id", "split", "noise", "snr_db", "clean", "noisy", "sample_rate", "num_samples")
+    missing = [F.when(F.col(c).isNull(), f"missing {c}") for c in fields]
+    unsafe = (F.col("id") == "") | F.col("id").isin(".", "..") | F.contains("id", F.lit("/"))
+    stem = lambda c: F.regexp_replace(F.substring_index(c, "/", -1), r"(.)\.[^.]*$", "$1")
+    checks = [*missing, F.when(unsafe, "unsafe id"), F.when(F.substring_index("id", "_", 1) != F.col("speaker_id"), "speaker"), *(F.when(stem(c) != F.col("id"), f"{c} name") for c in ("clean", "noisy"))]
+    found = df.select("id", F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+    return found.unionByName(df.filter("id is not null").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("duplicate").alias("problem")))
+
+
+def safe_manifest(df: DataFrame) -> DataFrame:
+    """The manifest has rows, and none of the faults."""
+    if df.isEmpty():
+        raise ContractError("the manifest is empty")
+    _raise_if(manifest_faults(df), "the manifest's rows must be safe")
+    return df
+
+
+def reserved_fields(df: DataFrame, row: str, reserved: set[str]) -> DataFrame:
+    """``df`` with field: each of the ``reserved`` names that the JSON object in ``row`` has at its top level."""
+    names = F.array(*map(F.lit, sorted(reserved)))
+    return df.withColumn("field", F.explode(F.array_intersect(F.json_object_keys(row), names)))
+
+
 def without(df: DataFrame, reserved: set[str]) -> DataFrame:
     if found := reserved & set(df.columns):
         raise ContractError(f"reserved columns: {sorted(found)}")
     return df
 
 
+def others(df: DataFrame, column: str, allowed: set) -> DataFrame:
+    """Rows with another value than the allowed ones, or none."""
+    return df.filter(~F.coalesce(F.col(column).isin(sorted(allowed)), F.lit(False)))
+
+
+def only(df: DataFrame, column: str, allowed: set) -> DataFrame:
+    _raise_if(others(df, column, allowed).select(column), f"{column} must be one of {sorted(allowed)}")
+    return df
+
+
+def partial_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, rows, present, faulty): of each column, how many rows have it, and in how many it isn't finite and positive."""
+    counts = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count(c).alias("present"), F.count_if(F.isnan(c) | (F.abs(c) == float("inf")) | (F.col(c) <= 0)).alias("faulty")) for c in columns]
+    return df.agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
 def finite(samples: str | Column) -> Column:
     """An assertion to select or filter by: the array is there, and all its values are finite."""
     ok = F.forall(samples, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

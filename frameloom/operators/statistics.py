@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import random
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from . import resampling
 from .ordering import average_ranks, numbered
 
 
@@ -71,25 +69,6 @@ def most_influential(df: DataFrame, key: str, delta: str, by: list[str]) -> Data
     return df.groupBy(*by).agg(F.min_by(row, F.struct(-F.abs(delta), F.col(key))).alias("_top")).select("_top.*")
 
 
-def bootstrap_indices(n: int, draws: int, seed: int, generator: str) -> list[tuple[int, int, int]]:
-    """(draw, place, times): resamples of n places. ``generator``: python, numpy (one matrix) or choice (a call for each draw)."""
-    if generator == "python":
-        r = random.Random(seed)
-        rows = [[r.randrange(n) for _ in range(n)] for _ in range(draws)]
-    elif generator == "numpy":
-        rows = np.random.default_rng(seed).integers(0, n, (draws, n))
-    elif generator == "choice":
-        r = np.random.default_rng(seed)
-        rows = [r.choice(np.arange(n), n) for _ in range(draws)]
-    else:
-        raise ValueError("unknown generator")
-    out = []
-    for d, row in enumerate(rows):
-        places, times = np.unique(np.asarray(row), return_counts=True)
-        out += [(d, int(p), int(t)) for p, t in zip(places, times)]
-    return out
-
-
 def hashed_indices(n: int, draws: int, seed: int, spark: SparkSession) -> DataFrame:
     """(draw, place): place = the first 32 bits of MD5(seed:draw:slot) modulo n, the same in any engine."""
     df = spark.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), (F.col("id") % n).alias("slot"))
@@ -100,7 +79,7 @@ def hashed_indices(n: int, draws: int, seed: int, spark: SparkSession) -> DataFr
 def paired_bootstrap(pairs: DataFrame, key: str, errors: str, base_errors: str, total: str, draws: int, seed: int = 0, generator: str | None = None) -> DataFrame:
     """lower and upper 2.5 % limits of the rate's difference, resampling the keys together. Without ``generator``, hashed places.
 
-    Resamples are joined by place with rows in order of their keys, and summed for each draw; limits are exact percentiles.
+    ``generator``: python, numpy or choice (see ``resampling``). Resamples are joined by place with rows in order of their keys, and summed for each draw; limits are exact percentiles.
     """
     spark = pairs.sparkSession
     n = pairs.count()
@@ -108,7 +87,7 @@ def paired_bootstrap(pairs: DataFrame, key: str, errors: str, base_errors: str,
         raise ValueError("nothing to resample")
     placed = numbered(pairs.select(key, (F.col(errors) - F.col(base_errors)).alias("d"), F.col(total).alias("t")), key, "place").drop(key)
     if generator:
-        rows = spark.createDataFrame(bootstrap_indices(n, draws, seed, generator), "draw long, place long, times long")
+        rows = resampling.resamples(spark, n, draws, seed, generator)
     else:
         rows = hashed_indices(n, draws, seed, spark).groupBy("draw", "place").agg(F.count("*").alias("times"))
     each = rows.join(placed, "place").groupBy("draw").agg((F.sum(F.col("times") * F.col("d")) / F.sum(F.col("times") * F.col("t"))).alias("delta"))
