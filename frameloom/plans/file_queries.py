@@ -5,10 +5,11 @@ from __future__ import annotations
 from pathlib import Path
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import kernels
+from ..functions import kernels, recurrent
 from ..functions.settings import Framing
 from ..operators import signals, statistics
 from ..shared import scratch
@@ -301,3 +302,19 @@ def worker_ledger(spark, sf_dir):
 
     _source(spark, jobs, 3).writeStream.foreachBatch(twice).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
     return sink.rows(spark).select("stream", "seq", F.sha2("text", 256).alias("digest"), "error")
+
+
+_MODEL = recurrent.FrameModel(frame=8, bands=4, hidden=6, shortest=2, longest=16)
+
+
+@query()
+def stream_frame_model(spark, sf_dir):
+    """Events through a recurrent frame model, whose weights come from a table, chunk by chunk and out of order: samples and their activities' sum."""
+    sizes = [(name, int(np.prod(_MODEL.shape(name)))) for name in recurrent.SHAPES]
+    each = F.sin(F.crc32(F.concat_ws(":", "name", "place").cast("binary")).cast("double"))
+    weights = spark.createDataFrame(sizes, "name string, n int").select("name", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("place")).select("name", "place", each.alias("value"))
+    held = chunks.model_weights(weights)
+    df = signal(spark, sf_dir).withColumn("value", F.col("value") / 490)
+    out = _as_stream(spark, chunks.as_chunks(df, 10), lambda c: chunks.frame_model(c, _MODEL, held))
+    totals = lambda c, at: F.sum(F.expr(f"aggregate(transform({c}, (x, i) -> x * ({at})), 0D, (a, x) -> a + x)"))
+    return out.groupBy("stream").agg(F.sum(F.size("samples")).alias("n"), F.round(totals("samples", "1"), 6).alias("total"), F.sum(F.size("activity")).alias("frames"), F.round(totals("activity", "1"), 6).alias("activity"))

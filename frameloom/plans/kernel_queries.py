@@ -6,9 +6,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import endpointing, kernels, perception
+from ..functions import endpointing, kernels, perception, subbands
 from ..functions.settings import Continuity, Correction, Endpoints, EnergyActivity, Framing, Gain, Hysteresis, ImprovedMinima, Minima, Placement, StatisticalActivity
-from ..operators import signals
+from ..operators import perceived, signals
 from .derived import PAIRS, SIGNAL, pairs, signal, table, vectors
 from .queries import _FRAMES, _LIST, SHORT, SMALL, _weighted, query
 
@@ -290,10 +290,14 @@ def controller_grid(spark, sf_dir):
     return df.withColumn("y", mixed).select("variant", "stream", _weighted("y").alias("weighted"))
 
 
+def _text_samples():
+    return F.transform(F.split(F.coalesce("text", F.lit("")), ""), lambda c: (F.ascii(c) % 64 - 32) / 32.0)
+
+
 @query()
 def intelligibility(spark, sf_dir):
     """All texts as streams at 10 kHz, against themselves with their reverse added; those too short for a segment get the measure's least value."""
-    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), F.transform(F.split(F.coalesce("text", F.lit("")), ""), lambda c: (F.ascii(c) % 64 - 32) / 32.0).alias("reference"))
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), _text_samples().alias("reference"))
     df = df.withColumn("estimate", F.zip_with("reference", F.reverse("reference"), lambda x, y: x + 0.3 * y))
     return signals.per_stream(df, lambda r, e: {"stoi": round(perception.stoi(r, e, 10_000), 6)}, {"stoi": "double"}, ["reference", "estimate"])
 
@@ -341,3 +345,30 @@ def residual_noise_tracks(spark, sf_dir):
     df = signals.per_stream(pairs(spark, sf_dir), lambda r, e: {"noisy": kernels.activity_mixture(r, e - r, 5.0)}, {"noisy": "array<double>"}, ["reference", "estimate"])
     weighted = F.aggregate(F.transform("noisy", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return df.select("stream", F.round(weighted, 5).alias("weighted"))
+
+
+@query()
+def subband_vad(spark, sf_dir):
+    """All texts as streams at 8 kHz: their frames, and how many are active."""
+    c = subbands.SubBands(2, 8_000, 10, 10)
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), _text_samples().alias("samples"))
+    return signals.per_stream(df, lambda x: {"frames": len(labels := subbands.subband_activity(x, c)), "active": int(labels.sum())}, {"frames": "long", "active": "long"})
+
+
+class _Linear:
+    """A stand-in for a model: sums of a window's samples by their places."""
+
+    signature = {"x": [None, 96]}, {"y": [None, 2]}
+
+    def run(self, batch):
+        total = batch.astype(float) @ np.arange(1, 97) / 1000
+        return np.stack([total, 1 - total], axis=1)
+
+
+@query("""WITH v AS (SELECT vec_id AS stream, embedding::DOUBLE[] AS s FROM embeddings), h AS (SELECT stream, s, unnest(range(0, (128 - 96) // 16 + 1)) AS k FROM v),
+t AS (SELECT stream, list_sum(list_transform(range(1, 97), lambda i: s[(k * 16 + i - 1) % 64 + 1] * i)) / 1000 AS a FROM h)
+SELECT stream, count(*) AS hops, round(avg(a), 6) AS sig_raw, round(avg((-0.08::DOUBLE * a + 1.2::DOUBLE) * a + 0.05::DOUBLE), 6) AS sig, round(avg(1 - a), 6) AS bak_raw, round(avg(0.5::DOUBLE * (1 - a) - 1), 6) AS bak FROM t GROUP BY stream""")
+def perceived_scores(spark, sf_dir):
+    p = perceived.Protocol({"sig": (-0.08, 1.2, 0.05), "bak": (0.5, -1.0)}, samples=96, hop=16, batch=2, input="x", output="y")
+    out = perceived.scored(vectors(spark, sf_dir), _Linear, p)
+    return out.select("stream", "hops", *(F.round(c, 6).alias(c) for c in ("sig_raw", "sig", "bak_raw", "bak")))

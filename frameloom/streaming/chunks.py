@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions import endpointing, kernels
+from ..functions import endpointing, kernels, recurrent
 from ..functions.settings import Endpoints, Framing
 
 WAITING = 10_000
@@ -26,6 +26,7 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHUNK = "stream long, seq long, values array<double>, last boolean, ts timestamp"
 SAMPLES = "stream long, seq long, samples array<double>"
+FRAMES = "stream long, seq long, samples array<double>, activity array<double>"
 SEGMENTS = "stream long, start_frame long, end_frame long, speech_frames long, total_frames long, reason string"
 Memory = tuple[dict[str, list[float]], dict[str, int]]
 
@@ -62,6 +63,21 @@ class Samples:
             setattr(*self._owner(n), int(v))
 
 
+class Frames(Samples):
+    """The same of a frame model, with the activities of the frames that a chunk completes."""
+
+    columns = ("seq", "samples", "activity")
+
+    def _row(self, seq: int, samples) -> list[tuple]:
+        return [(seq, samples.tolist(), self.kernel.activities.tolist())]
+
+    def push(self, seq: int, values) -> list[tuple]:
+        return self._row(seq, self.kernel.push(values))
+
+    def flush(self, seq: int) -> list[tuple]:
+        return self._row(seq, self.kernel.flush())
+
+
 class Segments:
     """Chunks of activity, one value for each frame, to segments."""
 
@@ -289,6 +305,21 @@ def block_model(chunks: DataFrame, model: Callable, size: int = 480) -> DataFram
     return _either(chunks, lambda: Samples(Blocks(model, size)), SAMPLES, Samples.columns)
 
 
+def model_weights(table: DataFrame) -> dict[str, np.ndarray]:
+    """name to values, of ``table(name, place, value)``: a model's weights, which every task holds. Places that are missing or repeated raise."""
+    out = {}
+    for r in table.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("v")).collect():
+        if [x.place for x in r.v] != list(range(len(r.v))):
+            raise ValueError(f"{r.name}: places must be whole numbers from 0, each once")
+        out[r.name] = np.array([x.value for x in r.v], float)
+    return out
+
+
+def frame_model(chunks: DataFrame, model: recurrent.FrameModel, weights: dict[str, np.ndarray]) -> DataFrame:
+    """Chunks through a recurrent frame model: (stream, seq, samples, activity), samples in total as many as came in, an activity for each frame, and one more that the end's silence makes."""
+    return _either(chunks, lambda: Frames(recurrent.FrameState(model, weights)), FRAMES, Frames.columns)
+
+
 def endpoints(chunks: DataFrame, config: Endpoints = Endpoints()) -> DataFrame:
     """Activity chunks to segments (stream, start_frame, end_frame, speech_frames, total_frames, reason)."""
     return _either(chunks, lambda: Segments(config), SEGMENTS, Segments.columns)
