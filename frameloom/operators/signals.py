@@ -180,6 +180,12 @@ def _column_of(values: list, kind: pa.DataType) -> pa.Array:
 def per_stream(df: DataFrame, kernel: Callable[..., dict], outputs: dict[str, str], inputs: list[str] | None = None, keyed: bool = False) -> DataFrame:
     """A kernel over the arrays of each row: its results as columns (``outputs``: name to SQL type). Rows are independent, so no shuffle;
     arrays pass in Arrow batches. ``keyed`` gives the kernel the stream's key first."""
+    each = lambda *rows: [kernel(*row) for row in zip(*rows)]
+    return per_batch(df, each, outputs, inputs, keyed)
+
+
+def per_batch(df: DataFrame, kernel: Callable[..., list[dict]], outputs: dict[str, str], inputs: list[str] | None = None, keyed: bool = False) -> DataFrame:
+    """The same with a kernel that takes the arrays of all rows of a batch, a list for each input, and gives their results in order."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
@@ -190,7 +196,7 @@ def per_stream(df: DataFrame, kernel: Callable[..., dict], outputs: dict[str, st
         for batch in batches:
             arrays = [_rows_of(batch.column(k + 1)) for k in range(len(inputs))]
             keys = batch.column(0).to_pylist()
-            rows = [kernel(*([keys[i]] if keyed else []), *(a[i] for a in arrays)) for i in range(batch.num_rows)]
+            rows = kernel(*([keys] if keyed else []), *arrays) if keys else []
             yield pa.RecordBatch.from_arrays([batch.column(0), *(_column_of([r[k] for r in rows], t) for k, t in kinds.items())], ["stream", *kinds])
 
     kind = f"stream {df.schema['stream'].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in outputs.items())
@@ -198,7 +204,8 @@ def per_stream(df: DataFrame, kernel: Callable[..., dict], outputs: dict[str, st
 
 
 def enhance(df: DataFrame, method: str, at: Framing = Framing(), **settings) -> DataFrame:
-    return per_stream(df, lambda x: kernels.enhance(x, method, at, **settings), {"samples": "array<double>", "gain": "array<array<double>>"})
+    """(stream, samples, gain) of ``df(stream, samples)``; the streams of a batch are stepped side by side."""
+    return per_batch(df, lambda xs: kernels.enhance_many(xs, method, at, **settings), {"samples": "array<double>", "gain": "array<array<double>>"})
 
 
 def spectrum_power(df: DataFrame, at: Framing = Framing()) -> DataFrame:

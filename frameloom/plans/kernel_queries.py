@@ -14,8 +14,9 @@ from .queries import _FRAMES, _LIST, SHORT, SMALL, _weighted, query
 
 
 def long_streams(spark, sf_dir) -> DataFrame:
-    """(stream, samples): the events of each type in order, as one stream."""
-    df = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stream")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("a"))
+    """(stream, samples): the events of each type and of fifty users at a time, in order, as one stream; there are more streams, not longer ones, where there are more users."""
+    stream = F.concat("event_type", F.lit("_"), F.floor(F.col("user_id") / 50))
+    df = table(spark, sf_dir, "events").groupBy(stream.alias("stream")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("a"))
     return df.select("stream", F.transform("a", lambda x: x["value"]).alias("samples"))
 
 
@@ -46,7 +47,7 @@ parts AS (SELECT stream, frame, bin, sum(y * cos(2 * pi() * bin * o / {_N})) AS
 spec AS MATERIALIZED (SELECT *, re * re + im * im AS p FROM parts)"""
 
 
-_LONG = "long_ AS MATERIALIZED (SELECT event_type AS stream, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n, value FROM events)"
+_LONG = "long_ AS MATERIALIZED (SELECT event_type || '_' || (user_id // 50) AS stream, row_number() OVER (PARTITION BY event_type, user_id // 50 ORDER BY ts, event_id) - 1 AS n, value FROM events)"
 _VECTOR_POINTS = "points AS MATERIALIZED (SELECT vec_id AS stream, generate_subscripts(embedding, 1) - 1 AS n, unnest(embedding)::DOUBLE AS value FROM embeddings)"
 
 
@@ -79,25 +80,22 @@ tracked(stream, frame, bin, q, noise) AS (
     FROM tracked t JOIN present x ON x.stream = t.stream AND x.bin = t.bin AND x.frame = t.frame + 1))"""
 
 
+def _tracked(spark, sf_dir, tracker) -> DataFrame:
+    def track(xs):
+        return [{"noise": n, "presence": p} for n, p in kernels.tracked_many([np.abs(kernels.analyze(x, SHORT)) ** 2 for x in xs], tracker)]
+
+    return signals.per_batch(long_streams(spark, sf_dir), track, {"noise": "array<array<double>>", "presence": "array<array<double>>"})
+
+
 @query(f"WITH RECURSIVE {_NOISE} SELECT stream, frame, bin, round(noise, 3) AS noise, round(q, 6) AS presence FROM tracked")
 def noise_psd(spark, sf_dir):
-    def track(x):
-        noise, presence = kernels.MinimaTracker().run(np.abs(kernels.analyze(x, SHORT)) ** 2)
-        return {"noise": noise, "presence": presence}
-
-    df = signals.per_stream(long_streams(spark, sf_dir), track, {"noise": "array<array<double>>", "presence": "array<array<double>>"})
+    df = _tracked(spark, sf_dir, kernels.MinimaTracker)
     return _cells(df, "noise", "presence").select("stream", "frame", "bin", F.round("noise", 3).alias("noise"), F.round("presence", 6).alias("presence"))
 
 
 @query()
 def improved_noise_psd(spark, sf_dir):
-    def track(x):
-        tracker = kernels.ImprovedMinimaTracker(ImprovedMinima())
-        noise, presence = zip(*(tracker.step(p) for p in np.abs(kernels.analyze(x, SHORT)) ** 2))
-        return {"noise": np.array(noise), "presence": np.array(presence)}
-
-    df = signals.per_stream(long_streams(spark, sf_dir), track, {"noise": "array<array<double>>", "presence": "array<array<double>>"})
-    return _cells(df, "noise", "presence")
+    return _cells(_tracked(spark, sf_dir, lambda: kernels.ImprovedMinimaTracker(ImprovedMinima())), "noise", "presence")
 
 
 _G = Gain()
