@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .contracts import ContractError, _raise_if
+from . import contracts
+from .ordering import bands
 
 
 def ranked(df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
@@ -62,11 +64,40 @@ def first_utterances(df: DataFrame, key: str, ordinal: str, n: int) -> DataFrame
     return df.join(F.broadcast(first), key, "left_semi") if n <= 100_000 else df.join(first, key, "left_semi")
 
 
+def _lead(df: DataFrame, key: str) -> Column:
+    """A number that ascends with ``key``: itself, or the first six bytes of a string."""
+    if df.schema[key].dataType.simpleString() != "string":
+        return F.col(key).cast("double")
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 def review_candidates(df: DataFrame, partition: str, key: str) -> DataFrame:
-    """The first, middle and last key of each partition, each once."""
-    w = Window.partitionBy(partition)
-    at = df.withColumns({"_i": F.row_number().over(w.orderBy(key)) - 1, "_n": F.count("*").over(w)})
-    return at.filter((F.col("_i") == 0) | (F.col("_i") == F.floor(F.col("_n") / 2)) | (F.col("_i") == F.col("_n") - 1)).drop("_i", "_n")
+    """The first, middle and last key of each partition, each once. Keys are counted in bands, and only the bands that hold these places are sorted."""
+    df = df.withColumn("_lead", _lead(df, key))
+    df = df.withColumn("_band", bands(df, "_lead"))
+    w = Window.partitionBy(partition)  # a row for each band
+    sizes = df.groupBy(partition, "_band").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumns({"_before": F.sum("_n").over(w.orderBy("_band")) - F.col("_n"), "_all": F.sum("_n").over(w)})
+    places = F.array(F.lit(0).cast("long"), F.floor(F.col("_all") / 2), F.col("_all") - 1)
+    sizes = sizes.withColumn("_at", F.filter(places, lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_n")))).filter(F.size("_at") > 0)
+    held = df.join(sizes.select(F.col(partition).alias("_p"), F.col("_band").alias("_b"), "_before", "_at"), F.col(partition).eqNullSafe(F.col("_p")) & (F.col("_band") == F.col("_b")))
+    at = held.withColumn("_i", F.row_number().over(Window.partitionBy(partition, "_band").orderBy(key)) - 1 + F.col("_before"))
+    return at.filter(F.array_contains("_at", F.col("_i"))).drop("_i", "_at", "_before", "_p", "_b", "_band", "_lead")
+
+
+def first_rows(df: DataFrame, ordinal: str, n: int) -> DataFrame:
+    """The ``n`` rows of lowest ``ordinal``, which is unique; a manifest's limit."""
+    return df.orderBy(ordinal).limit(n)
+
+
+def distinct_in_order(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """One row for each value of ``keys``, with the ordinal of its first appearance."""
+    return df.groupBy(*keys).agg(F.min(ordinal).alias(ordinal))
+
+
+def missing_and_extra(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, side): missing where only ``expected`` has them, extra where only ``found`` does; none where both sets are equal."""
+    return contracts.orphans(expected, found, keys).withColumn("side", F.when(F.col("side") == "left", "missing").otherwise("extra"))
 
 
 def partition_summary(df: DataFrame, partition: str, speaker: str, samples: str, rate: int = 16000) -> DataFrame:

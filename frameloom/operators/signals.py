@@ -30,6 +30,12 @@ def frame_members(df: DataFrame, at: Framing, lead: int = 0) -> DataFrame:
     return rows.select("stream", "frame", (F.col("n") + lead - F.col("frame") * at.hop).alias("offset"), "value")
 
 
+def frames_of_milliseconds(milliseconds: Column, frame: float = 10.0) -> Column:
+    """Frames that hold so many milliseconds, the last begun one counted; others than positive numbers raise."""
+    whole = F.ceil(milliseconds / frame).cast("long")
+    return F.when(milliseconds > 0, whole).otherwise(F.raise_error(F.lit("milliseconds must be positive")).cast("long"))
+
+
 def frame_energy(df: DataFrame, at: Framing, least_db: float = -120.0, lead: int = 0) -> DataFrame:
     """(stream, frame, samples, energy_db): zeros fill the frames up."""
     out = frame_members(df, at, lead).groupBy("stream", "frame").agg(F.count("*").alias("samples"), F.sum(F.col("value") * F.col("value")).alias("_s"))

@@ -343,6 +343,46 @@ def review_candidates(spark, sf_dir):
     return sampling.review_candidates(manifest(spark, sf_dir), "split", "id").select("split", "id")
 
 
+@query(f"WITH {MANIFEST} SELECT id, split FROM manifest ORDER BY id LIMIT 25")
+def manifest_limit(spark, sf_dir):
+    return sampling.first_rows(manifest(spark, sf_dir), "id", 25).select("id", "split")
+
+
+@query(f"WITH {MANIFEST} SELECT id, split, snr_db, NULL AS toxic FROM manifest UNION ALL SELECT doc_id, 'labelled', NULL, toxic FROM labels")
+def manifest_union(spark, sf_dir):
+    """Manifests of different columns one after the other; what one lacks is null."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("labelled").alias("split"), "toxic")
+    return manifest(spark, sf_dir).select("id", "split", "snr_db").unionByName(labels, allowMissingColumns=True)
+
+
+@query("SELECT DISTINCT o_custkey AS custkey, 'missing' AS side FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) UNION ALL SELECT c_custkey, 'extra' FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_and_extra(spark, sf_dir):
+    expected = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"))
+    found = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("custkey"))
+    return sampling.missing_and_extra(expected, found, ["custkey"])
+
+
+@query("SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY source, lang")
+def distinct_in_order(spark, sf_dir):
+    return sampling.distinct_in_order(table(spark, sf_dir, "documents"), ["source", "lang"], "doc_id")
+
+
+@query("WITH s AS (SELECT o_orderkey, count(*) FILTER (l_discount > 0.05) AS n, max(l_discount::DOUBLE) AS most FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, l_orderkey) SELECT o_orderkey, CASE WHEN most IS NOT NULL THEN n > 0 END AS anomalous, CASE WHEN most IS NOT NULL THEN n END AS \"count\", most FROM s")
+def compression_flags(spark, sf_dir):
+    """Orders' lines as segments; orders without lines have none."""
+    ratio = F.struct(F.col("l_discount").cast("double").alias("compression_ratio"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(ratio).alias("segments"))
+    df = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    return df.select("o_orderkey", scoring.compression_anomaly(0.05).alias("c")).select("o_orderkey", "c.*")
+
+
+@query("SELECT l_orderkey, l_linenumber, ceil(l_quantity::DOUBLE * 7 / 10)::BIGINT AS frames, round(ceil(l_quantity::DOUBLE * 7 / 10) * 0.01, 6) AS seconds FROM lineitem")
+def frame_counts(spark, sf_dir):
+    """Milliseconds as frames of ten, begun ones counted, and these as seconds."""
+    frames = signals.frames_of_milliseconds(F.col("l_quantity").cast("double") * 7)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", frames.alias("frames"), F.round(frames * 0.01, 6).alias("seconds"))
+
+
 @query("WITH f AS (SELECT conv_id FROM (SELECT conv_id, min(turn * 1000000 + conv_id) AS o FROM conversations GROUP BY conv_id) ORDER BY o, conv_id LIMIT 20) SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM f)")
 def first_utterances(spark, sf_dir):
     df = table(spark, sf_dir, "conversations").withColumn("ordinal", F.col("turn") * 1000000 + F.col("conv_id"))

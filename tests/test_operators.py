@@ -154,3 +154,25 @@ def test_endpoint_chunks(spark):
     assert [(r.start_frame, r.end_frame, r.reason) for r in got] == [(0, 6, "silence")]
     with pytest.raises(Exception, match="came twice"):
         chunks.endpoints(df.union(df.filter(F.col("seq") == 1))).collect()
+
+
+def test_review_candidates_are_places_of_a_sort(spark):
+    import random
+
+    rng = random.Random(3)
+    for ids in ([f"p{rng.randrange(9)}_{i:03}" for i in range(150)], ["same prefix " + "x" * i for i in range(40)], ["é", "z", "a"], ["one"]):
+        rows = [(s, i) for s in ("dev", "test", None) for i in ids]
+        rng.shuffle(rows)
+        got = sampling.review_candidates(spark.createDataFrame(rows, "split string, id string"), "split", "id").collect()
+        ordered = sorted(ids, key=lambda x: x.encode())
+        want = {ordered[0], ordered[len(ids) // 2], ordered[-1]}
+        assert sorted((str(r.split), r.id) for r in got) == sorted((str(s), i) for s in ("dev", "test", None) for i in want)
+
+
+def test_sets_of_manifests(spark):
+    df = spark.createDataFrame([(3, "b"), (1, "a"), (2, "b"), (4, None), (5, None)], "n long, id string")
+    assert [r.n for r in sampling.first_rows(df, "n", 2).collect()] == [1, 2]
+    assert {(r.id, r.n) for r in sampling.distinct_in_order(df, ["id"], "n").collect()} == {("a", 1), ("b", 2), (None, 4)}
+    other = spark.createDataFrame([("b",), ("c",)], "id string")
+    assert {tuple(r) for r in sampling.missing_and_extra(df.filter("id is not null"), other, ["id"]).collect()} == {("a", "missing"), ("c", "extra")}
+    assert sampling.missing_and_extra(other, other, ["id"]).count() == 0
