@@ -10,7 +10,7 @@ BANDS = 64
 def bands(df: DataFrame, value: str, n: int = BANDS) -> Column:
     """The band of ``value``, a number, from 0: about as many rows of ``df`` in each of ``n``. Equal values share one; only the bounds come to the driver."""
     bounds = sorted(set(df.approxQuantile(value, [k / n for k in range(1, n)], 0.25 / n)))
-    return F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col(value)))
+    return sum((F.coalesce((F.col(value) > b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
 
 
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:

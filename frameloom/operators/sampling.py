@@ -75,12 +75,13 @@ def review_candidates(df: DataFrame, partition: str, key: str) -> DataFrame:
     """The first, middle and last key of each partition, each once. Keys are counted in bands, and only the bands that hold these places are sorted."""
     df = df.withColumn("_lead", _lead(df, key))
     df = df.withColumn("_band", bands(df, "_lead"))
-    w = Window.partitionBy(partition)  # a row for each band
-    sizes = df.groupBy(partition, "_band").agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumns({"_before": F.sum("_n").over(w.orderBy("_band")) - F.col("_n"), "_all": F.sum("_n").over(w)})
-    places = F.array(F.lit(0).cast("long"), F.floor(F.col("_all") / 2), F.col("_all") - 1)
-    sizes = sizes.withColumn("_at", F.filter(places, lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_n")))).filter(F.size("_at") > 0)
-    held = df.join(sizes.select(F.col(partition).alias("_p"), F.col("_band").alias("_b"), "_before", "_at"), F.col(partition).eqNullSafe(F.col("_p")) & (F.col("_band") == F.col("_b")))
+    sizes = df.select(F.col(partition).alias("_p"), F.col("_band").alias("_b")).groupBy("_p", "_b").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_p")  # a row for each band
+    sizes = sizes.withColumns({"_upto": F.sum("_n").over(w.orderBy("_b")), "_all": F.sum("_n").over(w)}).withColumn("_before", F.col("_upto") - F.col("_n"))
+    places = [F.lit(0).cast("long"), F.floor(F.col("_all") / 2), F.col("_all") - 1]
+    here = F.array_compact(F.array(*(F.when((p >= F.col("_before")) & (p < F.col("_upto")), p) for p in places)))
+    sizes = sizes.select("_p", "_b", "_before", here.alias("_at")).filter(F.size("_at") > 0)
+    held = df.join(sizes, F.col(partition).eqNullSafe(F.col("_p")) & (F.col("_band") == F.col("_b")))
     at = held.withColumn("_i", F.row_number().over(Window.partitionBy(partition, "_band").orderBy(key)) - 1 + F.col("_before"))
     return at.filter(F.array_contains("_at", F.col("_i"))).drop("_i", "_at", "_before", "_p", "_b", "_band", "_lead")
 
