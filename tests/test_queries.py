@@ -176,9 +176,6 @@ def test_normalized_english(spark):
 
 
 def test_token_counts(spark):
-    import sys
-
-    sys.path.insert(0, "/opt")
     path = "/opt/tokenizers/byte_bpe_50k.json"
     from tokenizers import Tokenizer
 
