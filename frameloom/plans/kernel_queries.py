@@ -69,8 +69,8 @@ def overlap_add_sql(spark, sf_dir):
 
 
 _M = Minima()
-_NOISE = f"""{_LONG}, {_spectra('long_')},
-near AS MATERIALIZED (SELECT a.stream, a.frame, a.bin, a.p, 0.25 * lo.p + 0.5 * a.p + 0.25 * hi.p AS now FROM spec a JOIN spec lo ON lo.stream = a.stream AND lo.frame = a.frame AND lo.bin = greatest(a.bin - 1, 0) JOIN spec hi ON hi.stream = a.stream AND hi.frame = a.frame AND hi.bin = least(a.bin + 1, {_BINS - 1})),
+#: tracked(stream, frame, bin, q, noise) of spec(stream, frame, bin, p)
+_TRACK = f"""near AS MATERIALIZED (SELECT a.stream, a.frame, a.bin, a.p, 0.25 * lo.p + 0.5 * a.p + 0.25 * hi.p AS now FROM spec a JOIN spec lo ON lo.stream = a.stream AND lo.frame = a.frame AND lo.bin = greatest(a.bin - 1, 0) JOIN spec hi ON hi.stream = a.stream AND hi.frame = a.frame AND hi.bin = least(a.bin + 1, {_BINS - 1})),
 calm(stream, frame, bin, s) AS (SELECT stream, frame, bin, now FROM near WHERE frame = 0 UNION ALL SELECT x.stream, x.frame, x.bin, {_M.smoothing}::DOUBLE * c.s + (1 - {_M.smoothing}::DOUBLE) * now FROM calm c JOIN near x ON x.stream = c.stream AND x.bin = c.bin AND x.frame = c.frame + 1),
 least_ AS (SELECT *, min(s) OVER (PARTITION BY stream, bin ORDER BY frame ROWS {_M.window - 1} PRECEDING) AS least FROM calm),
 present AS MATERIALIZED (SELECT l.stream, l.frame, l.bin, x.p, (s / greatest(least, {_EPS}) > {_M.ratio})::INT::DOUBLE AS here FROM least_ l JOIN spec x ON x.stream = l.stream AND x.frame = l.frame AND x.bin = l.bin),
@@ -78,6 +78,7 @@ tracked(stream, frame, bin, q, noise) AS (
   SELECT stream, frame, bin, (1 - {_M.presence_memory}::DOUBLE) * here, p FROM present WHERE frame = 0
   UNION ALL SELECT stream, frame, bin, q, a * noise + (1 - a) * p FROM (SELECT x.stream, x.frame, x.bin, x.p, t.noise, {_M.presence_memory}::DOUBLE * t.q + (1 - {_M.presence_memory}::DOUBLE) * here AS q, {_M.noise_memory}::DOUBLE + (1 - {_M.noise_memory}::DOUBLE) * ({_M.presence_memory}::DOUBLE * t.q + (1 - {_M.presence_memory}::DOUBLE) * here) AS a
     FROM tracked t JOIN present x ON x.stream = t.stream AND x.bin = t.bin AND x.frame = t.frame + 1))"""
+_NOISE = f"{_LONG}, {_spectra('long_')}, {_TRACK}"
 
 
 def _tracked(spark, sf_dir, tracker) -> DataFrame:
@@ -198,9 +199,20 @@ def energy_vad(spark, sf_dir):
 STATISTICAL = StatisticalActivity(frame=SMALL, fft=16, band=(0.0, 8000.0), machine=Hysteresis(0.8, 0.79, 1, 2, 1, 1))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIGNAL}, sizes AS (SELECT stream, count(*) AS size FROM signal GROUP BY stream),
+cells AS (SELECT stream, unnest(range(0, (greatest(ceil((size - {SMALL.length}) / {SMALL.hop}.0), 0) + 1)::BIGINT)) AS frame FROM sizes),
+framed AS (SELECT c.stream, frame, o, (0.5 - 0.5 * cos(2 * pi() * o / {SMALL.length})) * coalesce(value, 0) AS y FROM (SELECT * FROM cells, range(0, {SMALL.length}) t(o)) c LEFT JOIN signal s ON s.stream = c.stream AND s.n = frame * {SMALL.hop} + o),
+parts AS (SELECT stream, frame, bin, sum(y * cos(2 * pi() * bin * o / {STATISTICAL.fft})) AS re, sum(y * sin(2 * pi() * bin * o / {STATISTICAL.fft})) AS im FROM framed, range(0, {STATISTICAL.fft // 2 + 1}) t(bin) GROUP BY ALL),
+spec AS MATERIALIZED (SELECT stream, frame, bin, re * re + im * im AS p FROM parts), {_TRACK},
+seen AS MATERIALIZED (SELECT t.stream, t.frame, t.bin, p, noise, least(greatest(p / greatest(noise, {_EPS}), 0), {_MOST}) AS gamma FROM tracked t JOIN spec x ON x.stream = t.stream AND x.frame = t.frame AND x.bin = t.bin),
+directed(stream, frame, bin, p, noise, gamma, xi) AS (SELECT stream, frame, bin, p, noise, gamma, least(greatest(gamma - 1, 0), {_MOST}) FROM seen WHERE frame = 0
+  UNION ALL SELECT x.stream, x.frame, x.bin, x.p, x.noise, x.gamma, least(greatest({STATISTICAL.memory}::DOUBLE * pow(d.xi / (1 + d.xi), 2) * d.p / greatest(d.noise, {_EPS}) + (1 - {STATISTICAL.memory}::DOUBLE) * greatest(x.gamma - 1, 0), 0), {_MOST})
+    FROM directed d JOIN seen x ON x.stream = d.stream AND x.bin = d.bin AND x.frame = d.frame + 1),
+scored AS MATERIALIZED (SELECT stream, frame AS n, avg(gamma * xi / (1 + xi) - ln(1 + xi)) AS score FROM directed GROUP BY ALL), {_machine_sql(STATISTICAL.machine, 'scored')}
+SELECT l.stream, l.n, round(score, 6) AS margin, label FROM labelled l JOIN scored s ON s.stream = l.stream AND s.n = l.n""")
 def statistical_vad(spark, sf_dir):
-    return signals.per_stream(_arrays(spark, sf_dir), lambda x: {k: v for k, v in kernels.statistical_activity(x, STATISTICAL).items() if k in ("margin", "labels")}, {"margin": "array<double>", "labels": "array<boolean>"})
+    df = signals.per_stream(_arrays(spark, sf_dir), lambda x: {k: v for k, v in kernels.statistical_activity(x, STATISTICAL).items() if k in ("margin", "labels")}, {"margin": "array<double>", "labels": "array<boolean>"})
+    return _points(df, "margin", "labels").select("stream", "n", F.round("margin", 6).alias("margin"), F.col("labels").alias("label"))
 
 
 _P = Endpoints(on=0.3, off=0.15, onset=1, hangover=3, preroll=2, least_speech=2, maximum=20)
