@@ -94,26 +94,26 @@ def test_contracts_raise_and_pass_their_rows_on(spark):
 
 # A published table of metrics (files in order), and its published summary
 PUBLISHED = {
-    ("r3_official", "si_sdri_db"): """
+    ("as_it_is", "si_sdri_db"): """
         -1.2303097776510938 1.5926035219107373 6.668421771924307 7.209413272727661 -3.767195381107806 -0.12870476633429817 5.197905279938232 4.3355809085436094 -3.331478590372347
         1.4217835166624937 3.089532747053317 7.528208974898378 -2.3496266822428975 1.9955138001287605 6.564187721969017 9.98100379265814 -4.830276876479303 2.1959284960346785
         4.079213496094054 6.50185274180533 -2.5704081833655703 1.6852664263401635 5.674018845519226 7.058981689407977 -4.660763118685097 1.6577762425203364 5.853990894367727
         4.600376873781668 -0.8390529483190896 1.4261826427538669
     """,
-    ("r3_official", "stoi_improvement"): """
+    ("as_it_is", "stoi_improvement"): """
         -0.017246900170488466 -0.015426610771612004 -0.012438125117631316 0.011555427992354095 -0.0036980052717400236 0.009049654485184133 0.0034891770779349462
         0.051941019590155624 -0.020909746088508374 -0.014876251105403138 -0.015036164706658361 0.012553183867749507 -0.03705584324490563 -0.021069293813000933
         -0.01791051578372993 -0.003872631924807468 -0.031669937848843865 0.0007141831870404181 0.0028751424893084243 0.017016532653892247 -0.0035911068093428256
         -0.043170329760305104 -0.015175668898165462 0.037437193775323396 -0.01132863230687775 0.0014218160358920873 -0.0011551485966533326 0.060636933930525716
         -0.022914911177481234 0.007516456860363063
     """,
-    ("c1_continuity_3db", "si_sdri_db"): """
+    ("boosted_3db", "si_sdri_db"): """
         -1.2604665333626208 1.5408491913855134 6.549880835112702 7.1593771727841125 -3.8032942280833595 -0.17600923057224271 5.157882985997241 4.290790101552108 -3.3638405676225
         1.3140759821190109 2.9681954378642033 7.473978029819584 -2.4189763833517812 1.9040438833424833 6.424239141518255 9.890123585112896 -4.891147850148844 2.1187918162379056
         4.015772848459848 6.423707661889582 -2.6211148557478374 1.6134019895385592 5.511064383024987 7.001282572634129 -4.698902029502772 1.5863389234427334 5.823249680662474
         4.508606280806778 -0.9607981191604402 1.2898430283763371
     """,
-    ("c1_continuity_3db", "stoi_improvement"): """
+    ("boosted_3db", "stoi_improvement"): """
         -0.01646829793087634 -0.017311400243086972 -0.013426036116450768 0.012178111489248966 -0.0053520714963132265 0.007777908709256431 0.0024749653139786165
         0.051256240060340796 -0.022095512032579645 -0.015862023808454362 -0.016460789523321973 0.011561603450460312 -0.03803741953017403 -0.021747997735298785
         -0.01918164973543668 -0.005205210695269469 -0.03191689849236523 -0.0010010547542631532 0.002390138423600363 0.01665062851573773 -0.004364640338134107 -0.043890563290373
@@ -121,8 +121,8 @@ PUBLISHED = {
     """,
 }
 SUMMARY = {
-    "r3_official": {"si_sdri_db": (2.4203309110827393, 2.0957211480817195, 0.7), "stoi_improvement": (-0.003077970048347719, -0.003785318598273746, 0.4)},
-    "c1_continuity_3db": {"si_sdri_db": (2.3456981911376347, 2.0114178497901944, 0.7), "stoi_improvement": (-0.003738122017669776, -0.005278641095791348, 0.4)},
+    "as_it_is": {"si_sdri_db": (2.4203309110827393, 2.0957211480817195, 0.7), "stoi_improvement": (-0.003077970048347719, -0.003785318598273746, 0.4)},
+    "boosted_3db": {"si_sdri_db": (2.3456981911376347, 2.0114178497901944, 0.7), "stoi_improvement": (-0.003738122017669776, -0.005278641095791348, 0.4)},
 }
 
 
