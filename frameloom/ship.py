@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,4 +21,7 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(package.rglob("*.py")):
             z.write(path, path.relative_to(package.parent))
     context.addPyFile(str(out))
+    # workers that the driver starts for itself, as those that prepare a stateful stream, don't get the files that executors are sent
+    paths = [str(out), context.environment.get("PYTHONPATH", "")]
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, paths))
     context._has_frameloom = True
