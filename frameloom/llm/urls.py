@@ -20,12 +20,11 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import store
+from . import skew, store
 
 SUPPORT, LEAST, CONFIDENCE = 0.001, 5, 0.5
 LIFT = {"block": 1.5, "allow": 1.1}
 LONGEST = 4  # tokens of a mined rule, verdict included
-SALTS = 16
 BLOCK, ALLOW = "=block", "=allow"
 RULES = (
     ("allow", "com", "/"),
@@ -154,9 +153,10 @@ def labelled_urls(urls: DataFrame, labels: DataFrame) -> DataFrame:
     number = F.expr("try_cast(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1) as bigint)")
     distinct = urls.select("url", "host", "path").filter("url is not null").distinct().withColumn("doc_id", number).filter("doc_id is not null")
     bad = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
-    # many URLs may end in one number
-    bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = distinct.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).join(bad, ["doc_id", "salt"])
+    # many URLs may end in one number; labels are met by exchange, as their table may be large
+    rows = store.materialize(distinct, "numbered")
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    joined = skew.meet(rows, bad.join(counts.hint("merge"), "doc_id").hint("merge"), ["doc_id"], rows.count())
     return joined.select("url", "host", "path", F.when(F.col("bad") == 1, "block").otherwise("allow").alias("verdict"))
 
 

@@ -146,6 +146,17 @@ def test_verdicts_equal_brute_force(spark, tmp_path):
     assert tried["block", "block"] > tried.get(("block", "allow"), 0)
 
 
+def test_labels_are_met_without_copies_of_them(spark):
+    """Most URLs end in one number; the labels' table may be large, so it is neither multiplied nor sent to all."""
+    rows = [(f"http://a.org/{7 if i % 3 else i}?n={i}", "a.org", f"/{7 if i % 3 else i}") for i in range(3000)]
+    labels = [(i, int(i % 5 > 0), int(i == 7)) for i in range(2000)]
+    found = urls.labelled_urls(spark.createDataFrame(rows, "url string, host string, path string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    bad = {i: q == 0 or t == 1 for i, q, t in labels}
+    want = [(*r, "block" if bad[int(r[2][1:])] else "allow") for r in rows if int(r[2][1:]) in bad]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_shared_parameters_are_mined_as_one(spark):
     """Two hundred URLs with forty parameters each: every set of these has the same URLs."""
     rng = random.Random(8)
