@@ -158,9 +158,10 @@ def archived_audio(spark, sf_dir):
     packed = files.encoded_audio(_audio(vectors(spark, sf_dir))).withColumn("name", F.concat(F.lit("clips/"), "name"))
     written = archives.write_archives(packed, scratch(spark, "archive"))
     # written once: the paths are those of the archives that the first pass makes
-    written = spark.createDataFrame(written.collect(), written.schema)
+    made = written.collect()
+    written = spark.createDataFrame(made, written.schema)
     folder = scratch(spark, "clips")
-    files.extract_audio(spark, _in_ranges(spark, written, 3, b"beyond the range"), folder)
+    files.extract_audio(spark, _in_ranges(spark, written, 3, b"beyond the range"), folder, most_files=sum(r.members for r in made))
     return files.read_audio(spark, folder).select("stem", _weighted("samples").alias("weighted"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.operators.contracts import ContractError
+from frameloom.plans import file_queries
 from frameloom.sources import archives, files
 
 
@@ -142,3 +143,10 @@ def test_condition_log_of_an_archive(spark, tmp_path):
         files.read_condition_log_zip(spark, [uri], "nothing")
     with pytest.raises(ContractError):
         files.read_condition_log_zip(spark, [uri], "readme.md")
+
+
+def test_as_many_clips_are_unpacked_as_were_packed(spark, monkeypatch):
+    """The query counts what it packs; the reader's usual limit doesn't bind it."""
+    monkeypatch.setattr(files.extract_audio, "__defaults__", (5, 1 << 40))
+    sf = "/root/testdata/sf0.001"
+    assert file_queries.QUERIES["archived_audio"](spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count() > 5
