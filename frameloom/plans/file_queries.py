@@ -173,7 +173,9 @@ FILES = 8  # of one part
 
 def _source(spark: SparkSession, df: DataFrame, parts: int) -> DataFrame:
     """``df(stream, seq, ...)`` as a stream, every how manyth chunk at a time, so that chunks arrive out of order."""
-    source = scratch(spark, "source")
+    source, whole = scratch(spark, "source"), scratch(spark, "chunks")
+    df.write.parquet(whole)
+    df = spark.read.schema(df.schema).parquet(whole)
     for k in range(parts):
         df.filter(F.pmod(F.col("seq") * 7 + F.col("stream"), F.lit(parts)) == k).repartition(FILES).write.mode("append").parquet(source)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(source)

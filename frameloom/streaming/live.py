@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .chunks import ROCKS, STORE, StoredWaiting, Turn, Waiting, _either
+from .chunks import PACKED, ROCKS, STORE, Turn, Waiting, _either, packed, unpacked
 
 SIDES = ("samples", "activity")
 ALIGNED = "stream long, frame long, activity double, samples array<double>"
@@ -46,29 +46,29 @@ class AlignedStreams(StatefulProcessor):
         self.size, self.ahead = size, ahead
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        turn = ", ".join(f"{side}_following long, {side}_ahead long, {side}_ended boolean" for side in SIDES)
-        self.turns = handle.getValueState("turns", turn)
-        self.pairing = handle.getValueState("pairing", "frame long, samples array<double>, activity array<double>")
-        self.early = {side: handle.getMapState(f"early_{side}", "seq long", "values array<double>, last boolean") for side in SIDES}
+        turn = ", ".join(f"{side}_following long, {side}_ended boolean, {PACKED.format(f'{side}_')}" for side in SIDES)
+        self.state = handle.getValueState("state", f"frame long, samples array<double>, activity array<double>, {turn}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pairing = Pairing(self.size)
-        turns = {side: Turn(key[0], StoredWaiting(self.early[side])) for side in SIDES}
-        if self.turns.exists():
-            held = self.turns.get()
-            for k, side in enumerate(SIDES):
-                turns[side].following, turns[side].ahead, turns[side].ended = held[3 * k : 3 * k + 3]
-            pairing.frame, samples, activity = self.pairing.get()
+        turns = {side: Turn(key[0], Waiting()) for side in SIDES}
+        held = self.state.get()
+        if held is not None:
+            pairing.frame, samples, activity = held[:3]
             pairing.held = {"samples": np.array(samples, float), "activity": np.array(activity, float)}
+            for k, side in enumerate(SIDES):
+                following, ended, *waiting = held[3 + 6 * k : 9 + 6 * k]
+                waiting = unpacked(*waiting)
+                turns[side] = Turn(key[0], waiting, following, len(waiting.held))
+                turns[side].ended = ended
         out = _paired(pairing, turns, rows, key[0])
         if pairing.ahead() > self.ahead:
             raise ValueError(f"stream {key[0]}: one side is {pairing.ahead()} frames ahead")
         if all(t.ended for t in turns.values()):
-            for state in (self.turns, self.pairing, *self.early.values()):
-                state.clear()
+            self.state.clear()
         else:
-            self.turns.update(tuple(x for t in turns.values() for x in (t.following, t.ahead, t.ended)))
-            self.pairing.update((pairing.frame, *(pairing.held[side].tolist() for side in SIDES)))
+            sides = (x for t in turns.values() for x in (t.following, t.ended, *packed(t.waiting)))
+            self.state.update((pairing.frame, *(pairing.held[side].tolist() for side in SIDES), *sides))
         if out:
             yield _aligned_rows(out, key[0])
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,48 @@ def test_repeated_batches_add_no_rows(spark, tmp_path):
     assert [r.error for r in rows if r.error] == ["AttributeError: 'NoneType' object has no attribute 'upper'"]
     assert all(abs(r.end_to_text_seconds - r.queue_seconds - r.work_seconds) < 1e-6 and r.queue_seconds > 0 for r in rows)
     assert {(r.batch, r.jobs, r.errors) for r in sink.entries(spark).collect()} == {(0, 3, 1), (1, 1, 0)}
+
+
+class CountedState:
+    """A handle of one key, whose states count what is asked of them."""
+
+    def __init__(self):
+        self.asked, self.value, self.entries = 0, None, {}
+
+    def getValueState(self, name, schema):
+        return self.view(lambda: self.value, lambda v: setattr(self, "value", v), lambda: setattr(self, "value", None))
+
+    def getMapState(self, name, key, schema):
+        return self.view(self.entries.get, self.entries.__setitem__, self.entries.clear)
+
+    def view(self, get, put, clear):
+        def counted(f):
+            def run(*args):
+                self.asked += 1
+                return f(*args)
+
+            return run
+
+        names = {"get": get, "update": put, "clear": clear, "getValue": get, "updateValue": put, "containsKey": lambda k: k in self.entries, "removeKey": self.entries.pop, "exists": lambda: self.value is not None}
+        return type("State", (), {k: staticmethod(counted(f)) for k, f in names.items()})()
+
+
+def test_state_is_asked_once_a_batch_and_not_once_a_chunk():
+    values = [float(i) for i in range(200)]
+    rows = [(i // 2, values[i : i + 2], i + 2 >= len(values)) for i in range(0, len(values), 2)]
+    handle, got = CountedState(), []
+    operator = chunks.Ordered(lambda: chunks.Samples(chunks.Blocks(lambda b: 2 * b, 12)), chunks.Samples.columns, None)
+    operator.init(handle)
+    for part in (rows[1::3], rows[2::3], rows[::3]):
+        for pdf in operator.handleInputRows((1,), iter([pd.DataFrame(part, columns=["seq", "values", "last"])]), None):
+            got += [v for x in pdf.sort_values("seq")["samples"] for v in x]
+    assert got == [2 * v for v in values] and handle.value is None
+    assert handle.asked <= 6
+
+
+def test_what_waits_is_packed_whole():
+    waiting = chunks.Waiting()
+    for seq, values, last in ((7, [1.0, 2.0], False), (3, None, False), (5, [], True)):
+        waiting.put(seq, values, last)
+    back = chunks.unpacked(*chunks.packed(waiting)).held
+    assert {k: (None if v is None else list(v), last) for k, (v, last) in back.items()} == {7: ([1.0, 2.0], False), 3: (None, False), 5: ([], True)}
