@@ -204,15 +204,15 @@ class CountedState:
     """A handle of one key, whose states count what is asked of them."""
 
     def __init__(self):
-        self.asked, self.value, self.entries = 0, None, {}
+        self.asked, self.values, self.entries = 0, {}, {}
 
     def getValueState(self, name, schema):
-        return self.view(lambda: self.value, lambda v: setattr(self, "value", v), lambda: setattr(self, "value", None))
+        return self.view(lambda: self.values.get(name), lambda v: self.values.update({name: v}), lambda: self.values.pop(name, None), lambda: name in self.values)
 
     def getMapState(self, name, key, schema):
         return self.view(self.entries.get, self.entries.__setitem__, self.entries.clear)
 
-    def view(self, get, put, clear):
+    def view(self, get, put, clear, exists=None):
         def counted(f):
             def run(*args):
                 self.asked += 1
@@ -220,7 +220,7 @@ class CountedState:
 
             return run
 
-        names = {"get": get, "update": put, "clear": clear, "getValue": get, "updateValue": put, "containsKey": lambda k: k in self.entries, "removeKey": self.entries.pop, "exists": lambda: self.value is not None}
+        names = {"get": get, "update": put, "clear": clear, "getValue": get, "updateValue": put, "containsKey": lambda k: k in self.entries, "removeKey": self.entries.pop, "exists": exists}
         return type("State", (), {k: staticmethod(counted(f)) for k, f in names.items()})()
 
 
@@ -233,7 +233,7 @@ def test_state_is_asked_once_a_batch_and_not_once_a_chunk():
     for part in (rows[1::3], rows[2::3], rows[::3]):
         for pdf in operator.handleInputRows((1,), iter([pd.DataFrame(part, columns=["seq", "values", "last"])]), None):
             got += [v for x in pdf.sort_values("seq")["samples"] for v in x]
-    assert got == [2 * v for v in values] and handle.value is None
+    assert got == [2 * v for v in values] and not handle.values
     assert handle.asked <= 6
 
 
