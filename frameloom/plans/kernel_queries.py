@@ -362,7 +362,7 @@ def subband_vad(spark, sf_dir):
     """All texts as streams at 8 kHz: their frames, and how many are active."""
     c = subbands.SubBands(2, 8_000, 10, 10)
     df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), _text_samples().alias("samples"))
-    return signals.per_stream(df, lambda x: {"frames": len(labels := subbands.subband_activity(x, c)), "active": int(labels.sum())}, {"frames": "long", "active": "long"})
+    return signals.per_batch(df, lambda xs: [{"frames": len(v), "active": int(v.sum())} for v in subbands.subband_activity_many(xs, c)], {"frames": "long", "active": "long"})
 
 
 class _Linear:

@@ -293,3 +293,15 @@ def test_queries_of_models(spark):
         y, activities = plain_frames(x + [0.0] * (n - len(x)), file_queries._MODEL, recurrent.checked_weights(file_queries._MODEL, held))
         assert (r.n, r.frames) == (len(x), n // 8)
         assert (r.total, r.activity) == (pytest.approx(sum(y[8 : 8 + len(x)]), abs=1e-5), pytest.approx(sum(activities), abs=1e-5))
+
+
+def test_streams_side_by_side_have_the_activity_of_each_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    c = subbands.SubBands(2, 8_000, 10, 10)
+    xs = [rng.normal(size=n) * rng.choice([0.001, 0.1, 0.5], size=n // 400 + 1).repeat(400)[:n] for n in (0, 1, 79, 80, 81, 2_000, 9_000, 4_000)]
+    alone = [subbands.subband_activity(x, c) for x in xs]
+    monkeypatch.setattr(subbands.Mixtures, "step", None)
+    together = subbands.subband_activity_many(xs, c)
+    assert [v.tolist() for v in together] == [v.tolist() for v in alone]
+    assert 0 < sum(v.sum() for v in together) < sum(map(len, together))
+    assert subbands.subband_activity_many([], c) == []
