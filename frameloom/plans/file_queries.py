@@ -25,7 +25,8 @@ _VECTORS = "vectors AS (SELECT vec_id AS stream, embedding::DOUBLE[] AS samples
 
 
 def _audio(df: DataFrame) -> DataFrame:
-    return df.select(F.concat(F.lit("s"), F.col("stream") % 5, F.lit("_"), "stream").alias("stem"), "samples", F.lit(16000).alias("sample_rate"))
+    """Clips are dealt to tasks, as the rows of many may lie in one row group."""
+    return df.repartition("stream").select(F.concat(F.lit("s"), F.col("stream") % 5, F.lit("_"), "stream").alias("stem"), "samples", F.lit(16000).alias("sample_rate"))
 
 
 @query(f"WITH {_VECTORS} SELECT 's' || (stream % 5) || '_' || stream AS stem, 16000::INT AS sample_rate, len(samples)::INT AS n, round({_LIST('samples')}, 6) AS weighted FROM vectors")

@@ -24,6 +24,11 @@ MANIFEST = "id string, speaker_id string, clean string, noisy string, sample_rat
 TRANSCRIPT = "sequence int, text string, duration_seconds double, speech_frames int, total_frames int, endpoint_reason string, asr_seconds double, queue_seconds double, end_to_text_seconds double, start_seconds double, end_seconds double"
 
 
+OPENING = 32 << 10  # bytes that opening a small file is worth, where many are read
+FOLDERS = 64  # of written audio
+SAMPLES = 1 << 22  # most samples in a decoded batch, beyond its first file
+
+
 def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
     """(samples of one channel as float32, rate) of 16-bit whole or 32-bit float RIFF audio."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
@@ -57,9 +62,20 @@ def encode_wav(samples, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 3, 1, rate, 4 * rate, 4, 32) + b"data" + struct.pack("<I", len(body)) + body
 
 
+def _for_small_files(spark: SparkSession) -> SparkSession:
+    """A session of the same settings whose scans count a file's opening as OPENING bytes: by Spark's 4 MB, 32 files make a task, however small they are."""
+    out = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if out.conf.isModifiable(k):
+            out.conf.set(k, v)
+    out.conf.set("spark.sql.files.openCostInBytes", OPENING)
+    return out
+
+
 def audio_files(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, path, content) of all .wav files below a folder, in either case. Two files of one stem raise."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]").load(path)
+    """(stem, path, content) of all .wav files below a folder, in either case. Two files of one stem raise. A task reads as many files as hold
+    spark.sql.files.maxPartitionBytes."""
+    df = _for_small_files(spark).read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]").load(path)
     df = df.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "path", "content")
     unique(df.select("stem"), ["stem"])
     return df
@@ -72,11 +88,21 @@ def read_audio(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(files: DataFrame) -> DataFrame:
+    def rows(batch: pa.RecordBatch, first: int, found: list) -> pa.RecordBatch:
+        ends = np.cumsum([0, *(len(x) for x, _ in found)], dtype=np.int32)
+        samples = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for x, _ in found]), pa.float32()))
+        part = batch.slice(first, len(found))
+        return pa.RecordBatch.from_arrays([part.column(0), samples, pa.array([rate for _, rate in found], pa.int32()), part.column(2)], ["stem", "samples", "sample_rate", "sha256"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, held = [], 0
             for i in range(batch.num_rows):
-                samples, rate = decode_wav(batch.column(1)[i].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([samples], pa.list_(pa.float32())), pa.array([rate], pa.int32()), batch.column(2).slice(i, 1)], ["stem", "samples", "sample_rate", "sha256"])
+                found.append(decode_wav(batch.column(1)[i].as_py()))
+                held += len(found[-1][0])
+                if held >= SAMPLES or i == batch.num_rows - 1:
+                    yield rows(batch, i + 1 - len(found), found)
+                    found, held = [], 0
 
     return files.mapInArrow(run, "stem string, samples array<float>, sample_rate int, sha256 string")
 
@@ -89,12 +115,15 @@ def write_files(df: DataFrame, folder: str) -> DataFrame:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(folder)
+        made = set()
         for batch in batches:
             paths = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 path = f"{base}/{name}"
                 part = f"{path}.{uuid.uuid4().hex}.part"
-                system.create_dir(path.rpartition("/")[0], recursive=True)
+                if (above := path.rpartition("/")[0]) not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
                 with system.open_output_stream(part) as sink:
                     sink.write(content.as_py())
                 system.move(part, path)
@@ -117,8 +146,11 @@ def encoded_audio(df: DataFrame) -> DataFrame:
 
 
 def write_audio(df: DataFrame, folder: str) -> DataFrame:
-    """Writes ``df(stem, samples, sample_rate)`` as .wav files below a folder that executors share; returns (stem, path)."""
-    return write_files(encoded_audio(df), folder).select(F.regexp_replace("name", r"\.wav$", "").alias("stem"), "path")
+    """Writes ``df(stem, samples, sample_rate)`` as .wav files below a folder that executors share, dealt to FOLDERS folders by their stems, as tasks
+    that write into one wait for each other; returns (stem, path)."""
+    inner = F.format_string("%02x/", F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(FOLDERS)))
+    found = write_files(encoded_audio(df).withColumn("name", F.concat(inner, "name")), folder)
+    return found.select(F.regexp_replace("name", r"^[^/]*/|\.wav$", "").alias("stem"), "path")
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

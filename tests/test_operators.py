@@ -104,6 +104,19 @@ def test_audio_round_trip(spark, tmp_path):
         files.pair_files(paired, paired.filter("stem = 'a'"))
 
 
+def test_many_small_files_make_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "SAMPLES", 20, raising=False)
+    want = {f"c{k}": [float(k)] * (k % 9) for k in range(300)}
+    df = spark.createDataFrame([(k, v, 8000 + len(v)) for k, v in want.items()], "stem string, samples array<float>, sample_rate int")
+    where = {r.stem: r.path for r in files.write_audio(df, f"file://{tmp_path}/wav").collect()}
+    assert where.keys() == want.keys() and len({p.rpartition("/")[0] for p in where.values()}) > 10
+    opened = spark.conf.get("spark.sql.files.openCostInBytes")
+    got = files.read_audio(spark, f"file://{tmp_path}/wav")
+    assert got.rdd.getNumPartitions() <= 5 and spark.conf.get("spark.sql.files.openCostInBytes") == opened
+    rows = got.collect()
+    assert len(rows) == 300 and {r.stem: r.samples for r in rows} == want and all(r.sample_rate == 8000 + len(r.samples) for r in rows)
+
+
 def test_logs_and_atomic_writes(spark, tmp_path):
     log = tmp_path / "log.txt"
     log.write_text("a cafe 10\nb bus 5\n")
