@@ -7,7 +7,7 @@ stream: a very long stream is one task there, as each other ``recurrence`` is.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,8 +164,10 @@ def si_sdr(df: DataFrame, reference: str = "reference", estimate: str = "estimat
     return df.select("stream", F.round(10 * F.log10((target + 1e-12) / (rest + 1e-12)), 6).alias("si_sdr_db"))
 
 
-def _rows_of(column: pa.Array) -> list[np.ndarray]:
-    """The arrays of a list column, as views of its values."""
+def _rows_of(column: pa.Array) -> Iterable[np.ndarray]:
+    """The arrays of a list column, as views of its values; of a text column, the code points of one text after another."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return (np.frombuffer(x.as_py().decode("utf-8", "replace").encode("utf-32-le"), "<u4") for x in column.cast(pa.large_binary()))
     ends = column.offsets.to_numpy()
     values = column.values.to_numpy(zero_copy_only=False)
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
@@ -185,7 +187,7 @@ def _column_of(values: list, kind: pa.DataType) -> pa.Array:
 
 def per_stream(df: DataFrame, kernel: Callable[..., dict], outputs: dict[str, str], inputs: list[str] | None = None, keyed: bool = False) -> DataFrame:
     """A kernel over the arrays of each row: its results as columns (``outputs``: name to SQL type). Rows are independent, so no shuffle;
-    arrays pass in Arrow batches. ``keyed`` gives the kernel the stream's key first."""
+    arrays pass in Arrow batches, and texts as they are, for their code points. ``keyed`` gives the kernel the stream's key first."""
     each = lambda *rows: [kernel(*row) for row in zip(*rows)]
     return per_batch(df, each, outputs, inputs, keyed)
 

@@ -300,16 +300,24 @@ def controller_grid(spark, sf_dir):
     return df.withColumn("y", mixed).select("variant", "stream", _weighted("y").alias("weighted"))
 
 
-def _text_samples():
-    return F.transform(F.split(F.coalesce("text", F.lit("")), ""), lambda c: (F.ascii(c) % 64 - 32) / 32.0)
+def _texts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _samples(codes: np.ndarray) -> np.ndarray:
+    """Of a text's code points; an empty one is a single 0. Made by tasks, as samples take 8 times the text, and that again for each stream made of them."""
+    return ((codes if len(codes) else np.zeros(1, np.uint32)) % 64 - 32.0) / 32.0
 
 
 @query()
 def intelligibility(spark, sf_dir):
     """All texts as streams at 10 kHz, against themselves with their reverse added; those too short for a segment get the measure's least value."""
-    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), _text_samples().alias("reference"))
-    df = df.withColumn("estimate", F.zip_with("reference", F.reverse("reference"), lambda x, y: x + 0.3 * y))
-    return signals.per_stream(df, lambda r, e: {"stoi": round(perception.stoi(r, e, 10_000), 6)}, {"stoi": "double"}, ["reference", "estimate"])
+
+    def score(codes):
+        x = _samples(codes)
+        return {"stoi": round(perception.stoi(x, x + 0.3 * x[::-1], 10_000), 6)}
+
+    return signals.per_stream(_texts(spark, sf_dir), score, {"stoi": "double"}, ["text"])
 
 
 _WANT = f"SELECT stream, k, en, rm, ratio, before, CASE WHEN want > before THEN {_R.attack}::DOUBLE ELSE {_R.release}::DOUBLE END * before + (1 - CASE WHEN want > before THEN {_R.attack}::DOUBLE ELSE {_R.release}::DOUBLE END) * want AS strength FROM (SELECT *, 1 / (1 + exp(-least(greatest((ratio - {_R.threshold_db}) / {_R.scale_db}, -30), 30))) * (1 - {_R.protection}::DOUBLE * vad) AS want FROM (SELECT *, 10 * log10((rm + {_EPS}) / (en + {_EPS})) AS ratio"
@@ -361,8 +369,8 @@ def residual_noise_tracks(spark, sf_dir):
 def subband_vad(spark, sf_dir):
     """All texts as streams at 8 kHz: their frames, and how many are active."""
     c = subbands.SubBands(2, 8_000, 10, 10)
-    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), _text_samples().alias("samples"))
-    return signals.per_batch(df, lambda xs: [{"frames": len(v), "active": int(v.sum())} for v in subbands.subband_activity_many(xs, c)], {"frames": "long", "active": "long"})
+    each = lambda texts: [{"frames": len(v), "active": int(v.sum())} for v in subbands.subband_activity_many([_samples(x) for x in texts], c)]
+    return signals.per_batch(_texts(spark, sf_dir), each, {"frames": "long", "active": "long"}, ["text"])
 
 
 class _Linear:

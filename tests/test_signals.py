@@ -83,3 +83,15 @@ def test_settings_reject():
         Hysteresis(1, 2)
     with pytest.raises(ValueError):
         Framing(4, 5)
+
+
+def test_texts_pass_to_kernels_as_code_points(spark):
+    from frameloom.operators import signals
+    from frameloom.plans import kernel_queries
+
+    df = spark.createDataFrame([(1, "aé\U0001f600z"), (2, ""), (3, "b" * 9)], "stream long, text string")
+    got = signals.per_stream(df, lambda x: {"codes": x.astype("int64")}, {"codes": "array<long>"}, ["text"])
+    assert {r.stream: r.codes for r in got.collect()} == {1: [97, 233, 0x1F600, 122], 2: [], 3: [98] * 9}
+    for query in (kernel_queries.intelligibility, kernel_queries.subband_vad):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "array<double>" not in plan and "split(" not in plan and "transform(" not in plan
