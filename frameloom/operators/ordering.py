@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BANDS = 64
+DEALT = 400_000  # rows in a task, on average
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by its key in as many tasks as its rows need, DEALT in each, or as many as run at once: what a task sorts by the key doesn't grow with the
+    table. Adaptive execution would join tasks up to 64 MB of packed rows, some ten times that in memory."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // DEALT))
+    return df.repartition(tasks, key)
 
 
 def bands(df: DataFrame, value: str, n: int = BANDS) -> Column:

@@ -64,9 +64,11 @@ def leave_one_out(df: DataFrame, group: str, errors: str, base_errors: str, tota
 
 
 def most_influential(df: DataFrame, key: str, delta: str, by: list[str]) -> DataFrame:
-    """The row with the largest absolute delta of each group, the first key of equals."""
-    row = F.struct(*(F.col(c) for c in df.columns))
-    return df.groupBy(*by).agg(F.min_by(row, F.struct(-F.abs(delta), F.col(key))).alias("_top")).select("_top.*")
+    """by, key and delta of the row with the largest absolute delta of each group, the first key of equals; null deltas are last. Each delta's first key is
+    found before, by hash: the struct that orders rows would have every task sort them."""
+    first = df.groupBy(*by, delta).agg(F.min(key).alias(key))
+    row, order = F.struct(key, delta), F.struct(F.isnull(delta), -F.abs(delta), F.col(key))
+    return first.groupBy(*by).agg(F.min_by(row, order).alias("_top")).select(*by, "_top.*")
 
 
 def hashed_indices(n: int, draws: int, seed: int, spark: SparkSession) -> DataFrame:

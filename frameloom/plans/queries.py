@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..functions.settings import Framing
-from ..operators import contracts, counters, sampling, scoring, signals, statistics
+from ..operators import contracts, counters, ordering, sampling, scoring, signals, statistics
 from . import derived
 from .derived import MANIFEST, PAIRS, SCORES, SIGNAL, TRANSCRIPTS, manifest, pairs, scores, signal, table, transcripts, vectors
 
@@ -229,7 +229,8 @@ _DELTA = "d AS (SELECT *, max(CASE WHEN condition = 'noisy' THEN value END) OVER
 
 
 def _paired(spark, sf_dir) -> DataFrame:
-    df = statistics.baseline_delta(scores(spark, sf_dir), "id", "condition", "errors", "noisy").withColumnsRenamed({"baseline": "base_errors", "delta": "error_delta"})
+    """Dealt by id once, for the windows of both baselines."""
+    df = statistics.baseline_delta(ordering.dealt(scores(spark, sf_dir), "id"), "id", "condition", "errors", "noisy").withColumnsRenamed({"baseline": "base_errors", "delta": "error_delta"})
     return statistics.baseline_delta(df, "id", "condition", "value", "noisy")
 
 

@@ -104,6 +104,28 @@ def test_audio_round_trip(spark, tmp_path):
         files.pair_files(paired, paired.filter("stem = 'a'"))
 
 
+def test_the_most_influential_row_is_found_by_hash(spark):
+    from frameloom.operators import statistics
+
+    rows = [("a", k, None if k == 0 else d) for k, d in enumerate((9, 1, -7, 7, 2, -7))] + [("b", 4, 0), ("b", 3, 0), ("c", 8, None), ("c", 7, None), (None, 5, -1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "g string, id long, delta long, more string")
+    top = statistics.most_influential(df, "id", "delta", ["g"])
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.rfind("HashAggregate") > plan.rfind("SortAggregate")  # the deepest, which meets all rows
+    assert {tuple(r) for r in top.select("g", "id", "delta").collect()} == {("a", 2, -7), ("b", 3, 0), ("c", 7, None), (None, 5, -1)}
+
+
+def test_paired_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from frameloom.operators import ordering
+    from frameloom.plans import queries
+
+    monkeypatch.setattr(ordering, "DEALT", 50)
+    df = queries._paired(spark, "/root/testdata/sf0.001")
+    n = df.count()
+    assert n > 500 and df.rdd.getNumPartitions() == -(-n // 50)
+    assert ordering.dealt(spark.range(10), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_many_small_files_make_few_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "SAMPLES", 20, raising=False)
     want = {f"c{k}": [float(k)] * (k % 9) for k in range(300)}
