@@ -126,6 +126,15 @@ def test_paired_rows_are_dealt_by_their_number(spark, monkeypatch):
     assert ordering.dealt(spark.range(10), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_influence_removed_takes_two_passes_that_are_dealt(spark, monkeypatch):
+    from frameloom.operators import ordering
+    from frameloom.plans import queries
+
+    monkeypatch.setattr(ordering, "DEALT", 50)
+    plan = queries.most_influential_removed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan[plan.rfind("Window ") :]
+
+
 def test_many_small_files_make_few_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "SAMPLES", 20, raising=False)
     want = {f"c{k}": [float(k)] * (k % 9) for k in range(300)}
