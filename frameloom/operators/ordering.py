@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BANDS = 64
-DEALT = 400_000  # rows in a task, on average
+DEALT, MOST_DEALT = 400_000, 4_000_000  # rows in a task, on average: while tasks are few, and at most
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:
-    """``df`` by its key in as many tasks as its rows need, DEALT in each, or as many as run at once: what a task sorts by the key doesn't grow with the
-    table. Adaptive execution would join tasks up to 64 MB of packed rows, some ten times that in memory."""
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // DEALT))
-    return df.repartition(tasks, key)
+    """``df`` by its key in as many tasks as its rows need, DEALT in each, or as many as run at once. Up to Spark's threshold (200), writers
+    of the exchange hold no rows, beyond it they sort them; so there are more only where a task would get MOST_DEALT. Adaptive execution would join tasks up to 64 MB of packed rows, some ten times that in memory."""
+    context, rows = df.sparkSession.sparkContext, df.count()
+    unsorted = int(context.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return df.repartition(max(context.defaultParallelism, min(unsorted, -(-rows // DEALT)), -(-rows // MOST_DEALT)), key)
 
 
 def bands(df: DataFrame, value: str, n: int = BANDS) -> Column:

@@ -123,7 +123,9 @@ def test_paired_rows_are_dealt_by_their_number(spark, monkeypatch):
     df = queries._paired(spark, "/root/testdata/sf0.001")
     n = df.count()
     assert n > 500 and df.rdd.getNumPartitions() == -(-n // 50)
-    assert ordering.dealt(spark.range(10), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(ordering, "DEALT", 1)
+    assert queries._paired(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 200  # writers hold no rows
+    assert ordering.dealt(spark.range(3), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
 def test_influence_removed_takes_two_passes_that_are_dealt(spark, monkeypatch):
